@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 from .common import read
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -17,5 +25,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op8_toxicity)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe, op5_decontamination, op6_simhash_near_dedup, op8_toxicity, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
