@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import simhash, toxicity
+from siftwell.llm import bpe, decontaminate, pii, simhash, toxicity
 from siftwell.llm.common import read
 
 
@@ -16,7 +16,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicated(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies)]
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.clean(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with token_ids and n_tokens in place of the text."""
+    return bpe.encode(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("benchmark_decontamination", remove_benchmark), ("pii", mask_personal_data), ("bpe", encode)]
 
 #: SQL can't express automata, fingerprints and merges; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
