@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import bpe, decontaminate, hmm, merkle, pii, simhash, toxicity
 from .common import read
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
 
@@ -25,9 +29,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = merkle.pages_as_records(read(spark, sf_dir, "pages"))
+    return merkle.audit(records, merkle.damaged(records))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_decontamination, op6_simhash_near_dedup, op8_toxicity, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hmm_scoring, op4_bpe, op5_decontamination, op6_simhash_near_dedup, op8_toxicity, op9_warc_merkle_audit, op10_pii)}
+ORACLE_SQL = {"op9_warc_merkle_audit": merkle.SQL}
