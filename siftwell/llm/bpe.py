@@ -32,6 +32,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Characters of text whose pieces are encoded together.
 STRETCH = 4_000_000
+#: Bytes of a path up to which whole encodings are kept; beyond, last tokens alone, which lead back to there.
+DEEP = 256
 
 
 class Encoder:
@@ -127,8 +129,13 @@ class Encoder:
                             break
                     k += 1
                 last.append(t)
-                codes.append(codes[k] + packed[t])
-            out[word] = codes[-1]
+                if i <= DEEP:
+                    codes.append(codes[k] + packed[t])
+            tail, i = [], len(word)
+            while i > DEEP:
+                tail.append(packed[last[i]])
+                i -= len(self.tokens[last[i]])
+            out[word] = codes[i] + b"".join(reversed(tail))
             before = word
         if len(allowed) > 2_000_000:
             allowed.clear()

@@ -35,6 +35,9 @@ CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key",
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 DIGITS = "0123456789"
 
+#: The longest identifier has fewer characters.
+REACH = 64
+
 LOCAL = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]*\Z")
 EDGE = ".!#$%&'*+/=?^`{|}~-"
 DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![^\W_])")
@@ -44,6 +47,7 @@ IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d))
 ACCOUNT = re.compile(r"\d{12,19}(?![\w])|\d{3,6}(?:([ -])\d{3,6})(?:\1\d{3,6}){1,4}(?![\w])", re.A)
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,4}(?!\d)|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?!\d)|\d{3}-\d{2,4}-\d{4}(?![\d-])", re.A)
+RUN = re.compile(r"\d*", re.A)
 SECRET = re.compile(r"[\w-]*\s{0,3}[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\s]{16,512})\"|'([^'\s]{16,512})'|([A-Za-z0-9_+/.=-]{16,512}))")
 
 
@@ -67,8 +71,8 @@ def anchors() -> ahocorasick.Automaton:
     return a
 
 
-def email(text: str, at: int, done: int) -> tuple[int, int, str] | None:
-    m = LOCAL.search(text, max(done, at - 64), at)
+def email(text: str, at: int) -> tuple[int, int, str] | None:
+    m = LOCAL.search(text, max(0, at - REACH), at)
     start = m.start() if m else at
     while start < at and text[start] in EDGE:
         start += 1
@@ -91,8 +95,10 @@ def url(text: str, begin: int, after: int) -> tuple[int, int, str] | None:
     return (begin, end, "URL") if OWNER.match(text[after:end]) else None
 
 
-def left(text: str, at: int, done: int, allowed: str) -> int:
-    while at > done and text[at - 1] in allowed:
+def left(text: str, at: int, allowed: str) -> int:
+    """Where the allowed characters before at begin; no identifier begins further away than REACH."""
+    end = max(0, at - REACH)
+    while at > end and text[at - 1] in allowed:
         at -= 1
     return at
 
@@ -102,12 +108,11 @@ def boundary(text: str, start: int, more: str = "") -> bool:
     return not start or not (text[start - 1].isalnum() or text[start - 1] in "_" + more)
 
 
-def number(text: str, begin: int, done: int) -> list[tuple[int, int, str]]:
+def number(text: str, begin: int) -> list[tuple[int, int, str]]:
     """What a digit of a number may belong to."""
     found = []
-    low = left(text, begin, done, DIGITS + ".")
     for kind, pattern, allowed, edge in (("IP", IP, DIGITS + ".", "."), ("ACCOUNT", ACCOUNT, DIGITS + " -", "-+"), ("PHONE", PHONE, DIGITS + " .-()+", "")):
-        low = left(text, begin, done, allowed)
+        low = left(text, begin, allowed)
         for start in range(low, begin + 1):
             if text[start] in "+(" + DIGITS and boundary(text, start, edge) and (m := pattern.match(text, start)) and m.end() > begin:
                 n = sum(c.isdigit() for c in m.group())
@@ -117,8 +122,8 @@ def number(text: str, begin: int, done: int) -> list[tuple[int, int, str]]:
     return found
 
 
-def iban(text: str, begin: int, done: int) -> tuple[int, int, str] | None:
-    low = left(text, begin, max(done, begin - 42), "ABCDEFGHIJKLMNOPQRSTUVWXYZ " + DIGITS)
+def iban(text: str, begin: int) -> tuple[int, int, str] | None:
+    low = left(text, begin, "ABCDEFGHIJKLMNOPQRSTUVWXYZ " + DIGITS)
     for start in range(low, begin):
         if text[start].isalpha() and boundary(text, start) and (m := IBAN.match(text, start)) and m.end() > begin:
             s = m.group().replace(" ", "")
@@ -135,7 +140,7 @@ def findings(auto: ahocorasick.Automaton, text: str | None) -> list[tuple[int, i
     for last, (kind, size) in auto.iter(text):
         begin = last - size + 1
         if kind == "@":
-            hit = email(text, last, 0)
+            hit = email(text, last)
             found += [hit] if hit else []
         elif kind == "://":
             hit = url(text, begin, last + 1)
@@ -146,11 +151,13 @@ def findings(auto: ahocorasick.Automaton, text: str | None) -> list[tuple[int, i
                 g = next(i for i in (1, 2, 3) if m.group(i))
                 found.append((m.start(g), m.end(g), "SECRET"))
         elif last > seen:
-            hits = number(text, last, 0)
-            if kind == "9" and (hit := iban(text, last, 0)):
+            hits = number(text, last)
+            if kind == "9" and (hit := iban(text, last)):
                 hits.append(hit)
             found += hits
-            seen = max((e for _, e, _ in hits), default=seen)
+            # Nothing begins inside a run of digits, so the rest of the run has no other result.
+            run = RUN.match(text, last).end()
+            seen = max((e - 1 for _, e, _ in hits), default=run - 1)
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         if a >= end:

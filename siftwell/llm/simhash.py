@@ -16,7 +16,8 @@ fingerprints grow in number, which keeps a shard within a worker's memory.
 Groups are the connected components of the near pairs, found by alternating large-star and small-star steps.
 
 Defined results: a null, empty or wordless text has no fingerprint and belongs to no group. A null doc_id is
-compared with nothing and its row stays. Repeated rows are copies: one stays. The document with the smallest
+compared with nothing and its row stays. Repeated rows are copies: one stays. Rows of one doc_id with unlike texts
+are versions of one document: its group lists the doc_id once for each, and one row of each text stays. The document with the smallest
 doc_id of a group stays. The search is exact: every fingerprint is a query, and no count of partners is capped.
 """
 
