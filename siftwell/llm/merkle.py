@@ -14,6 +14,8 @@ repeats one of them differs. Empty replicas have no nodes; against an empty one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +26,37 @@ RANGE, FANOUT, HEIGHT = 65_536, 16, 5
 PER_FILE = 1000
 
 
-def pages_as_records(pages: DataFrame) -> DataFrame:
-    """(file_id, offset, record_id, content): pages written as WARC response records, PER_FILE ids to a file."""
+def pages_as_records(pages: DataFrame, decay: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Digest rows (file_id, offset, record_id, length, digest) of pages written as WARC records, PER_FILE ids to a file.
+
+    decay makes a second replica out of the records (file_id, record_id, content); they keep the offsets that they
+    were written at. Contents are hashed where they are read; only sizes and digests are shuffled and sorted.
+    """
     html = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    records = pages.where("page_id is not null").select(F.floor(F.col("page_id") / PER_FILE).cast("bigint").alias("file_id"), F.col("page_id").alias("record_id"), F.concat(head, html, F.lit("\r\n\r\n")).alias("content"))
-    # The window sorts lengths and digests, not contents.
-    before = "sum(size) over (partition by file_id order by record_id, digest, nth rows between unbounded preceding and 1 preceding)"
-    keyed = records.selectExpr("file_id", "record_id", "content", "octet_length(content) as size", "sha2(content, 256) as digest", "monotonically_increasing_id() as nth")
-    return keyed.selectExpr("file_id", f"coalesce({before}, 0) as offset", "record_id", "content")
+    written = pages.where("page_id is not null").select(F.floor(F.col("page_id") / PER_FILE).cast("bigint").alias("file_id"), F.col("page_id").alias("record_id"), F.concat(head, html, F.lit("\r\n\r\n")).alias("content"))
+    sized = written.selectExpr("file_id", "record_id", "content", "octet_length(content) as size", "sha2(content, 256) as place")
+    now = sized if decay is None else decay(sized)
+    kept = now.selectExpr("file_id", "record_id", "size", "place", "cast(octet_length(content) as bigint) as length", "sha2(content, 256) as digest", "lost" if "lost" in now.columns else "false as lost")
+    before = "sum(size) over (partition by file_id order by record_id, place rows between unbounded preceding and 1 preceding)"
+    return kept.selectExpr("file_id", f"coalesce({before}, 0) as offset", "record_id", "length", "digest", "lost").where("not lost").drop("lost")
 
 
 def damaged(records: DataFrame) -> DataFrame:
     """A second replica in which some records decayed: changed, cut short or lost."""
     k = F.col("record_id")
     content = F.when(k % 211 == 7, F.concat(F.lit("X"), F.substring("content", 2, 2_000_000_000))).when(k % 307 == 11, F.expr("left(content, length(content) - 4)")).otherwise(F.col("content"))
-    return records.where(k % 401 != 13).withColumn("content", content)
+    return records.withColumns({"content": content, "lost": k % 401 == 13})
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """(file_id, offset, record_id, length, digest), one for each offset of a file."""
-    each = records.where("file_id is not null and offset is not null").select("file_id", "offset", "record_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest"))
-    return each.groupBy("file_id", "offset").agg(F.min("record_id").alias("record_id"), F.sum("length").alias("length"), F.array_join(F.array_sort(F.collect_list("digest")), "+").alias("digest"))
+    """Digest rows of records (file_id, offset, record_id, content)."""
+    return records.select("file_id", "offset", "record_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest"))
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Digest rows, one for each offset of a file."""
+    return rows.where("file_id is not null and offset is not null").groupBy("file_id", "offset").agg(F.min("record_id").alias("record_id"), F.sum("length").alias("length"), F.array_join(F.array_sort(F.collect_list("digest")), "+").alias("digest"))
 
 
 def ordered_hash(key: str, *parts: str) -> Column:
@@ -76,9 +87,9 @@ def mismatches(level: DataFrame) -> DataFrame:
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """(file_id, offset, record_id, status, expected, actual) of every record that differs between two replicas.
 
-    Each replica is a relation (file_id, offset, record_id, content); contents are read and hashed once.
+    Each replica is a relation of digest rows (file_id, offset, record_id, length, digest), as digests makes them.
     """
-    found = checkpointed(digests(first).withColumn("replica", F.lit(0)).unionByName(digests(second).withColumn("replica", F.lit(1))))
+    found = checkpointed(entries(first).withColumn("replica", F.lit(0)).unionByName(entries(second).withColumn("replica", F.lit(1))))
     levels = trees(found)
     bad = mismatches(levels[-1])
     for depth in range(HEIGHT - 1, -1, -1):

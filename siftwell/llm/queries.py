@@ -44,8 +44,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = merkle.pages_as_records(read(spark, sf_dir, "pages"))
-    return merkle.audit(records, merkle.damaged(records))
+    pages = read(spark, sf_dir, "pages")
+    return merkle.audit(merkle.pages_as_records(pages), merkle.pages_as_records(pages, merkle.damaged))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
