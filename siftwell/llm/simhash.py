@@ -57,6 +57,11 @@ class Words(dict):
         self.digests.append(xxhash.xxh3_128_digest(word))
         return n
 
+    def empty(self) -> None:
+        self.clear()
+        self.digests.clear()
+        self.made = self.made[:0]
+
     def signs(self) -> np.ndarray:
         if len(self.made) < len(self.digests):
             new = np.frombuffer(b"".join(self.digests[len(self.made) :]), np.uint8).reshape(-1, 16)
@@ -67,7 +72,7 @@ class Words(dict):
 def fingerprints_of(texts: list[str | None], words: Words) -> list[bytes | None]:
     """16 bytes for each text, None where it has no word."""
     if len(words) > CACHE_WORDS:
-        words.__init__()
+        words.empty()
     each = []
     for text in texts:
         own = {*WORD.findall(text.lower())} if text else ()

@@ -8,7 +8,8 @@ at least ``min_types`` distinct words of toxic documents share it, so that it st
 copies among the labelled documents count once, and a word once a document. With counts n1 and n0 in toxic and
 other documents, N1 and N0 words in all, and the corpus as the prior (pi = the feature's share in both classes,
 its weight ``prior`` times N1 + N0), the log-odds difference is divided by its standard error; features over
-``min_z`` whose odds are at least ``min_ratio`` form the lexicon. A passage that is toxic is modelled as lexicon
+``min_z`` whose odds are at least ``min_ratio`` form the lexicon; a stem must do so beyond the longer stems that it
+holds, and beyond a word that alone makes up over half of it. A passage that is toxic is modelled as lexicon
 words at rate ``density`` among ordinary text, so each word scores the log-likelihood ratio of that model against
 clean text.
 
@@ -140,6 +141,20 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "n1", "n0"])
 
 
+def stems_of_their_own(lexicon: list, min_count: int, least: float) -> list:
+    """The stems that still stand out without the longer stems in them, and without a word that alone makes up over half."""
+    kept: list = []
+    words = [r for r in lexicon if not r.stem]
+    for s in sorted((r for r in lexicon if r.stem), key=lambda r: (-len(r.word), r.word)):
+        longer = [r for r in kept if r.word.startswith(s.word)]
+        inner = [r for r in longer if not any(r is not q and r.word.startswith(q.word) for q in longer)]
+        inner += [r for r in words if 2 * r.n1 > s.n1 and len(r.word) > len(s.word) and r.word.startswith(s.word) and not any(r.word.startswith(q.word) and len(r.word) > len(q.word) for q in inner)]
+        n1, n0 = s.n1 - sum(r.n1 for r in inner), s.n0 - sum(r.n0 for r in inner)
+        if n1 >= min_count and n1 >= least * (n0 + 1):
+            kept.append(s)
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: float = 0.1, min_z: float = 3.5, min_ratio: float = 10.0, min_types: int = 5, min_count: int = 3, density: float = 0.05, alpha: float = 0.01) -> Model:
     """A model from labelled documents; per_class bounds how many of each class are read."""
     sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, per_class)), "doc_id"))
@@ -158,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
         lexicon = both.where((F.col("n1") >= min_count) & (z >= min_z) & (log_odds >= math.log(min_ratio))).orderBy("stem", "word").collect()
     finally:
         counts.unpersist()
+    lexicon = [r for r in lexicon if not r.stem] + stems_of_their_own(lexicon, min_count, min_ratio * totals.n1 / totals.n0)
     # A word of the lexicon keeps its own score; a stem speaks for words that aren't in it.
     total = sum(r.n1 for r in lexicon if not r.stem) or sum(r.n1 for r in lexicon) or 1
     model, null = Model(other=math.log(1 - density), alpha=alpha), []

@@ -69,6 +69,14 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_word_table_that_is_emptied(monkeypatch):
+    texts = [prose(i, 60) for i in range(20)]
+    want = sh.fingerprints_of(texts, sh.Words())
+    monkeypatch.setattr(sh, "CACHE_WORDS", 50)
+    words = sh.Words()
+    assert [sh.fingerprints_of([t], words)[0] for t in texts] == want
+
+
 def change(text, share, seed):
     r = random.Random(seed)
     return " ".join(f"new{r.randrange(10**6)}" if r.random() < share else w for w in text.split())
