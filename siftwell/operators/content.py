@@ -9,7 +9,7 @@ DEPENDENCY, GENERATED, CACHE = (s.split() for s in ("bower_components vendor nod
 SECRET_MARKS = "secrets credentials .pfx .p12 .pem id_ed25519 id_rsa .env".split()
 BINARY_ENDS = "7z bin class dll dylib eot exe gif gz ico jar jpeg jpg mp3 mp4 pdf png pyc so tar ttf wasm webp woff woff2 zip".split()
 KEY_BLOCK = "-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----"
-KEY_VALUE = "(?i)(password|token|secret|api[_-]?key)\\s*[=:]\\s*['\"]?[A-Za-z0-9_-]{16,}"
+KEY_VALUE = "(?i)(password|token|secret|api[_-]?key)\\s*[=:]\\s*['\"]?[\\w-]{16,}"
 
 #: What a list of paths signals, as patterns over the lower-case paths joined by line feeds.
 RISKS = {

@@ -113,8 +113,8 @@ def minor_of() -> Column:
         return out.otherwise(default) if rules else F.lit(default)
 
     return (
-        F.when(on("security", "permissions"), first("authentication-authorization-tenant-isolation", ("secret|token|credential|password|api[_-]?key", "secrets-privacy-logging-retention-deletion"), ("injection|ssrf|(path|file) traversal|open redirect", "input-injection-path-url-file-safety")))
-        .when(on("concurrency"), first("race-atomicity-toctou", ("lock|contention|mutex", "lock-scope-ownership-contention"), ("queue|retry|backpressure|unbounded", "bounded-work-retries-queues-backpressure"), ("stampede|multi-instance|cache", "multi-instance-stampede-resource-bounds"), ("single-flight|dedup|idempoten", "single-flight-idempotency-deduplication"), ("amplif|hot.?path|capacity|fan.?out", "hot-path-amplification-capacity")))
+        F.when(on("security", "permissions"), first("authentication-authorization-tenant-isolation", ("api[_-]?key|password|token|secret|credential", "secrets-privacy-logging-retention-deletion"), ("injection|ssrf|(path|file) traversal|open redirect", "input-injection-path-url-file-safety")))
+        .when(on("concurrency"), first("race-atomicity-toctou", ("lock|contention|mutex", "lock-scope-ownership-contention"), ("queue|retry|backpressure|unbounded", "bounded-work-retries-queues-backpressure"), ("stampede|multi-instance|cache", "multi-instance-stampede-resource-bounds"), ("single-flight|dedup|idempoten", "single-flight-idempotency-deduplication"), ("fan.?out|capacity|amplif|hot.?path", "hot-path-amplification-capacity")))
         .when(on("testing"), first("observable-behavior-coverage", ("fail|error|boundary", "failure-boundary-coverage")))
         .when(on("readability"), first("function-responsibility-size", ("try|catch|error boundary", "try-catch-error-boundaries"), ("ternary|fallback|nested", "conditional-fallback-clarity"), ("control flow|stage|state machine", "control-flow-visible-stages")))
         .when(on("compatibility", "data"), "api-event-schema-compatibility")

@@ -319,7 +319,7 @@ def content_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECRETS = "SELECT doc_id, concat(text, CASE WHEN doc_id % 7 = 0 THEN ' PassWord: \"abcdefgh_ijkl-mnop\"' WHEN doc_id % 7 = 1 THEN ' -----BEGIN RSA PRIVATE KEY-----' ELSE '' END) AS text FROM {documents}"
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') OR regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\\s*[:=]\\s*[''\"]?[A-Za-z0-9_-]{{16,}}') AS secret FROM ({SECRETS}) s".replace("{{16,}}", "{16,}"))
+@query(f"SELECT doc_id, regexp_matches(text, '-----BEGIN (OPENSSH |EC |RSA )?PRIVATE KEY-----') OR regexp_matches(text, '(?i)(token|password|secret|api[_-]?key)\\s*[=:]\\s*[''\"]?[\\w-]{{16,}}') AS secret FROM ({SECRETS}) s".replace("{{16,}}", "{16,}"))
 def content_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, SECRETS).select("doc_id", content.looks_secret(F.col("text")).alias("secret"))
 
