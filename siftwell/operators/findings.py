@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfkc_fold
 
-SEVERITIES = ("P0", "P1", "P2", "P3", "NIT")
+SEVERITIES = tuple("P0 P1 P2 P3 NIT".split())
 #: The earlier lifecycle wins when duplicates merge.
 LIFECYCLES = ("waived", "reported", "confirmed", "corroborated", "uncertain", "candidate", "dismissed")
 CONFIDENCES = ("high", "medium", "low")

@@ -97,7 +97,12 @@ def test_overlay_and_safety(spark):
 
 
 def test_patch_quirks(spark):
-    diff = "\n".join(["--- \"a/x\\303\\251.ts\"", "+++ /dev/null", "@@ -3 +0,0 @@", "-one", "--- two", "\\ No newline"])
+    diff = """--- "a/x\\303\\251.ts"
++++ /dev/null
+@@ -3 +0,0 @@
+-one
+--- two
+\\ No newline"""
     rows = evidence.diff_lines(spark.createDataFrame([(1, diff), (2, ""), (3, None)], "patch_id int, diff string")).collect()
     assert [(r.side, r.path, r.line, r.content, r.changed) for r in rows] == [("old", "xé.ts", 3, "one", True)]
 
