@@ -32,10 +32,16 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
+
+
+def tool(needed: str, **properties: dict) -> dict:
+    return dict(type="object", properties=properties, required=needed.split(), additionalProperties=False)
+
+
 SCHEMAS = {
-    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 200}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}, "after": {"type": "object"}}, "required": ["query", "limit"], "additionalProperties": False},
-    "lookup": {"type": "object", "properties": {"key": {"type": "string"}, "scope": {"enum": ["page", "site", "web"]}, "of": {"type": "object"}}, "required": ["key", "scope"], "additionalProperties": False},
-    "compute": {"type": "object", "properties": {"op": {"enum": ["sum", "mean"]}, "values": {"type": "array", "items": {"type": "number"}, "minItems": 1}, "inputs": {"type": "array", "items": {"type": "object"}}}, "required": ["op", "values"], "additionalProperties": False},
+    "search": tool("query limit", query=dict(type="string", minLength=1, maxLength=200), limit=dict(type="integer", minimum=1, maximum=50), after=dict(type="object")),
+    "lookup": tool("key scope", key=dict(type="string"), scope=dict(enum=["page", "site", "web"]), of=dict(type="object")),
+    "compute": tool("op values", op=dict(enum=["sum", "mean"]), values=dict(type="array", items=dict(type="number"), minItems=1), inputs=dict(type="array", items=dict(type="object"))),
 }
 
 
