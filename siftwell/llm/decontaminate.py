@@ -6,8 +6,9 @@ is removed if it has at least ``min_words`` words, or at least ``min_covered`` w
 an item or more. Words that occur in no item break every match, so only runs of ``min_covered`` known words are
 streamed; nothing that could reach a limit is passed over.
 
-Size. The automata are broadcast, at most ``WORDS_PER_AUTOMATON`` words of items in each; a larger benchmark is
-split by items and the documents pass through one automaton after the other.
+Size. The automata are broadcast, at most ``WORDS_PER_AUTOMATON`` words of items in each. A larger benchmark is split
+by items: each automaton looks at the original texts in tasks of its own, the hits are gathered by row and merged
+once, so the result is that of one automaton. For that the documents are written once, and hits are shuffled.
 
 Defined results: a null or empty text stays as it is, and null, empty or wordless items match nothing. Repeated
 items count once, under their smallest item_id. Overlapping passages are merged; a removed passage leaves one line
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, WORD, map_arrow, replaced
+from .common import BROADCAST_ROWS, CACHE_WORDS, WORD, checkpointed, map_arrow, replaced
 
 MIN_WORDS, MIN_COVERED, COVERAGE = 13, 8, 0.5
 WORDS_PER_AUTOMATON = 2_000_000
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("item_id", pa.int64()), ("coverage", pa.float64())])
+HIT = pa.struct([("last", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+HITS = "row bigint, doc_id bigint, hits array<struct<last:int,n:int,size:int,item_id:bigint,start:int,end:int>>"
 RESULT = "doc_id bigint, n_words_removed int, spans array<struct<start:int,end:int,n_words:int,item_id:bigint,coverage:double>>"
 
 
@@ -117,8 +120,8 @@ class Known(dict):
         return n
 
 
-def passages(auto: Automaton, known: Known, text: str | None, limits: tuple[int, int, float]) -> list[dict]:
-    """Passages over the limits: characters, words, the item and how much of it the longest match covers."""
+def hits(auto: Automaton, known: Known, text: str | None, limits: tuple[int, int, float]) -> list[tuple[int, int, int, int, int, int]]:
+    """For each last word the longest passage over the limits: last word, words, words of the item, item, characters from start to end."""
     min_words, least, coverage = limits
     least = min(least, min_words)
     if not text:
@@ -127,22 +130,39 @@ def passages(auto: Automaton, known: Known, text: str | None, limits: tuple[int,
     flags = bytes(map(known.__getitem__, words))
     if b"\x01" * least not in flags:
         return []
-    hits: list[list] = []  # first word, last word, item, coverage
+    found = []
     for run in re.finditer(b"\x01{%d,}" % least, flags):
         start = run.start()
         ids = [auto.ids[normalised(w)] for w in words[start : run.end()]]
         for i, (n, v) in enumerate(auto.matches(ids), start):
             size, item = auto.item[v]
             if n >= min_words or n >= least and n >= coverage * size:
-                hit = [i - n + 1, i, item, n / size]
-                while hits and hits[-1][1] >= hit[0] - 1 and hits[-1][1] >= start:
-                    old = hits.pop()
-                    hit = [min(old[0], hit[0]), i, *max((old[2:], hit[2:]), key=lambda x: x[1])]
-                hits.append(hit)
-    if not hits:
+                found.append((i, n, size, item))
+    if not found:
         return []
     at = [m.span() for m in WORD.finditer(text)]
-    return [{"start": at[a][0], "end": at[b][1], "n_words": b - a + 1, "item_id": item, "coverage": min(1.0, c)} for a, b, item, c in hits]
+    return [(i, n, size, item, at[i - n + 1][0], at[i][1]) for i, n, size, item in found]
+
+
+def merged(found: list[tuple[int, int, int, int, int, int]]) -> list[dict]:
+    """Passages of the hits of one or more automata: characters, words, the item and how much of it the longest match covers."""
+    out: list[list] = []  # first word, last word, item, coverage, start, end
+    done = -1
+    for i, n, size, item, start, end in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
+        if i == done:  # of an automaton with a shorter passage, or a longer item
+            continue
+        done = i
+        hit = [i - n + 1, i, item, n / size, start, end]
+        while out and out[-1][1] >= hit[0] - 1:
+            old = out.pop()
+            hit = [min(old[0], hit[0]), i, *max((old[2:4], hit[2:4]), key=lambda x: x[1]), min(old[4], start), end]
+            start = hit[4]
+        out.append(hit)
+    return [{"start": start, "end": end, "n_words": b - a + 1, "item_id": item, "coverage": min(1.0, c)} for a, b, item, c, start, end in out]
+
+
+def passages(auto: Automaton, known: Known, text: str | None, limits: tuple[int, int, float]) -> list[dict]:
+    return merged(hits(auto, known, text, limits))
 
 
 def without(text: str, spans: list[dict]) -> str:
@@ -170,45 +190,92 @@ def automata(benchmark: DataFrame) -> list[Automaton]:
     return [Automaton(p) for p in parts]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED, coverage: float = COVERAGE) -> DataFrame:
-    """A row for each document with a benchmark passage: every passage, with characters from start to end."""
-    limits, out = (min_words, min_covered, coverage), None
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words_removed", pa.int32()), ("spans", pa.list_(SPAN))])
-    for auto in automata(benchmark):
+def gathered(docs: DataFrame, row: str, parts: list[Automaton], limits: tuple[int, int, float]) -> DataFrame:
+    """(row, doc_id, n_words_removed, spans) of the documents that have passages, from all automata's hits on the text."""
+    out, names = None, [HIT.field(i).name for i in range(HIT.num_fields)]
+    for auto in parts:
         shared = docs.sparkSession.sparkContext.broadcast(auto)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Known(shared.value.ids)
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if spans := passages(shared.value, known, text.as_py(), limits):
-                        rows.append({"doc_id": doc_id, "n_words_removed": sum(s["n_words"] for s in spans), "spans": spans})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for at, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if found := hits(shared.value, known, text.as_py(), limits):
+                        rows.append({"row": at, "doc_id": doc_id, "hits": [dict(zip(names, h)) for h in found]})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("hits", pa.list_(HIT))]))
 
-        part = map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, RESULT)
+        part = map_arrow(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, HITS)
         out = part if out is None else out.unionByName(part)
-    return out
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words_removed", pa.int32()), ("spans", pa.list_(SPAN))])
+        for batch in batches:
+            spans = [merged([tuple(h.values()) for h in found]) for found in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sum(s["n_words"] for s in x) for x in spans], pa.int32()), pa.array(spans, pa.list_(SPAN))], schema=schema)
+
+    return map_arrow(out.groupBy("row", "doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits")), merge, f"row bigint, {RESULT}")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, computed once, with a number for each row, and the name of that column."""
+    row = "row" + "_" * max(map(len, docs.columns))
+    return checkpointed(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def find(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED, coverage: float = COVERAGE) -> DataFrame:
+    """A row for each document with a benchmark passage: every passage, with characters from start to end."""
+    limits, parts = (min_words, min_covered, coverage), automata(benchmark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if len(parts) > 1:
+        docs, row = numbered(docs)
+        return gathered(docs, row, parts, limits).drop("row")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words_removed", pa.int32()), ("spans", pa.list_(SPAN))])
+    shared = docs.sparkSession.sparkContext.broadcast(parts[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(shared.value.ids)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if spans := passages(shared.value, known, text.as_py(), limits):
+                    rows.append({"doc_id": doc_id, "n_words_removed": sum(s["n_words"] for s in spans), "spans": spans})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return map_arrow(docs, run, RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED, coverage: float = COVERAGE) -> DataFrame:
     """The documents with all columns, without benchmark passages; n_chars, where there is one, follows the text."""
-    limits, schema = (min_words, min_covered, coverage), docs.schema
+    limits, schema, parts = (min_words, min_covered, coverage), docs.schema, automata(benchmark)
     at, count = docs.columns.index("text"), "n_chars" in docs.columns
-    for auto in automata(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Known(shared.value.ids)
+    def cut(batch: pa.RecordBatch, texts: list[str | None], found: list[list[dict] | None]) -> pa.RecordBatch:
+        if any(found):
+            return with_texts(batch, [without(t, s) if s else t for t, s in zip(texts, found)], [bool(s) for s in found], at, count)
+        return batch
+
+    if len(parts) > 1:
+        docs, row = numbered(docs)
+        spans = checkpointed(gathered(docs, row, parts, limits).select(F.col("row").alias(row), F.col("spans").alias(f"{row}_")))
+        small = spans.count() <= BROADCAST_ROWS // 20  # a row of spans is larger than an id
+        both = docs.join(F.broadcast(spans) if small else spans.hint("merge"), row, "left").select(*schema.names, f"{row}_")
+
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                found = [passages(shared.value, known, t, limits) for t in texts]
-                if any(found):
-                    batch = with_texts(batch, [without(t, s) if s else t for t, s in zip(texts, found)], [bool(s) for s in found], at, count)
-                yield batch
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                found, own = batch.column(len(schema.names)).to_pylist(), batch.select([*range(len(schema.names))])
+                yield cut(own, own.column(at).to_pylist(), found)
+
+        return both.mapInArrow(last, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(parts[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(shared.value.ids)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield cut(batch, texts, [passages(shared.value, known, t, limits) for t in texts])
+
+    return docs.mapInArrow(run, schema)
 
 
 def with_texts(batch: pa.RecordBatch, texts: list[str | None], changed: list[bool], at: int, count: bool) -> pa.RecordBatch:

@@ -86,6 +86,20 @@ def test_benchmark_in_parts(spark, docs, monkeypatch):
     assert dc.clean(docs([(1, f"x {a} y {b} z")]), bench(spark, (1, a), (2, b))).first().text == "x \n y \n z"
 
 
+def test_parts_give_what_one_automaton_gives(spark, docs, monkeypatch):
+    """Items overlap, so that passages of several parts meet in a text, and one removal would hide another."""
+    w = prose(4, 60).split()
+    b = bench(spark, *((i, " ".join(w[k : k + 20])) for i, k in enumerate(range(0, 41, 10))), (9, prose(5, 16)))
+    rows = [(1, " ".join(w)), (1, "a " + " ".join(w[:32]) + " b"), (None, " ".join(w[5:25]) + f" c {prose(5, 16)}"), (2, "clean"), (3, None)]
+    as_rows = lambda df: sorted(map(repr, df.collect()))
+    found, left = as_rows(dc.find(docs(rows), b)), as_rows(dc.clean(docs(rows), b))
+    assert len(found) == 3
+    for size in (20, 45, 70):
+        monkeypatch.setattr(dc, "WORDS_PER_AUTOMATON", size)
+        assert len(dc.automata(b)) > 1
+        assert as_rows(dc.find(docs(rows), b)) == found and as_rows(dc.clean(docs(rows), b)) == left
+
+
 def test_odd_rows(spark, docs):
     item = prose(3, 20)
     b = bench(spark, (1, None, 0), (2, "", 0), (None, item, 0), (4, item, 0), (3, item, 0), (5, "?!", 0))
