@@ -1,8 +1,8 @@
 """Removal of benchmark passages by a generalised suffix automaton.
 
 The words of every benchmark item (NFKC, case-folded, punctuation left out) go into one suffix automaton. Each
-document's words run through it; the state gives the longest passage of any item that ends at a word. A passage
-is removed if it has at least ``min_words`` words, or at least ``min_covered`` words that make up ``coverage`` of
+document's words run through it; the state gives the longest passage of any item that ends at a word, and its suffix
+links the shorter ones, which may belong to shorter items. A passage is removed if it has at least ``min_words`` words, or at least ``min_covered`` words that make up ``coverage`` of
 an item or more. Words that occur in no item break every match, so only runs of ``min_covered`` known words are
 streamed; nothing that could reach a limit is passed over.
 
@@ -43,6 +43,8 @@ def normalised(word: str) -> str:
 class Automaton:
     """Suffix automaton of several word sequences; each state names the shortest item that has its passages."""
 
+    covering: tuple[tuple[int, float], list[int]] | None = None
+
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -91,6 +93,16 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self.split(p, c, q)
         return new
 
+    def covers(self, least: int, coverage: float) -> list[int]:
+        """For each state the one of its longest suffix, itself included, that covers a share of an item; 0 where none does."""
+        if self.covering is None or self.covering[0] != (least, coverage):
+            best = [0] * len(self.length)
+            for v in sorted(range(1, len(best)), key=self.length.__getitem__):
+                n = self.length[v]
+                best[v] = v if n >= least and n >= coverage * self.item[v][0] else best[self.link[v]]
+            self.covering = (least, coverage), best
+        return self.covering[1]
+
     def matches(self, words: list[int]) -> Iterator[tuple[int, int]]:
         """(length, state) of the longest passage that ends at each word."""
         v = n = 0
@@ -131,13 +143,21 @@ def hits(auto: Automaton, known: Known, text: str | None, limits: tuple[int, int
     if b"\x01" * least not in flags:
         return []
     found = []
+    best = auto.covers(least, coverage)
     for run in re.finditer(b"\x01{%d,}" % least, flags):
         start = run.start()
         ids = [auto.ids[normalised(w)] for w in words[start : run.end()]]
         for i, (n, v) in enumerate(auto.matches(ids), start):
+            if n < least:
+                continue
             size, item = auto.item[v]
-            if n >= min_words or n >= least and n >= coverage * size:
-                found.append((i, n, size, item))
+            if n < min_words and n < coverage * size:
+                # A shorter suffix may belong to a shorter item.
+                v = best[auto.link[v]]
+                if not v:
+                    continue
+                n, (size, item) = auto.length[v], auto.item[v]
+            found.append((i, n, size, item))
     if not found:
         return []
     at = [m.span() for m in WORD.finditer(text)]
@@ -226,6 +246,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def find(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document with a benchmark passage: every passage, with characters from start to end."""
     limits, parts = (min_words, min_covered, coverage), automata(benchmark)
+    for auto in parts:
+        auto.covers(min(min_covered, min_words), coverage)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if len(parts) > 1:
         docs, row = numbered(docs)
@@ -248,6 +270,8 @@ def find(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_
 def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED, coverage: float = COVERAGE) -> DataFrame:
     """The documents with all columns, without benchmark passages; n_chars, where there is one, follows the text."""
     limits, schema, parts = (min_words, min_covered, coverage), docs.schema, automata(benchmark)
+    for auto in parts:
+        auto.covers(min(min_covered, min_words), coverage)
     at, count = docs.columns.index("text"), "n_chars" in docs.columns
 
     def cut(batch: pa.RecordBatch, texts: list[str | None], found: list[list[dict] | None]) -> pa.RecordBatch:

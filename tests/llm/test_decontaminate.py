@@ -47,6 +47,33 @@ def test_state_names_the_shortest_item():
                 assert auto.item[v] == min(holders)
 
 
+def test_hits_equal_brute_force_on_items_that_share_passages():
+    """The longest passage that ends at each word and reaches a limit, by trying all."""
+    r = random.Random(3)
+    shorter = 0
+    for _ in range(300):
+        items = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(2, 22)))) for i in range(r.randrange(2, 6))]
+        auto = automaton(items)
+        words = r.choice(items)[1].split()[:7] + [r.choice("abc") for _ in range(15)] + r.choice(items)[1].split()[2:]
+        got = {h[0]: h[1:4] for h in dc.hits(auto, dc.Known(auto.ids), " ".join(words), (7, 3, 0.5))}
+        for e in range(len(words)):
+            want = None
+            for n in range(e + 1, 2, -1):
+                holders = [(len(t.split()), i) for i, t in items if f" {' '.join(words[e - n + 1 : e + 1])} " in f" {t} "]
+                if holders and (n >= 7 or n >= 0.5 * min(holders)[0]):
+                    want = (n, *min(holders))
+                    break
+            assert got.get(e) == want
+            shorter += want is not None and want[0] < longest(items, words, e)
+    assert shorter
+
+
+def test_item_inside_a_longer_item(spark, docs):
+    b = prose(6, 10)
+    item = f"x {b} {prose(7, 30)}"
+    assert dc.clean(docs([(1, f"so x {b} ends")]), bench(spark, (1, item), (2, b))).first().text == "so x \n ends"
+
+
 def bench(spark, *rows):
     return spark.createDataFrame([*rows], "item_id bigint, text string, spans int" if rows and len(rows[0]) == 3 else "item_id bigint, text string")
 
