@@ -12,7 +12,9 @@ expands to both sides and validates the boundaries:
 - iban: country code, check digits and body whose remainder modulo 97 is 1
 - account: 12 to 19 digits, in one run or in groups of at least three joined by single spaces or hyphens
 - phone: 8 to 15 digits with a country code or an area code in brackets, or in three groups joined by hyphens
-- secret: a value of 16 characters or more after "token", "secret", "password", "api_key" and such, and = or :
+- secret: a value after "token", "secret", "password", "api_key" and such, and = or :, of any length from 16
+  characters on, after "password" and "passwd" from 6; quoted, without white space, or of the characters of keys, after
+  a password word of all that don't separate or bracket. What is masked already is no secret.
 
 Defined results: a null, empty or anchorless text has no finding. Where findings overlap the one that begins
 first, then the longest, stays. Repeated rows are treated alike. A finding is replaced by its kind in brackets.
@@ -48,7 +50,14 @@ ACCOUNT = re.compile(r"\d{12,19}(?![\w])|\d{3,6}(?:([ -])\d{3,6})(?:\1\d{3,6}){1
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,4}(?!\d)|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?!\d)|\d{3}-\d{2,4}-\d{4}(?![\d-])", re.A)
 RUN = re.compile(r"\d*", re.A)
-SECRET = re.compile(r"[\w-]*\s{0,3}[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\s]{16,512})\"|'([^'\s]{16,512})'|([A-Za-z0-9_+/.=-]{16,512}))")
+NAME = re.compile(r"[\w-]*+")
+ASSIGN = re.compile(r"\s{0,3}[\"']?\s{0,3}[=:]\s{0,3}")
+QUOTED = {'"': re.compile(r"[^\"\s]*+"), "'": re.compile(r"[^'\s]*+")}
+PLAIN = re.compile(r"[A-Za-z0-9_+/.=-]*+")
+PASSWORD = re.compile(r"[^\s\"'`,;<>|&()\[\]{}]*+")
+MASK = re.compile(r"<(?:EMAIL|URL|IP|IBAN|ACCOUNT|PHONE|SECRET)>")
+#: Characters a secret has at least, after a password word and after any other.
+SHORT, LONG = 6, 16
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -132,11 +141,45 @@ def iban(text: str, begin: int) -> tuple[int, int, str] | None:
     return None
 
 
+class Secrets:
+    """The secrets of a text, asked for by its cues in order. No run is scanned again for each cue in it, so time is linear."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.named = 0  # end of the run of name characters that was looked at last
+        self.values: dict[re.Pattern, tuple[int, int]] = {p: (-1, -1) for p in (*QUOTED.values(), PLAIN, PASSWORD)}
+
+    def end(self, pattern: re.Pattern, at: int, whole: bool) -> int:
+        """Where the run at a place ends; that of a place inside the last run, or if whole of the same place, is known."""
+        begin, end = self.values[pattern]
+        if at != begin and (whole or at >= end):
+            self.values[pattern] = at, (end := pattern.match(self.text, at).end())
+        return end
+
+    def after(self, cue: str, at: int) -> tuple[int, int, str] | None:
+        text = self.text
+        if at >= self.named:
+            self.named = NAME.match(text, at).end()
+        m = ASSIGN.match(text, self.named)
+        if not m or m.end() == len(text):
+            return None
+        password = cue.lower().startswith("passw")
+        start, least = m.end(), SHORT if password else LONG
+        if (quote := text[start]) in QUOTED:
+            start += 1
+            end = self.end(QUOTED[quote], start, True)
+            if text[end : end + 1] != quote:
+                return None
+        else:
+            end = self.end(PASSWORD if password else PLAIN, start, False)
+        return (start, end, "SECRET") if end - start >= least and not MASK.fullmatch(text, start, end) else None
+
+
 def findings(auto: ahocorasick.Automaton, text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding, in order, without overlap."""
     if not text:
         return []
-    found, seen = [], -1  # seen: end of the digits that were already looked at
+    found, seen, secrets = [], -1, Secrets(text)  # seen: end of the digits that were already looked at
     for last, (kind, size) in auto.iter(text):
         begin = last - size + 1
         if kind == "@":
@@ -146,10 +189,8 @@ def findings(auto: ahocorasick.Automaton, text: str | None) -> list[tuple[int, i
             hit = url(text, begin, last + 1)
             found += [hit] if hit else []
         elif kind == "=":
-            m = SECRET.match(text, last + 1)
-            if m:
-                g = next(i for i in (1, 2, 3) if m.group(i))
-                found.append((m.start(g), m.end(g), "SECRET"))
+            hit = secrets.after(text[begin : last + 1], last + 1)
+            found += [hit] if hit else []
         elif last > seen:
             hits = number(text, last)
             if kind == "9" and (hit := iban(text, last)):

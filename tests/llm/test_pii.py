@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -30,6 +31,27 @@ def test_boundaries(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("n", [16, 512, 513, 5000])
+def test_secrets_of_any_length(n):
+    value = ("aB3_" * n)[:n]
+    for cue in ("token", "password"):
+        for q in ('"', "'", ""):
+            assert found(f"x {cue} = {q}{value}{q} y") == [(value, "SECRET")]
+
+
+def test_short_passwords():
+    assert found("password=hunter2 and Passwd: 'tr0ub4' x") == [("hunter2", "SECRET"), ("tr0ub4", "SECRET")]
+    assert found("password: P@ss-w0rd! then") == [("P@ss-w0rd!", "SECRET")] and found('password = "a b" token=hunter2 password=<SECRET>') == []
+    assert found('password = "<SECRET>"') == [] and found("password=") == [] and found("password = ") == []
+
+
+@pytest.mark.parametrize("part", ["token", "token=", "password=", "token='", "tokentoken=\"", "token-password:", "password=x "])
+def test_many_cues_stay_linear(part):
+    began = time.process_time()
+    pii.findings(AUTO, part * 60_000 + "a" * 300_000)
+    assert time.process_time() - began < 5
+
+
 def test_planted_values_in_prose():
     r = random.Random(1)
     for _ in range(300):
