@@ -2,7 +2,8 @@
 
 Fingerprint. Each distinct word (lower case) of a text votes with the bits of its 128-bit hash; the majority
 sign of each bit position is the fingerprint. Two documents are near copies if their fingerprints differ in at
-most ``LIMIT`` = 23 of 128 bits. Documents with equal fingerprints share one search entry.
+most ``LIMIT`` = 23 of 128 bits and they share at least ``SHARED`` = 0.6 of their distinct words (of either): few
+words give fingerprints that lie close by chance. Documents with equal fingerprints share one search entry.
 
 Search. A fingerprint is cut into 8 blocks of 16 bits. If two differ in at most 23 bits, then in at least one
 block they differ in at most 2 (8 blocks with 3 or more would make 24), so the union over the blocks of exact
@@ -13,7 +14,11 @@ pair of shards meets once. Inside a shard a vantage-point tree over the distinct
 through the triangle bounds; survivors are compared over all 128 bits. More vantage points are used as
 fingerprints grow in number, which keeps a shard within a worker's memory.
 
-Groups are the connected components of the near pairs, found by alternating large-star and small-star steps.
+Confirmation. The words of documents that have a pair, as 64-bit hashes, are brought together with their pairs by
+component of the unconfirmed pairs; a component of more than ``TOGETHER`` documents is divided, and the pairs of each
+two of its divisions are confirmed on their own.
+
+Groups are the connected components of the confirmed pairs, found by alternating large-star and small-star steps.
 
 Defined results: a null, empty or wordless text has no fingerprint and belongs to no group. A null doc_id is
 compared with nothing and its row stays. Repeated rows are copies: one stays. Rows of one doc_id with unlike texts
@@ -42,6 +47,10 @@ VANTAGES = (0x5A3C, 0x5A3C ^ 0x00FF, 0x5A3C ^ 0x0F0F, 0x5A3C ^ 0x3333)
 LEVEL_ROWS, LEVEL_FACTOR = 20_000_000, 5
 #: Pairs of block values, or of fingerprints, that are compared at once.
 CHUNK = 1 << 21
+#: Share of the distinct words of two documents that both have, at least.
+SHARED = 0.6
+#: Documents whose words are held at once, in about this number.
+TOGETHER = 5_000
 
 
 class Words(dict):
@@ -195,6 +204,65 @@ def near_pairs(entries: DataFrame, levels: int | None = None) -> DataFrame:
     return placed.groupBy("block", "cell").applyInArrow(run, "a bigint, b bigint, distance int").distinct()
 
 
+def word_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, hi, lo, words): the fingerprint and the sorted 64-bit hashes of the distinct words, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                texts = part.column(1).to_pylist()
+                raw = fingerprints_of(texts, words)
+                rows = [i for i, x in enumerate(raw) if x is not None]
+                halves = np.frombuffer(b"".join(raw[i] for i in rows), ">i8").astype(np.int64).reshape(-1, 2)
+                own = ({*WORD.findall(texts[i].lower())} for i in rows)
+                packed = [np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))).tobytes() for w in own]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(packed, pa.binary())], names=["doc_id", "hi", "lo", "words"])
+
+    return map_arrow(docs, run, "doc_id bigint, hi bigint, lo bigint, words binary")
+
+
+def alike(x: tuple[int, int, np.ndarray], y: tuple[int, int, np.ndarray]) -> bool:
+    """Whether two (hi, lo, words) are within the limit and share enough words."""
+    if ((x[0] ^ y[0]) & (1 << 64) - 1).bit_count() + ((x[1] ^ y[1]) & (1 << 64) - 1).bit_count() > LIMIT:
+        return False
+    both = np.concatenate([x[2], y[2]])
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common >= SHARED * (len(both) - common)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, distance) whose documents share enough words."""
+    pairs = checkpointed(pairs)
+    roots = components(pairs)
+    n = roots.count()
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    # Small components share cells, a large one has cells of its own for each two divisions.
+    large = F.col("parts") > 1
+    placed = checkpointed(
+        roots.join(parts, "root").select(
+            "node", F.when(large, F.col("root")).otherwise(0).alias("own"), F.when(large, -1).otherwise(F.pmod(F.xxhash64("root"), F.lit(n // TOGETHER + 1))).alias("cell"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+        )
+    )
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    sets = word_sets(join_ids(known, placed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi", n))
+    left = sets.join(placed, F.col("doc_id") == F.col("node")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("own", "cell", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "doc_id", "hi", "lo", "words")
+    end = lambda c: placed.select(F.col("node").alias(c), "own", "cell", F.col("part").alias(f"part_{c}"))
+    right = pairs.where("a != b").join(end("a"), "a").join(end("b").select("b", "part_b"), "b").select("own", "cell", F.least("part_a", "part_b").alias("i"), F.greatest("part_a", "part_b").alias("j"), "a", "b", "distance")
+
+    def run(key, texts, edges):
+        by: dict[int, dict] = {}
+        for doc_id, hi, lo, words in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "hi", "lo", "words"))):
+            by.setdefault(doc_id, {})[hi, lo] = (hi, lo, np.frombuffer(words, np.uint64))
+        keep = [any(alike(x, y) for x in by[a].values() for y in by[b].values()) for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist())]
+        return edges.select(["a", "b", "distance"]).filter(pa.array(keep, pa.bool_()))
+
+    cells = ("own", "cell", "i", "j")
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(run, "a bigint, b bigint, distance int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for edges (a, b)."""
     state, before = checkpointed(edges.select("a", "b").where("a != b").distinct()), None
@@ -217,7 +285,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, root) for every row that has a fingerprint; root is the smallest doc_id of its group."""
     marks = checkpointed(fingerprints(docs))
     entries = checkpointed(marks.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
-    roots = components(near_pairs(entries))
+    roots = components(confirmed(docs, near_pairs(entries)))
     return marks.join(entries, ["hi", "lo"]).join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
 
 

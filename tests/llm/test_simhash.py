@@ -93,6 +93,34 @@ def test_near_copies_and_clean_documents(docs):
     assert set(base) <= kept and not kept & {200 + i for i in base}
 
 
+def short_texts():
+    """Pairs of texts of 6 to 16 words of which half are the same, with fingerprints within the limit; found by trying."""
+    r, out = random.Random(11), []
+    while len(out) < 3:
+        same = [f"s{r.randrange(10**6)}" for _ in range(r.randrange(4, 9))]
+        a, b = (" ".join(same + [f"o{r.randrange(10**6)}" for _ in range(len(same) - 1)]) for _ in range(2))
+        x, y = (int.from_bytes(f, "big") for f in sh.fingerprints_of([a, b], sh.Words()))
+        if (x ^ y).bit_count() <= sh.LIMIT:
+            out.append((a, b))
+    return out
+
+
+def test_short_texts_that_share_a_line_stay(docs):
+    pairs = short_texts()
+    rows = [(10 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)] + [(100, pairs[0][0].upper())]
+    assert {tuple(r.doc_ids) for r in sh.groups(docs(rows)).collect()} == {(0, 100)}
+    assert {r.doc_id for r in sh.deduplicated(docs(rows)).collect()} == {0, 1, 10, 11, 20, 21}
+
+
+def test_confirmation_in_divisions(docs, monkeypatch):
+    """Groups are the same however few documents are held at once."""
+    base = {i: prose(i, 150) for i in range(6)}
+    rows = [(20 * i + k, change(t, 0.02, 20 * i + k) if k else t) for i, t in base.items() for k in range(8)]
+    want = {tuple(r.doc_ids) for r in sh.groups(docs(rows)).collect()}
+    monkeypatch.setattr(sh, "TOGETHER", 3)
+    assert {tuple(r.doc_ids) for r in sh.groups(docs(rows)).collect()} == want and len(want) == 6
+
+
 def test_large_group(docs):
     text = prose(7, 120)
     rows = [(i, text) for i in range(500)] + [(1000 + i, change(text, 0.02, i)) for i in range(200)]
