@@ -1,29 +1,35 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, URL schemes, words that announce a secret, and short digit
-patterns that every telephone, account or network number must contain (four digits in a row; a digit after a dot,
-a plus sign or an opening bracket; a digit on both sides of a hyphen). From each anchor a deterministic parser
-expands to both sides and validates the boundaries:
+An Aho-Corasick automaton finds anchors: at-signs, URL schemes, words that announce a secret (both in any case),
+and short patterns that every telephone, account or network number must contain (four digits in a row; a digit
+after a dot, a plus sign or an opening bracket; a digit on both sides of a hyphen; two colons, or a colon between
+hexadecimal digits). From each anchor a deterministic parser expands to both sides and validates the boundaries:
 
-- email: a local part and a dotted domain with a top level of two letters or more
+- email: a local part of any length and a dotted domain with a top level of two letters or more
 - url: scheme, host and the rest up to white space, without closing punctuation; only with user data (user@host)
   or a numeric host it is personal, other links stay
-- ip: four numbers up to 255, not part of a longer dotted number
+- ip: four numbers up to 255, not part of a longer dotted number; or an IPv6 address with at least three groups
 - iban: country code, check digits and body whose remainder modulo 97 is 1
-- account: 12 to 19 digits, in one run or in groups of at least three joined by single spaces or hyphens
+- account: 12 to 19 digits, in one run or in groups of at least three joined by single spaces or hyphens, with a
+  right check digit (Luhn), or after a word for account or card whatever the check digit
 - phone: 8 to 15 digits with a country code or an area code in brackets, or in three groups joined by hyphens
 - secret: a value after "token", "secret", "password", "api_key" and such, and = or :, of any length from 16
   characters on, after "password" and "passwd" from 6; quoted, without white space, or of the characters of keys, after
   a password word of all that don't separate or bracket. What is masked already is no secret.
 
-Defined results: a null, empty or anchorless text has no finding. Where findings overlap the one that begins
-first, then the longest, stays. Repeated rows are treated alike. A finding is replaced by its kind in brackets.
+Defined results: a null, empty or anchorless text has no finding; find gives no row for it and clean keeps it as it
+is. Texts of any length are searched whole, in linear time. Where findings overlap the one that begins first, then
+the longest, stays; of equal ones the kind first in the alphabet. Repeated rows, and rows with a null doc_id, are
+treated alike. A finding is replaced by its kind in brackets. An empty table gives an empty result. Other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from ipaddress import IPv6Address
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -33,14 +39,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 from .decontaminate import with_texts
 
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
+CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 DIGITS = "0123456789"
+HEXADECIMAL = DIGITS + "abcdefABCDEF"
 
-#: The longest identifier has fewer characters.
+#: The longest number, IBAN or network address has fewer characters.
 REACH = 64
 
-LOCAL = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]*\Z")
 EDGE = ".!#$%&'*+/=?^`{|}~-"
 DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![^\W_])")
 URL = re.compile(r"[^\s<>\"'`|*#$%&]+")
@@ -49,6 +55,8 @@ IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d))
 ACCOUNT = re.compile(r"\d{12,19}(?![\w])|\d{3,6}(?:([ -])\d{3,6})(?:\1\d{3,6}){1,4}(?![\w])", re.A)
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,4}(?!\d)|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?!\d)|\d{3}-\d{2,4}-\d{4}(?![\d-])", re.A)
+IPV6 = re.compile(r"[0-9A-Fa-f:.]{2,64}")
+OWNED = re.compile(r"(?:account|acct|a/c|card|konto|karte|compte|carte|cuenta|tarjeta)(?:\s{1,2}(?:number|no|nr|num)\b)?[\s.:#=-]{1,4}\Z", re.I)
 RUN = re.compile(r"\d*", re.A)
 NAME = re.compile(r"[\w-]*+")
 ASSIGN = re.compile(r"\s{0,3}[\"']?\s{0,3}[=:]\s{0,3}")
@@ -60,15 +68,21 @@ MASK = re.compile(r"<(?:EMAIL|URL|IP|IBAN|ACCOUNT|PHONE|SECRET)>")
 SHORT, LONG = 6, 16
 
 
+def spellings(word: str) -> set[str]:
+    """The word in all mixtures of small and capital letters."""
+    return {"".join(x) for x in product(*({c, c.upper()} for c in word))}
+
+
 def anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
-    for s in SCHEMES:
-        for x in (s, s.upper()):
-            a.add_word(x, ("://", len(x)))
-    for c in CUES:
-        for x in {c, c.upper(), c.capitalize()}:
-            a.add_word(x, ("=", len(x)))
+    for words, kind in ((SCHEMES, "://"), (CUES, "=")):
+        for w in words:
+            for x in spellings(w):
+                a.add_word(x, (kind, len(x)))
+    a.add_word("::", (":", 2))
+    for x, y in product(HEXADECIMAL, repeat=2):
+        a.add_word(f"{x}:{y}", (":", 3))
     for d in DIGITS:
         for x in ".+(":
             a.add_word(x + d, (x, 2))
@@ -81,8 +95,9 @@ def anchors() -> ahocorasick.Automaton:
 
 
 def email(text: str, at: int) -> tuple[int, int, str] | None:
-    m = LOCAL.search(text, max(0, at - REACH), at)
-    start = m.start() if m else at
+    start = at
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_" + EDGE):
+        start -= 1
     while start < at and text[start] in EDGE:
         start += 1
     local = text[start:at]
@@ -117,6 +132,34 @@ def boundary(text: str, start: int, more: str = "") -> bool:
     return not start or not (text[start - 1].isalnum() or text[start - 1] in "_" + more)
 
 
+def checked(digits: str) -> bool:
+    """Whether the last digit is the check digit (Luhn) of the others."""
+    return not sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
+
+
+def account(text: str, start: int, found: str) -> bool:
+    digits = "".join(c for c in found if c in DIGITS)
+    return 12 <= len(digits) <= 19 and (checked(digits) or OWNED.search(text, max(0, start - 32), start) is not None)
+
+
+def ipv6(text: str, begin: int) -> tuple[int, int, str] | None:
+    start = left(text, begin, HEXADECIMAL + ":.")
+    m = IPV6.match(text, start)
+    if not m or not boundary(text, start):
+        return None
+    end = m.end()
+    if text[end : end + 1].isalnum() or text[end : end + 1] == "_":
+        return None
+    value = m.group().rstrip(".")
+    if value.endswith(":") and not value.endswith("::"):
+        value = value[:-1]
+    try:
+        IPv6Address(value)
+    except ValueError:
+        return None
+    return (start, start + len(value), "IP") if "." in value or sum(map(bool, value.split(":"))) > 2 else None
+
+
 def number(text: str, begin: int) -> list[tuple[int, int, str]]:
     """What a digit of a number may belong to."""
     found = []
@@ -125,7 +168,7 @@ def number(text: str, begin: int) -> list[tuple[int, int, str]]:
         for start in range(low, begin + 1):
             if text[start] in "+(" + DIGITS and boundary(text, start, edge) and (m := pattern.match(text, start)) and m.end() > begin:
                 n = sum(c.isdigit() for c in m.group())
-                if kind == "IP" or kind == "ACCOUNT" and 12 <= n <= 19 or kind == "PHONE" and 8 <= n <= 15:
+                if kind == "IP" or kind == "ACCOUNT" and account(text, start, m.group()) or kind == "PHONE" and 8 <= n <= 15:
                     found.append((start, m.end(), kind))
                     break
     return found
@@ -188,6 +231,9 @@ def findings(auto: ahocorasick.Automaton, text: str | None) -> list[tuple[int, i
         elif kind == "://":
             hit = url(text, begin, last + 1)
             found += [hit] if hit else []
+        elif kind == ":":
+            hit = ipv6(text, begin)
+            found += [hit] if hit else []
         elif kind == "=":
             hit = secrets.after(text[begin : last + 1], last + 1)
             found += [hit] if hit else []
