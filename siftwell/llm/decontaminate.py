@@ -2,8 +2,8 @@
 
 The words of every benchmark item (NFKC, case-folded, punctuation left out) go into one suffix automaton. Each
 document's words run through it; the state gives the longest passage of any item that ends at a word, and its suffix
-links the shorter ones, which may belong to shorter items. A passage is removed if it has at least ``min_words`` words, or at least ``min_covered`` words that make up ``coverage`` of
-an item or more. Words that occur in no item break every match, so only runs of ``min_covered`` known words are
+links the shorter ones, which may belong to shorter items. A passage is removed if it has at least ``min_words``
+words, or at least ``min_covered`` words that make up ``coverage`` of an item or more. Words that occur in no item break every match, so only runs of ``min_covered`` known words are
 streamed; nothing that could reach a limit is passed over.
 
 Size. The automata are broadcast, at most ``WORDS_PER_AUTOMATON`` words of items in each. A larger benchmark is split
@@ -12,8 +12,11 @@ once, so the result is that of one automaton. For that the documents are written
 
 Defined results: a null or empty text stays as it is, and null, empty or wordless items match nothing. Repeated
 items count once, under their smallest item_id. Overlapping passages are merged; a removed passage leaves one line
-break, so that its neighbours don't form a new passage. A document that is a benchmark item throughout keeps its
+break. Where the words before and after it form a passage again, that goes too, until none is left: no cleaned text
+has a finding. find tells the passages of the text as it is. A document that is a benchmark item throughout keeps its
 row with what text is left. Of several items that hold a passage the shortest is named, then the smallest item_id.
+Repeated documents, and those with a null doc_id, are treated alike; texts of any length are streamed whole. Empty
+tables give an empty result, or the documents as they are. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -185,6 +188,13 @@ def passages(auto: Automaton, known: Known, text: str | None, limits: tuple[int,
     return merged(hits(auto, known, text, limits))
 
 
+def cleaned(auto: Automaton, known: Known, text: str | None, limits: tuple[int, int, float]) -> str | None:
+    """The text without passages; also without those that a removal brings together."""
+    while spans := passages(auto, known, text, limits):
+        text = without(text, spans)
+    return text
+
+
 def without(text: str, spans: list[dict]) -> str:
     out, last = [], 0
     for s in spans:
@@ -274,34 +284,47 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
         auto.covers(min(min_covered, min_words), coverage)
     at, count = docs.columns.index("text"), "n_chars" in docs.columns
 
-    def cut(batch: pa.RecordBatch, texts: list[str | None], found: list[list[dict] | None]) -> pa.RecordBatch:
-        if any(found):
-            return with_texts(batch, [without(t, s) if s else t for t, s in zip(texts, found)], [bool(s) for s in found], at, count)
-        return batch
-
     if len(parts) > 1:
-        docs, row = numbered(docs)
-        spans = checkpointed(gathered(docs, row, parts, limits).select(F.col("row").alias(row), F.col("spans").alias(f"{row}_")))
-        small = spans.count() <= BROADCAST_ROWS // 20  # a row of spans is larger than an id
-        both = docs.join(F.broadcast(spans) if small else spans.hint("merge"), row, "left").select(*schema.names, f"{row}_")
-
-        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, own = batch.column(len(schema.names)).to_pylist(), batch.select([*range(len(schema.names))])
-                yield cut(own, own.column(at).to_pylist(), found)
-
-        return both.mapInArrow(last, schema)
+        return cleaned_in_parts(docs, parts, limits)
     shared = docs.sparkSession.sparkContext.broadcast(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(shared.value.ids)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            yield cut(batch, texts, [passages(shared.value, known, t, limits) for t in texts])
+            left = [cleaned(shared.value, known, t, limits) for t in texts]
+            changed = [x is not t for x, t in zip(left, texts)]
+            yield with_texts(batch, left, changed, at, count) if any(changed) else batch
 
     return docs.mapInArrow(run, schema)
 
 
+def cleaned_in_parts(docs: DataFrame, parts: list[Automaton], limits: tuple[int, int, float]) -> DataFrame:
+    """The same with several automata: rounds of finding and cutting, each on the rows that the one before cut."""
+    schema, at, count = docs.schema, docs.columns.index("text"), "n_chars" in docs.columns
+    done, todo = [], docs
+    while True:
+        todo, row = numbered(todo)
+        spans = checkpointed(gathered(todo, row, parts, limits).select(F.col("row").alias(row), F.col("spans").alias(f"{row}_")))
+        n = spans.count()
+        if not n:
+            break
+        small = n <= BROADCAST_ROWS // 20  # a row of spans is larger than an id
+        hinted = F.broadcast(spans) if small else spans.hint("merge")
+        done.append(todo.join(hinted, row, "left_anti").select(*schema.names))
+
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, own = batch.column(len(schema.names)).to_pylist(), batch.select([*range(len(schema.names))])
+                yield with_texts(own, [without(t, x) for t, x in zip(own.column(at).to_pylist(), found)], [True] * len(found), at, count)
+
+        todo = todo.join(hinted, row).select(*schema.names, f"{row}_").mapInArrow(last, schema)
+    out = todo.select(*schema.names)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def with_texts(batch: pa.RecordBatch, texts: list[str | None], changed: list[bool], at: int, count: bool) -> pa.RecordBatch:
     """The batch with other texts, and their lengths where a text changed."""
     new = {batch.schema.names[at]: pa.array(texts, batch.schema.field(at).type)}

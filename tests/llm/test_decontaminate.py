@@ -127,6 +127,43 @@ def test_parts_give_what_one_automaton_gives(spark, docs, monkeypatch):
         assert as_rows(dc.find(docs(rows), b)) == found and as_rows(dc.clean(docs(rows), b)) == left
 
 
+def test_nothing_is_left_that_removals_bring_together(spark, docs, monkeypatch):
+    """An item around another one: what is left of it forms a passage when the inner one has gone."""
+    outer, inner = prose(11, 24).split(), prose(12, 15)
+    text = " ".join(["so", *outer[:7], inner, *outer[7:14], "ends"])
+    b = bench(spark, (1, " ".join(outer)), (2, inner))
+    assert [len(r.spans) for r in dc.find(docs([(1, text)]), b).collect()] == [1]
+    for size in (10**6, 20):
+        monkeypatch.setattr(dc, "WORDS_PER_AUTOMATON", size)
+        assert [r.text for r in dc.clean(docs([(1, text), (2, None), (3, "clean")]), b).orderBy("doc_id").collect()] == ["so \n ends", None, "clean"]
+
+
+def test_random_texts_have_no_finding_after_cleaning():
+    r = random.Random(8)
+    again = 0
+    for _ in range(400):
+        items = [(i, " ".join(r.choice("abcd") for _ in range(r.randrange(2, 22)))) for i in range(r.randrange(2, 6))]
+        auto, limits = automaton(items), (7, 3, 0.5)
+        known = dc.Known(auto.ids)
+        text = " ".join(r.choice("abcdx") for _ in range(40))
+        left = dc.cleaned(auto, known, text, limits)
+        words = left.split()
+        for e in range(len(words)):
+            for n in range(3, e + 2):
+                holders = [len(t.split()) for _, t in items if f" {' '.join(words[e - n + 1 : e + 1])} " in f" {t} "]
+                assert not holders or n < 7 and n < 0.5 * min(holders)
+        again += left != text and bool(dc.passages(auto, known, dc.without(text, dc.passages(auto, known, text, limits)), limits))
+    assert again
+
+
+def test_columns_that_clash(spark, monkeypatch):
+    d = spark.createDataFrame([(1, f"x {prose(3, 20)} y", 1, 2, 3)], "doc_id bigint, text string, spans int, item_id int, row int")
+    for size in (10**6, 15):
+        monkeypatch.setattr(dc, "WORDS_PER_AUTOMATON", size)
+        b = bench(spark, (1, prose(3, 20)), (2, prose(4, 20)))
+        assert dc.find(d, b).first().n_words_removed == 20 and dc.clean(d, b).first() == (1, "x \n y", 1, 2, 3)
+
+
 def test_odd_rows(spark, docs):
     item = prose(3, 20)
     b = bench(spark, (1, None, 0), (2, "", 0), (None, item, 0), (4, item, 0), (3, item, 0), (5, "?!", 0))
