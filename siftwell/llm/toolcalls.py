@@ -5,22 +5,27 @@ whose identifiers its arguments reference ({"$ref": id}); within a conversation
 ready calls by turn, then identifier. Arguments are checked against the tool's JSON schema (type, enum, const,
 required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength, minItems, maxItems,
 uniqueItems). The conversation's record is written as canonical JSON: no white space, keys sorted by UTF-16 code units,
-numbers in their shortest form.
+numbers in their shortest form, lone surrogates as escapes.
 
 Statuses: ``linked``; ``unanswered`` (no result); ``ambiguous`` (several results, all listed); ``duplicate`` (an
 identifier that more than one call uses; the first by turn and arguments takes the results). Calls on a cycle come
 last, by turn and identifier, and are marked; so are those that depend on them.
 
 Defined results: rows with a null conversation are left out; a null identifier links nothing, such a call is
-unanswered. A null or unparsable argument text and an unknown tool make a call invalid. A reference to no call of
-the conversation is an error of the arguments, not a dependency. Results without a call are listed as orphans.
-Rows that repeat in every column count once. Empty tables give an empty result.
+unanswered. A null or unparsable argument text and an unknown tool make a call invalid; a text that isn't JSON, or
+that is nested over ``DEPTH`` levels (parsers differ beyond it), is kept as it stands as "text" beside null
+arguments. Texts of any length are parsed whole. A reference to no call of the conversation is an error of the
+arguments, not a dependency. Results without a call are listed as orphans; an empty content is a result like any
+other. Calls and results of one turn are ordered by identifier, name and text, so that no result depends on the
+order of rows. Rows that repeat in every column count once. Empty tables give an empty result. Other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from decimal import Decimal
@@ -32,6 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
+#: Levels of arrays and objects in each other that are parsed.
+DEPTH = 256
+STRING = re.compile(r'"(?:[^"\\]|\\.)*+"?', re.S)
+BRACKETS = re.compile(r"[][{}]")
+LONE = re.compile("[\ud800-\udfff]")
 
 
 def tool(needed: str, **properties: dict) -> dict:
@@ -39,7 +49,7 @@ def tool(needed: str, **properties: dict) -> dict:
 
 
 SCHEMAS = {
-    "search": tool("query limit", query=dict(type="string", minLength=1, maxLength=200), limit=dict(type="integer", minimum=1, maximum=50), after=dict(type="object")),
+    "search": tool("query limit", query=dict(type="string", minLength=1, maxLength=1500), limit=dict(type="integer", minimum=1, maximum=50), after=dict(type="object")),
     "lookup": tool("key scope", key=dict(type="string"), scope=dict(enum=["page", "site", "web"]), of=dict(type="object")),
     "compute": tool("op values", op=dict(enum=["sum", "mean"]), values=dict(type="array", items=dict(type="number"), minItems=1), inputs=dict(type="array", items=dict(type="object"))),
 }
@@ -65,7 +75,8 @@ def canonical(value) -> str:
     if isinstance(value, bool) or value is None:
         return {True: "true", False: "false", None: "null"}[value]
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        text = json.dumps(value, ensure_ascii=False)
+        return text if text.isascii() else LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
     if isinstance(value, int):
         return str(value) if abs(value) < 2**53 else number(float(value))
     if isinstance(value, float):
@@ -75,6 +86,17 @@ def canonical(value) -> str:
     return "[" + ",".join(map(canonical, value)) + "]"
 
 
+def nested(text: str) -> int:
+    """The deepest level of brackets outside strings."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return 0
+    deepest = level = 0
+    for m in BRACKETS.finditer(STRING.sub("", text)):
+        level += 1 if m.group() in "[{" else -1
+        deepest = max(deepest, level)
+    return deepest
+
+
 def parsed(text: str | None):
     """Strict JSON: no repeated keys, no NaN or infinities."""
 
@@ -93,6 +115,8 @@ def parsed(text: str | None):
 
     if text is None:
         raise ValueError("no arguments")
+    if nested(text) > DEPTH:
+        raise ValueError(f"nested over {DEPTH} levels")
     return json.loads(text, object_pairs_hook=unique, parse_constant=refuse, parse_float=real, parse_int=lambda x: int(x) if len(x) < 17 else real(x))
 
 
@@ -185,22 +209,23 @@ def conversation(calls: list[dict], schemas: dict) -> dict:
             first.setdefault(c["call_id"], i)
     items, needs = [], {}
     for i, c in enumerate(calls):
-        value, wrong, on = None, [], set()
+        value, wrong, on, raw = None, [], set(), {}
         try:
             value = parsed(c["arguments"])
+        except ValueError as e:
+            wrong, raw = [f"not JSON: {e}"], {} if c["arguments"] is None else {"text": c["arguments"]}
+        else:
             wrong = [*errors(value, schemas[c["name"]])] if c["name"] in schemas else ["unknown tool"]
             for ref in references(value):
                 if ref in first:
                     on.add(first[ref])
                 else:
                     wrong.append(f"no call {ref}")
-        except (ValueError, RecursionError) as e:
-            wrong = ["too deep" if isinstance(e, RecursionError) else f"not JSON: {e}"]
         needs[i] = on
         repeated = c["call_id"] is not None and first[c["call_id"]] != i
         results = [] if repeated else sorted(c["results"], key=lambda r: (r["turn"] or 0, r["content"] or ""))
         status = "duplicate" if repeated else ("unanswered", "linked", "ambiguous")[min(2, len(results))]
-        items.append({"id": c["call_id"], "name": c["name"], "turn": c["turn"], "arguments": value, "errors": sorted(wrong), "status": status, "results": [r["content"] for r in results]})
+        items.append({"id": c["call_id"], "name": c["name"], "turn": c["turn"], "arguments": value, "errors": sorted(wrong), "status": status, "results": [r["content"] for r in results], **raw})
     order, cyclic = ordered([(c["turn"] or 0, c["call_id"] or "") for c in calls], needs)
     for i in cyclic:
         items[i]["cyclic"] = True
@@ -235,14 +260,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> D
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
-    """Tool calls made from the assistant's turns: tool, faults and references follow from the numbers of the turn."""
+    """Tool calls made from the assistant's turns, with their whole texts: tool, faults and references follow from the numbers of the turn."""
     turns = conversations.where("role = 'assistant'").withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % 30)
     name, k = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("compute")), (F.col("k") % 3 + 1).cast("int")), F.col("k")
     call_id = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     ref = F.struct(call_id(F.when(k % 10 == 9, F.col("turn") + 2).otherwise(F.col("turn") - 2)).alias("$ref"))
     some = lambda c, x: F.when(c, x)
-    search = F.to_json(F.struct(F.left(F.col("text"), F.when(k == 12, 300).otherwise(60)).alias("query"), F.when(k == 6, 0).otherwise(F.length("text") % 50 + 1).alias("limit"), some((F.col("turn") > 2) & (k < 15), ref).alias("after")))
-    lookup = F.to_json(F.struct(F.sha1(F.coalesce("text", F.lit(""))).alias("key"), some(k != 4, F.element_at(F.array(F.lit("page"), F.lit("site"), F.lit("web")), (k % 3 + 1).cast("int"))).alias("scope"), some(k == 7, F.lit(1)).alias("extra"), some(F.col("turn") > 2, ref).alias("of")))
+    search = F.to_json(F.struct(F.col("text").alias("query"), F.when(k == 6, 0).otherwise(F.length("text") % 50 + 1).alias("limit"), some((F.col("turn") > 2) & (k < 15), ref).alias("after")))
+    lookup = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("key"), some(k != 4, F.element_at(F.array(F.lit("page"), F.lit("site"), F.lit("web")), (k % 3 + 1).cast("int"))).alias("scope"), some(k == 7, F.lit(1)).alias("extra"), some(F.col("turn") > 2, ref).alias("of")))
     compute = F.to_json(F.struct(F.when(k == 20, "median").otherwise("sum").alias("op"), F.transform(F.split(F.col("text"), " "), lambda w: F.length(w) / 4).alias("values")))
     text = F.when(k == 29, F.lit('{"op": "sum", "values": [1,')).when(k % 3 == 0, search).when(k % 3 == 1, lookup).otherwise(compute)
     return turns.select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), text.alias("arguments"))
