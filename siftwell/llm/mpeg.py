@@ -2,15 +2,22 @@
 
 A stream may begin with ID3v2 tags and end with an ID3v1 tag. Between them frame headers are resynchronised: from
 any position the next sync word whose header is valid and whose frame is followed by a header of the same version,
-layer and sampling rate, or by the end of the audio, begins a frame; bytes before it are junk. Headers of other
-versions, layers or rates than the first frame's are no frames. A first frame of layer III that holds a Xing, Info
-or VBRI table is metadata, not sound; the encoder's delay and padding after it are taken off the samples. Checksums (CRC-16,
-polynomial 0x8005) are verified over the header and the side information of layer III and the bit allocation of
-layer I; those of layer II aren't, and are counted as unchecked. Durations are exact: samples, and samples per second.
-
-Defined results: a null content gives null counts, one without a frame zero frames, a null rate and a null
-duration. A last frame that is cut off is counted as truncated and not as a frame. Free-format streams have no
-frame lengths in their headers and count as junk. A tag whose size runs past the end takes the rest.
+layer and sampling rate, or by the end of the audio, begins a frame; right after a frame a header of that kind is
+enough. Bytes before it are junk. Headers of other versions, layers or rates than the first frame's are no frames.
+A first frame of layer III that holds a Xing, Info or VBRI table is metadata, not sound: its frame and byte counts,
+quality and seek table (as offsets of bytes in the content) are kept, and ``table_agrees`` says whether its counts
+are those of the frames found. The encoder's delay and padding after a Xing or Info table are taken off the samples;
+VBRI's delay isn't, since encoders write it in unlike forms. Checksums (CRC-16, polynomial 0x8005) are verified over
+the header and, by layer, the bit allocation (I), the bit allocation and scale factor selection (II) or the side
+information (III); a frame too short to hold these is counted as unchecked. Durations are exact: samples, and samples
+per second.
+
+Defined results: a null content gives null counts, an empty one or one without a frame zero frames, a null rate and
+a null duration. A header right after a frame, or at the start of the audio, whose frame runs past the end is a cut
+last frame if no frame follows, counted as truncated and not as a frame; anywhere else it is junk. Free-format
+streams have no frame lengths in their headers and count as junk. A tag whose size runs past the end takes the rest.
+Contents of any length are parsed whole. Repeated rows, and rows with a null key, are parsed alike; an empty table
+gives an empty result. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +48,7 @@ class Header:
     length: int
     mono: bool
     bound: int  # subbands before joint coding
+    kbps: int = 0
 
     @property
     def samples(self) -> int:
@@ -69,17 +77,17 @@ def read_header(word: int) -> Header | None:
     else:
         length = (72 if layer == 3 and version != V1 else 144) * speed // hz + pad
     mode = word >> 6 & 3
-    return Header(version, layer, not word >> 16 & 1, hz, length, mode == 3, 4 * (word >> 4 & 3) + 4 if mode == 1 else 32)
+    return Header(version, layer, not word >> 16 & 1, hz, length, mode == 3, 4 * (word >> 4 & 3) + 4 if mode == 1 else 32, speed // 1000)
 
 
 HEADERS: dict[int, Header | None] = {}
 
 
-def header(data: bytes, at: int) -> Header | None:
+def header(data: bytes, at: int, end: int | None = None) -> Header | None:
     word = int.from_bytes(data[at : at + 4], "big")
-    if word >> 21 != 0x7FF or at + 4 > len(data):
+    if word >> 21 != 0x7FF or at + 4 > (len(data) if end is None else end):
         return None
-    key = word & 0xFFFFFEF3 | 0  # the bits for private use, copyright and original don't count
+    key = word & 0xFFFFFEF3  # the bits for private use, copyright and original don't count
     if key not in HEADERS:
         HEADERS[key] = read_header(key)
     return HEADERS[key]
@@ -108,17 +116,40 @@ def crc16(data: bytes, bits: int | None = None) -> int:
     return c
 
 
+def widths(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of layer II."""
+    if h.version != V1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbps if h.mono else h.kbps // 2
+    if each < 56:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return ([4] * 11 + [3] * 12 + [2] * 7)[: 30 if each >= 96 and h.rate != 48000 else 27]
+
+
+def selection(data: bytes, at: int, h: Header) -> int:
+    """Bits of the allocation and scale factor selection of a layer II frame whose allocation begins at a place."""
+    head, used, chosen = int.from_bytes(data[at : at + 24].ljust(24, b"\0"), "big"), 0, 0
+    for band, n in enumerate(widths(h)):
+        shared = h.mono or band >= h.bound
+        for _ in range(1 if shared else 2):
+            used += n
+            if head >> 192 - used & (1 << n) - 1:
+                chosen += 1 if h.mono or not shared else 2
+    return used + 2 * chosen
+
+
 def checksum(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether the frame's checksum holds; None if it can't be told."""
-    if h.layer == 2:
-        return None
+    """Whether the frame's checksum holds; None if the frame is too short for what it covers."""
     if h.layer == 3:
-        body, bits = data[at + 6 : at + 6 + h.side], None
+        bits = 8 * h.side
+    elif h.layer == 2:
+        bits = selection(data, at + 6, h)
     else:
         bits = 128 if h.mono else 8 * h.bound + 4 * (32 - h.bound)
-        body = data[at + 6 : at + 6 + (bits + 7) // 8]
-        bits += 16
-    return crc16(data[at + 2 : at + 4] + body, bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+    if 48 + bits > 8 * h.length:
+        return None
+    body = data[at + 6 : at + 6 + (bits + 7) // 8]
+    return crc16(data[at + 2 : at + 4] + body, bits + 16) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def synchsafe(b: bytes) -> int:
@@ -160,6 +191,18 @@ def id3v1(data: bytes, tags: dict[str, str]) -> int:
     return len(data) - 128
 
 
+@dataclass
+class Table:
+    """What a first frame says of the stream; seek holds offsets of bytes in the content."""
+
+    kind: str
+    frames: int | None = None
+    size: int | None = None
+    quality: int | None = None
+    seek: list[int] = field(default_factory=list)
+    cut: int = 0  # samples of delay and padding
+
+
 @dataclass
 class Stream:
     offsets: list[int] = field(default_factory=list)
@@ -168,8 +211,8 @@ class Stream:
     rate: int | None = None
     version: int | None = None
     layer: int | None = None
-    table: str | None = None
-    table_frames: int | None = None
+    table: Table | None = None
+    table_agrees: bool | None = None
     crc_checked: int = 0
     crc_failed: int = 0
     crc_unchecked: int = 0
@@ -177,22 +220,36 @@ class Stream:
     truncated: int = 0
 
 
-def rate_table(data: bytes, at: int, h: Header) -> tuple[str, int | None, int] | None:
-    """Kind, number of frames, and samples of delay and padding, of a first frame that holds a table."""
-    k = at + 4 + 2 * h.protected + h.side
-    kind = data[k : k + 4]
-    if kind in (b"Xing", b"Info"):
-        flags, k = int.from_bytes(data[k + 4 : k + 8], "big"), k + 8
-        frames = int.from_bytes(data[k : k + 4], "big") if flags & 1 else None
-        k += 4 * (flags & 1) + 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
-        cut = 0
-        if k + 24 <= at + h.length and data[k : k + 4] in (b"LAME", b"Lavf", b"Lavc"):
-            gap = int.from_bytes(data[k + 21 : k + 24], "big")
-            cut = (gap >> 12) + (gap & 0xFFF)
-        return kind.decode(), frames, cut
-    k = at + 4 + 32
-    if data[k : k + 4] == b"VBRI":
-        return "VBRI", int.from_bytes(data[k + 14 : k + 18], "big"), 0
+def rate_table(data: bytes, at: int, h: Header) -> Table | None:
+    """The table that a first frame holds, if it holds one."""
+    k, end = at + 4 + 2 * h.protected + h.side, at + h.length
+    number = lambda a, n=4: int.from_bytes(data[a : a + n], "big")
+    if data[k : k + 4] in (b"Xing", b"Info") and k + 8 <= end:
+        table, flags, k = Table(data[k : k + 4].decode()), number(k + 4), k + 8
+        if flags & 1:
+            table.frames, k = number(k), k + 4
+        if flags & 2:
+            table.size, k = number(k), k + 4
+        if flags & 4:
+            if table.size is not None and k + 100 <= end:
+                table.seek = [at + table.size * x // 256 for x in data[k : k + 100]]
+            k += 100
+        if flags & 8:
+            table.quality, k = number(k), k + 4
+        if k + 24 <= end and data[k : k + 4] in (b"LAME", b"Lavf", b"Lavc"):
+            gap = number(k + 21, 3)
+            table.cut = (gap >> 12) + (gap & 0xFFF)
+        return table
+    k = at + 36
+    if data[k : k + 4] == b"VBRI" and k + 26 <= end:
+        table = Table("VBRI", number(k + 14), number(k + 10), number(k + 8, 2))
+        n, scale, size = number(k + 18, 2), number(k + 20, 2), number(k + 22, 2)
+        if 0 < size <= 4 and k + 26 + n * size <= end:
+            to = end
+            for i in range(n):
+                table.seek.append(to)
+                to += scale * number(k + 26 + i * size, size)
+        return table
     return None
 
 
@@ -202,30 +259,32 @@ def parse(data: bytes) -> Stream:
     while (after := id3v2(data, at, s.tags)) > at:
         at = after
     end = id3v1(data, s.tags) if at < len(data) else at
-    cut, first = 0, None
+    first, follows = None, at  # follows: where the last frame, or the tag before all, ends
+    cut, junk, begin = -1, 0, at  # a header whose frame runs past the end, and the junk before it
     while at < end:
-        h = header(data, at)
+        h = header(data, at, end)
         fits = h is not None and (first is None or h.kind == first.kind)
-        if fits and at + h.length < end:
-            follower = header(data, at + h.length)
-            # Right after a frame a good header is believed even if junk follows; elsewhere the next frame must confirm it.
-            fits = follower is not None and follower.kind == h.kind or bool(s.offsets) and s.offsets[-1] == previous and previous_end == at
+        if fits and at + h.length > end:
+            if at == follows:
+                cut, junk = at, s.junk
+            fits = False
+        elif fits and at + h.length < end:
+            follower = header(data, at + h.length, end)
+            fits = follower is not None and follower.kind == h.kind or first is not None and at == follows
         if not fits:
             to = data.find(b"\xff", at + 1, end)
             to = end if to < 0 else to
             s.junk += to - at
             at = to
             continue
-        if at + h.length > end:
-            s.truncated += 1
-            break
+        cut = -1
         if first is None:
-            first = h
+            first, begin = h, at
             s.version, s.layer, s.rate = h.version, h.layer, h.rate
             if h.layer == 3 and (found := rate_table(data, at, h)):
-                s.table, s.table_frames, cut = found
-                at += h.length
-                previous, previous_end = -1, at
+                s.table = found
+                follows = at = at + h.length
+                begin = at
                 continue
         if h.protected:
             ok = checksum(data, at, h)
@@ -233,23 +292,29 @@ def parse(data: bytes) -> Stream:
             s.crc_checked += ok is not None
             s.crc_failed += ok is False
         s.offsets.append(at)
-        previous, at = at, at + h.length
-        previous_end = at
+        follows = at = at + h.length
+    if cut >= 0:
+        s.truncated, s.junk = 1, junk
     if first:
-        s.samples = max(0, len(s.offsets) * first.samples - cut)
+        s.samples = max(0, len(s.offsets) * first.samples - (s.table.cut if s.table else 0))
+    if t := s.table:
+        # Encoders count the bytes with the table's own frame or without it.
+        sizes = (None, follows - begin, follows - begin + first.length)
+        s.table_agrees = t.frames in (None, len(s.offsets)) and t.size in sizes
     return s
 
 
-COLUMNS = [("n_frames", pa.int32()), ("n_samples", pa.int64()), ("sample_rate", pa.int32()), ("duration_s", pa.float64()), ("version", pa.string()), ("layer", pa.int32()), ("rate_table", pa.string()), ("table_frames", pa.int64()), ("crc_checked", pa.int32()), ("crc_failed", pa.int32()), ("crc_unchecked", pa.int32()), ("junk_bytes", pa.int64()), ("truncated", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())), ("frame_offsets", pa.list_(pa.int64()))]
-SQL_TYPES = {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string"}
+COLUMNS = [("n_frames", pa.int32()), ("n_samples", pa.int64()), ("sample_rate", pa.int32()), ("duration_s", pa.float64()), ("version", pa.string()), ("layer", pa.int32()), ("rate_table", pa.string()), ("table_frames", pa.int64()), ("table_bytes", pa.int64()), ("table_quality", pa.int64()), ("table_agrees", pa.bool_()), ("crc_checked", pa.int32()), ("crc_failed", pa.int32()), ("crc_unchecked", pa.int32()), ("junk_bytes", pa.int64()), ("truncated", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())), ("seek_table", pa.list_(pa.int64())), ("frame_offsets", pa.list_(pa.int64()))]
+SQL_TYPES = {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
 
 
 def row(data: bytes | None) -> dict:
     if data is None:
         return {}
     s = parse(data)
+    t = s.table or Table("")
     return {
-        "n_frames": len(s.offsets), "n_samples": s.samples, "sample_rate": s.rate, "duration_s": s.samples / s.rate if s.rate else None, "version": {V1: "1", V2: "2", V25: "2.5"}.get(s.version), "layer": s.layer, "rate_table": s.table, "table_frames": s.table_frames,
+        "n_frames": len(s.offsets), "n_samples": s.samples, "sample_rate": s.rate, "duration_s": s.samples / s.rate if s.rate else None, "version": {V1: "1", V2: "2", V25: "2.5"}.get(s.version), "layer": s.layer, "rate_table": t.kind or None, "table_frames": t.frames, "table_bytes": t.size, "table_quality": t.quality, "table_agrees": s.table_agrees, "seek_table": t.seek if s.table else None,
         "crc_checked": s.crc_checked, "crc_failed": s.crc_failed, "crc_unchecked": s.crc_unchecked, "junk_bytes": s.junk, "truncated": s.truncated, "tags": [*s.tags.items()], "frame_offsets": s.offsets,
     }
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .mpeg import BITRATES, RATES, V1, V2, V25, Header, crc16, read_header
+from .mpeg import BITRATES, V1, V2, V25, Header, crc16, read_header, selection
 
 
 def synchsafe(n: int) -> bytes:
@@ -26,14 +26,19 @@ def words(version: int, layer: int, rate: int, protected: bool, mono: bool) -> l
     return [0xFFE00000 | version << 19 | 4 - layer << 17 | (not protected) << 16 | bits << 12 | rate << 10 | (3 if mono else 0) << 6 for bits in range(1, len(BITRATES[version == V1, layer]) + 1)]
 
 
+def fixed(h: Header) -> bytes:
+    """What lies before the payload and under the checksum, without a sync word: side information (III) and allocation (I) of zeros, allocation and selection (II) of a pattern."""
+    return bytes(h.side) if h.layer == 3 else bytes(16 if h.mono else 32) if h.layer == 1 else b"\x21\x43\x05" * 13
+
+
 def frame(word: int, h: Header, payload: bytes, wrong: bool = False) -> bytes:
-    """A frame around its payload; layer III side information and layer I allocation are zeros, so that they hold no sync word."""
-    fixed = h.side if h.layer == 3 else 16 if h.mono else 32
-    body = (bytes(fixed) + payload).ljust(h.length - 4 - 2 * h.protected, b"\0")
+    """A frame around its payload."""
+    before = fixed(h)
+    body = (before + payload).ljust(h.length - 4 - 2 * h.protected, b"\0")
     check = b""
     if h.protected:
-        bits = None if h.layer == 3 else 16 + 8 * fixed
-        check = (crc16(word.to_bytes(4, "big")[2:] + body[:fixed], bits) ^ wrong).to_bytes(2, "big")
+        bits = selection(body, 0, h) if h.layer == 2 else 8 * len(before)
+        check = (crc16(word.to_bytes(4, "big")[2:] + body[: (bits + 7) // 8], 16 + bits) ^ wrong).to_bytes(2, "big")
     return word.to_bytes(4, "big") + check + body
 
 
@@ -43,7 +48,7 @@ def clip(number: int, text: str | None) -> tuple[bytes | None, list[int]]:
         return None, []
     number = abs(number)
     data = text.encode()
-    version, layer = (V1, V1, V2, V25)[number % 4], 1 if number % 7 == 3 else 3
+    version, layer = (V1, V1, V2, V25)[number % 4], {3: 1, 6: 2}.get(number % 7, 3)
     rate, mono, protected, varying = number // 4 % 3, number // 3 % 2 == 0, number % 2 == 0, number % 5 == 2
     choices = [(w, h) for w in words(version, layer, rate, protected, mono) if (h := read_header(w)) and h.length > 160]
     out, offsets = bytearray(), []
@@ -58,13 +63,22 @@ def clip(number: int, text: str | None) -> tuple[bytes | None, list[int]]:
         if number % 11 == 5 and i and i % 6 == 0:
             frames += b"\xff\xfa junk \xff" + bytes(13)
         starts.append(len(frames))
-        room = h.length - 4 - 2 * h.protected - (h.side if layer == 3 else 16 if mono else 32)
+        room = h.length - 4 - 2 * h.protected - len(fixed(h))
         frames += frame(word, h, data[k : k + room], number % 13 == 6 and i == 1)
         k += room
         i += 1
     if varying and layer == 3 and data:
         word, h = choices[min(len(choices), 8) - 1]
-        table = b"Xing" + (3).to_bytes(4, "big") + i.to_bytes(4, "big") + len(frames).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 100).to_bytes(3, "big")
+        if number % 10 == 7:
+            # A seek entry for each four frames, their bytes in units of two.
+            sizes = [b - a for a, b in zip(starts, [*starts[1:], len(frames)])]
+            entries = [sum(sizes[j : j + 4]) // 2 for j in range(0, i, 4)][:20]
+            about = (1, 0, 75), (len(frames), i), (len(entries), 2, 2, 4)
+            table = bytes(32 - h.side) + b"VBRI" + b"".join(x.to_bytes(n, "big") for xs, n in zip(about, (2, 4, 2)) for x in xs) + b"".join(e.to_bytes(2, "big") for e in entries)
+        else:
+            size = h.length + len(frames)
+            seek = bytes(min(254, 256 * (h.length + starts[i * j // 100]) // size) for j in range(100)) if h.length > 200 else b""
+            table = b"Xing" + (7 if seek else 3).to_bytes(4, "big") + i.to_bytes(4, "big") + size.to_bytes(4, "big") + seek + b"LAME3.100" + bytes(12) + (576 << 12 | 100).to_bytes(3, "big")
         out += frame(word, h, table)
     offsets = [len(out) + s for s in starts]
     out += frames
