@@ -10,9 +10,12 @@ block they differ in at most 2 (8 blocks with 3 or more would make 24), so the u
 searches of radius 2 in the block's Hamming metric has every pair. In each block fingerprints are partitioned by
 their distance to fixed vantage points. A fingerprint lives in the shard of its own distances and visits, as a
 query, the shards whose distances are within the radius: by the triangle inequality no pair is lost, and each
-pair of shards meets once. Inside a shard a vantage-point tree over the distinct block values prunes branches
-through the triangle bounds; survivors are compared over all 128 bits. More vantage points are used as
-fingerprints grow in number, which keeps a shard within a worker's memory.
+pair of shards meets once. The vantage points differ from each other in even numbers of bits, so a fingerprint's
+distances to them are all even or all odd, and only such shards are visited. Inside a shard a vantage-point tree over
+the distinct block values prunes branches through the triangle bounds; survivors are compared over all 128 bits. A pair
+is told by the first block that has it, so none is found twice and no pairs are shuffled to make them distinct. More
+vantage points are used as fingerprints grow in number; a shard that still has more than ``SHARD_ROWS`` rows is
+divided, and each two of its divisions are compared on their own, so that what a worker holds is bounded at any size.
 
 Confirmation. The words of documents that have a pair, as 64-bit hashes, are brought together with their pairs by
 component of the unconfirmed pairs; a component of more than ``TOGETHER`` documents is divided, and the pairs of each
@@ -22,12 +25,15 @@ Groups are the connected components of the confirmed pairs, found by alternating
 
 Defined results: a null, empty or wordless text has no fingerprint and belongs to no group. A null doc_id is
 compared with nothing and its row stays. Repeated rows are copies: one stays. Rows of one doc_id with unlike texts
-are versions of one document: its group lists the doc_id once for each, and one row of each text stays. The document with the smallest
-doc_id of a group stays. The search is exact: every fingerprint is a query, and no count of partners is capped.
+are versions of one document: its group lists the doc_id once for each, and one row of each text stays. The document
+with the smallest doc_id of a group stays. The search is exact: every fingerprint is a query, and no count of partners
+is capped. Texts of any length vote with all their words. An empty table has no groups, and stays as it is. Other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -44,7 +50,9 @@ LIMIT = BLOCKS * (RADIUS + 1) - 1
 #: Vantage points of a block's metric: each halves what the ones before leave together.
 VANTAGES = (0x5A3C, 0x5A3C ^ 0x00FF, 0x5A3C ^ 0x0F0F, 0x5A3C ^ 0x3333)
 #: Fingerprints up to which one vantage point is enough; each further one serves this many times more.
-LEVEL_ROWS, LEVEL_FACTOR = 20_000_000, 5
+LEVEL_ROWS, LEVEL_FACTOR = 5_000_000, 5
+#: Rows of a shard, visits included, that a worker compares at once.
+SHARD_ROWS = 4_000_000
 #: Pairs of block values, or of fingerprints, that are compared at once.
 CHUNK = 1 << 21
 #: Share of the distinct words of two documents that both have, at least.
@@ -139,17 +147,31 @@ def tree_pairs(home: np.ndarray, query: np.ndarray, radius: int = RADIUS, leaf:
     return np.concatenate([q for q, _ in found]), np.concatenate([h for _, h in found])
 
 
-def shard_pairs(block: int, rep: np.ndarray, hi: np.ndarray, lo: np.ndarray, visits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Near pairs (a, b, distance), a < b, of a shard: among its own fingerprints, and with those that visit."""
-    hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+def block_values(hi: np.ndarray, lo: np.ndarray, block: int) -> np.ndarray:
     half, shift = (hi, 48 - 16 * block) if block < 4 else (lo, 48 - 16 * (block - 4))
-    value = ((half >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return ((half >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def shard_pairs(block: int, rep: np.ndarray, hi: np.ndarray, lo: np.ndarray, visits: np.ndarray, second: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Near pairs (a, b, distance), a < b, of a shard that no earlier block has: among its own fingerprints, and with those that visit.
+
+    With second, which tells two divisions of a shard apart, the pairs between the divisions alone.
+    """
+    hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+    value = block_values(hi, lo, block)
     order = np.lexsort((rep, value))
     rep, hi, lo, value, visits = rep[order], hi[order], lo[order], value[order], visits[order]
-    own, guest = np.flatnonzero(~visits), np.flatnonzero(visits)
-    home, first = np.unique(value[own], return_index=True)
-    size = np.diff(np.append(first, len(own)))
-    for asked, inside in ((own, True), (guest, False)):
+    if second is None:
+        tasks = [(~visits, ~visits), (visits, ~visits)]
+    else:
+        second = second[order]
+        tasks = [(~visits & second, ~visits & ~second), (visits & second, ~visits & ~second), (visits & ~second, ~visits & second)]
+    for k, (asking, at_home) in enumerate(tasks):
+        asked, own, inside = np.flatnonzero(asking), np.flatnonzero(at_home), second is None and not k
+        if not len(asked) or not len(own):
+            continue
+        home, first = np.unique(value[own], return_index=True)
+        size = np.diff(np.append(first, len(own)))
         values, start = np.unique(value[asked], return_index=True)
         count = np.diff(np.append(start, len(asked)))
         q, h = tree_pairs(home, values)
@@ -160,8 +182,12 @@ def shard_pairs(block: int, rep: np.ndarray, hi: np.ndarray, lo: np.ndarray, vis
         for a, b in zip(bounds, [*bounds[1:], len(q)]):
             for x, y in expand(q[a:b], h[a:b], many[a:b], start, first, size, asked, own):
                 d = np.bitwise_count(hi[x] ^ hi[y]).astype(np.int32) + np.bitwise_count(lo[x] ^ lo[y])
-                keep = (d <= LIMIT) & ((rep[x] != rep[y]) if not inside else (x < y))
-                if keep.any():
+                keep = np.flatnonzero((d <= LIMIT) & ((rep[x] != rep[y]) if not inside else (x < y)))
+                for earlier in range(block):
+                    if len(keep):
+                        u, v = x[keep], y[keep]
+                        keep = keep[np.bitwise_count(block_values(hi[u] ^ hi[v], lo[u] ^ lo[v], earlier)) > RADIUS]
+                if len(keep):
                     u, v = rep[x[keep]], rep[y[keep]]
                     yield np.minimum(u, v), np.maximum(u, v), d[keep]
 
@@ -185,23 +211,38 @@ def near_pairs(entries: DataFrame, levels: int | None = None) -> DataFrame:
             levels += 1
     block = lambda b: F.shiftrightunsigned("hi" if b < 4 else "lo", 48 - 16 * (b % 4)).bitwiseAND(0xFFFF)
     distances = F.array(*(F.array(*(F.bit_count(block(b).bitwiseXOR(v)) for v in VANTAGES[:levels])) for b in range(BLOCKS)))
+    homes = entries.select("rep", "hi", "lo", F.posexplode(distances).alias("block", "d"))
     # A pair of different cells meets in the later one; the entry from the earlier one visits it.
-    steps = [s for s in product(range(-RADIUS, RADIUS + 1), repeat=levels) if s >= (0,) * levels]
+    steps = [s for s in product(range(-RADIUS, RADIUS + 1), repeat=levels) if s >= (0,) * levels and len({x % 2 for x in s}) == 1]
     cells = F.explode(F.array(*(F.array(*(F.lit(x) for x in s)) for s in steps)))
     placed = (
-        entries.select("rep", "hi", "lo", F.posexplode(distances).alias("block", "d"))
-        .select("rep", "hi", "lo", "block", "d", cells.alias("step"))
+        homes.select("rep", "hi", "lo", "block", "d", cells.alias("step"))
         .select("rep", "hi", "lo", "block", F.exists("step", lambda x: x != 0).alias("visits"), F.zip_with("d", "step", lambda x, y: x + y).alias("cell"))
         .where(F.forall("cell", lambda x: x.between(0, BITS)))
     )
-
-    def run(key, table):
+    # There are as many cells as distances, whatever the number of entries.
+    own: Counter = Counter({(r.block, tuple(r.d)): r["count"] for r in homes.groupBy("block", "d").count().collect()})
+    rows: Counter = Counter()
+    for (b, d), n in own.items():
+        for s in steps:
+            rows[b, tuple(x + y for x, y in zip(d, s))] += n
+    large = [(b, [*c], -(-n // SHARD_ROWS)) for (b, c), n in rows.items() if n > SHARD_ROWS and own[b, c]]
+    if large:
+        parts = entries.sparkSession.createDataFrame(large, "block int, cell array<int>, parts int")
+        placed = placed.join(F.broadcast(parts), ["block", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("rep", "hi", "lo", "block", "cell", "visits", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part")
+    else:
+        placed = placed.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"))
+    names = ["a", "b", "distance"]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([*batches])
+        block, i, j = (key[k].as_py() for k in (0, 2, 3))
         col = lambda c: table.column(c).to_numpy()
-        found = [*shard_pairs(key[0].as_py(), col("rep"), col("hi"), col("lo"), col("visits"))]
-        a, b, d = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "distance": d.astype(np.int32)})
+        for a, b, d in shard_pairs(block, col("rep"), col("hi"), col("lo"), col("visits"), None if i == j else col("part") == j):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=names)
 
-    return placed.groupBy("block", "cell").applyInArrow(run, "a bigint, b bigint, distance int").distinct()
+    return placed.groupBy("block", "cell", "i", "j").applyInArrow(run, "a bigint, b bigint, distance int")
 
 
 def word_sets(docs: DataFrame) -> DataFrame:

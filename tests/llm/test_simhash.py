@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
+import pytest
 
 from siftwell.llm import simhash as sh
 
@@ -42,16 +44,38 @@ def test_tree_search_equals_brute_force():
     assert sorted(zip(*map(np.ndarray.tolist, sh.tree_pairs(home[:1], query)))) == sorted((int(i), 0) for i in np.flatnonzero(np.bitwise_count(query ^ home[0]) <= 2))
 
 
-def test_pairs_equal_brute_force_at_every_level(spark):
+@pytest.mark.parametrize("size", [None, 150])
+def test_pairs_equal_brute_force_at_every_level(spark, monkeypatch, size):
+    """Also where shards are divided."""
+    if size:
+        monkeypatch.setattr(sh, "SHARD_ROWS", size)
     rows = planted(200)
     d = spark.createDataFrame(rows, "rep bigint, hi bigint, lo bigint")
     want = brute(rows)
     assert {x[2] for x in want} >= set(range(1, 24)) and len(want) > 150
-    for levels in (1, 2):
+    for levels in (1, 2) if size else (1, 2, 3, 4):
         got = [tuple(r) for r in sh.near_pairs(d, levels).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rows_of_a_fingerprint_by_level():
+    """Distances to the vantage points are all even or all odd, so steps of mixed parity would visit empty cells."""
+    g = np.random.default_rng(3)
+    x = g.integers(0, 65536, 5000).astype(np.uint16)
+    d = np.stack([np.bitwise_count(x ^ np.uint16(v)) for v in sh.VANTAGES])
+    assert ((d % 2) == (d[0] % 2)).all()
+    for levels, rows in ((1, 24), (2, 56), (3, 144), (4, 392)):
+        steps = [s for s in itertools.product(range(-2, 3), repeat=levels) if s >= (0,) * levels and len({y % 2 for y in s}) == 1]
+        assert 8 * len(steps) == rows
+
+
+def test_a_pair_of_several_blocks_is_told_once():
+    rows = [(i, 0, i) for i in range(60)]
+    rep, hi, lo = (np.array(c, np.int64) for c in zip(*rows))
+    found = [p for b in range(8) for f in sh.shard_pairs(b, rep, hi, lo, np.zeros(60, bool)) for p in zip(*(c.tolist() for c in f))]
+    assert len(found) == len(set(found)) == 60 * 59 // 2
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(a, b) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(180)) if a != b] + [(1000 + i, 1001 + i) for i in range(40)]
