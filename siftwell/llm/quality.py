@@ -3,13 +3,18 @@
 Each line is labelled good or bad. Its features are shares of character classes, repeated words, word and line
 lengths, how it begins and ends and whether the document has it before; the same features of the line before and
 the line after stand beside its own. A transition matrix links neighbouring labels. Weights maximise the
-conditional likelihood of the labels of a bounded sample of labelled documents (``sample`` rows by a hash of the
-id; every line carries its document's label), with an L2 penalty. A document's quality is the mean of its lines'
-forward-backward marginals of "good", weighted by line length; it is kept from ``threshold`` on.
-
-Defined results: a text that is null, empty or blank has a null quality and isn't kept. Repeated rows are judged
-alike. Lines are separated by line feeds; a last empty line counts as a line of length 0. Conflicting labels of one
-doc_id count as bad. Without labels of both classes no line can be told apart, and every text with a line is kept.
+conditional likelihood of the labels of a bounded sample of labelled documents, with an L2 penalty. A line carries
+its document's label; so that chains have borders to learn from, documents of the rarer class are also joined with
+those of the other, by turns before and behind them, as chains whose label changes in between, half as many as there
+are of the other class. A document's quality is the mean of its lines' forward-backward marginals of "good", weighted by line length; it is kept from ``threshold`` on.
+
+The sample, which alone goes to the driver: at most ``sample`` labelled rows in the order of a hash of their id, those
+of over ``longest`` characters left out, up to ``max_lines`` lines in all. Any text, however long, is assessed whole.
+
+Defined results: a text that is null, empty or blank has a null quality and isn't kept. Repeated rows, and rows with a
+null doc_id, are judged alike. Lines are separated by line feeds; a last empty line counts as a line of length 0.
+Conflicting labels of one doc_id count as bad. Without labels of both classes no line can be told apart, and every text
+with a line is kept. An empty table gives an empty result. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,26 +152,42 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, penalty: float = 1.
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Field | None:
-    """A field from at most ``sample`` labelled documents; None if their labels are all alike."""
-    each = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all lines, and the number of lines of each text."""
+    parts = [line_features(texts[k : k + 500]) for k in range(0, len(texts), 500)]
+    return np.concatenate([x for x, _, _ in parts]), np.concatenate([n for _, _, n in parts])
+
+
+def joined(texts: list[str], quality: list[int]) -> tuple[list[str], np.ndarray]:
+    """A text of the rarer class and one of the other, by turns in both orders, as one text; and the labels of all lines."""
+    at = [[i for i, q in enumerate(quality) if q == k] for k in (0, 1)]
+    rare, often = sorted(at, key=len)
+    n = max(len(rare), len(often) // 2)
+    pairs = [(rare[k % len(rare)], often[k % len(often)])[:: 1 - 2 * ((k + k // len(rare)) % 2)] for k in range(n)]
+    label = np.concatenate([np.repeat([quality[a], quality[b]], [texts[a].count("\n") + 1, texts[b].count("\n") + 1]) for a, b in pairs])
+    return [f"{texts[a]}\n{texts[b]}" for a, b in pairs], label
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                x, _, count = line_features(part.column("text").to_pylist())
-                ends = np.cumsum(count)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([x[e - c : e].tobytes() for e, c in zip(ends, count)], pa.binary())], names=["doc_id", "quality", "x"])
 
-    table = map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text").where("length(trim(text)) > 0").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text"), run, "doc_id bigint, quality int, x binary").orderBy("doc_id", "x").toArrow()
-    quality = np.array(table.column("quality").to_pylist())
-    if len(set(quality)) < 2:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 100_000, max_lines: int = 200_000) -> Field | None:
+    """A field from a bounded sample of labelled documents; None if their labels are all alike."""
+    each = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = docs.select(F.col("doc_id").cast("bigint"), "text").where(f"length(trim(text)) > 0 and length(text) <= {longest:d}")
+    rows = usable.join(F.broadcast(picked), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    texts, quality, lines = [], [], 0
+    for r in rows.toLocalIterator():
+        lines += r.text.count("\n") + 1
+        if lines > max_lines or len(texts) == sample:
+            break
+        texts.append(r.text)
+        quality.append(r.quality)
+    if len({*quality}) < 2:
         return None
-    xs = [np.frombuffer(b, float).reshape(-1, FEATURES) for b in table.column("x").to_pylist()]
-    count = np.array([len(x) for x in xs])
-    return fit(np.concatenate(xs), count, np.repeat(quality, count))
+    x, count = features_of(texts)
+    label = np.repeat(quality, count)
+    mixed, borders = joined(texts, quality)
+    y, more = features_of(mixed)
+    return fit(np.concatenate([x, y]), np.concatenate([count, more]), np.concatenate([label, borders]))
 
 
 def assess(docs: DataFrame, field: Field | None, threshold: float = 0.5) -> DataFrame:

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import os
 
 import numpy as np
 
 from siftwell.llm import quality as q
 
-from .conftest import ODD
+from .conftest import DATA, ODD
 
 
 def test_marginals_equal_the_sum_over_all_labellings():
@@ -56,6 +57,37 @@ def test_held_out_accuracy(tables):
     assert sum(r.keep == bool(r.label) for r in rows) >= 0.9 * len(rows) and sum(good) >= 0.95 * len(good)
 
 
+def test_lines_of_mixed_documents(spark, tables):
+    """Held-out good and bad documents joined in both orders: their lines are told apart."""
+    large = DATA.replace("sf0.001", "sf0.01")
+    read = lambda t: spark.read.parquet(f"{large if os.path.isdir(large) else DATA}/{t}.parquet")
+    labels = read("labels")
+    field = q.train(read("documents"), labels.where("doc_id % 2 = 0"))
+    rows = read("documents").join(labels.where("doc_id % 2 = 1"), "doc_id").where("length(trim(text)) > 0").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in rows if r.quality == k] for k in (1, 0))
+    wrong = {1: [0, 0], 0: [0, 0]}
+    for i, b in enumerate(bad):
+        for g in good[i::50][:4]:
+            parts = [(g, 1), (b, 0)][:: 1 - 2 * (i % 2)]
+            x, size, count = q.line_features([parts[0][0] + "\n" + parts[1][0]])
+            label = np.repeat([k for _, k in parts], [t.count("\n") + 1 for t, _ in parts])
+            called = q.marginals(field, x @ field.weights, count)[0] >= 0.5
+            for k in (0, 1):
+                wrong[k][0] += size[(label == k) & (called != k)].sum()
+                wrong[k][1] += size[label == k].sum()
+    assert len(bad) > 5 and all(a <= 0.15 * n for a, n in wrong.values()), wrong
+    assert field.move[0, 0] > field.move[0, 1] and field.move[1, 1] > field.move[1, 0]
+
+
+def test_bounds_of_the_sample(spark, docs):
+    rows = [(i, f"Good words stand here {i}.\nAnd here they end.") for i in range(20)] + [(20 + i, f"#$% {i} |||\n@@ ^^") for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id bigint, quality int")
+    same = lambda a, b: np.array_equal(a.weights, b.weights)
+    whole = q.train(docs(rows), labels)
+    assert same(whole, q.train(docs(rows + [(0, "x " * 60_000)]), labels)) and not same(whole, q.train(docs(rows), labels, max_lines=40))
+    assert not same(whole, q.train(docs(rows), labels, sample=25)) and q.train(docs(rows), labels, max_lines=3) is None
+
+
 def test_odd_rows(spark, docs, tables):
     field = q.train(tables("documents"), tables("labels"))
     rows = [*enumerate(ODD), (3, "x"), (None, "A good line of words.\n" * 3)]
