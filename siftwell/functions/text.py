@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -12,12 +14,13 @@ from pyspark.sql import types as T
 
 #: White space that a trim takes off, beside what Java's \\s has.
 BLANKS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+BLANK = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc_fold(s: pd.Series) -> pd.Series:
     """NFKC, trimmed, lower case: the form in which titles are compared."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().lower())
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip(BLANK).lower())
 
 
 @F.pandas_udf(T.StringType())
@@ -110,14 +113,45 @@ def repository_path(c: Column) -> Column:
     return F.when(~(p.startswith("/") | (p == "..") | p.startswith("../") | p.contains("/../")), p)
 
 
-def redact(c: Column) -> Column:
-    """Bearer tokens and credentials in URLs are replaced."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [redacted]"), r"(?i)(://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@")
+def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """Each given secret of 8 UTF-16 units or more, and what stands after "Bearer", is replaced."""
+    for secret in secrets:
+        if len(secret.encode("utf-16-le", "surrogatepass")) >= 16:
+            c = F.replace(c, F.lit(secret), F.lit("[REDACTED]"))
+    return F.regexp_replace(c, rf"(?i)(Bearer{BLANKS}+)[a-z0-9._-]+", "$1[REDACTED]")
 
 
-def terminal_safe(c: Column) -> Column:
-    """Control characters as visible escapes of one kind."""
-    return F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f-\x9f\u202a-\u202e\u2066-\u2069]", "?")
+#: Control and format characters, line and paragraph separators.
+UNSEEN = re.compile("[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cc", "Cf", "Zl", "Zp")) + "]")
+
+
+def terminal_safe(limit: int = 2048):
+    """A UDF that writes a text as a JSON string does, without the quotes, and with escapes for what can't be seen.
+
+    A result of more than ``limit`` bytes of UTF-8 is cut at a character border and ends with three dots.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def safe(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            text = UNSEEN.sub(lambda m: f"\\u{ord(m.group()):04x}", json.dumps(x, ensure_ascii=False)[1:-1])
+            raw = text.encode()
+            return text if len(raw) <= limit else raw[: max(0, limit - 3)].decode("utf-8", "ignore") + "..."
+
+        return s.map(one)
+
+    return safe
+
+
+def utf16(c: Column) -> Column:
+    """A text's UTF-16 units as bytes; their order is that of the units."""
+    return F.encode(c, "UTF-16BE")
+
+
+def utf16_length(c: Column) -> Column:
+    return (F.octet_length(utf16(c)) / 2).cast("int")
 
 
 def half_up_tenths(numerator: Column, denominator: Column) -> Column:

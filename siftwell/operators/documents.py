@@ -79,10 +79,31 @@ def copied_blocks(peers: DataFrame, canonical: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that can reach themselves over (src, dst), under the smallest node of their component.
 
-    Nodes that nothing points to, or that point to nothing, are in no cycle and go first, as long as that takes
-    away a tenth of the edges; then reachability doubles its length a round, until it is stable.
+    Nodes that nothing points to, or that point to nothing, are in no cycle and go first. Then the smallest node that
+    reaches each node, its colour, spreads along the edges; the nodes of a colour that reach back to the node that
+    gave it are a component. They go, and the rest begins anew. No relation is ever larger than the edges.
     """
-    live = checkpointed(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    live = trimmed_edges(checkpointed(edges.where("src is not null and dst is not null").select("src", "dst").distinct()))
+    found = [live.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
+    while not live.isEmpty():
+        colour = spread(live, live.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        ends = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst")
+        same = checkpointed(ends.where("c = d").select("src", "dst"))
+        # Backwards from each colour's own node, within the colour.
+        back = spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour"))
+        part = checkpointed(back.select("node", F.col("colour").alias("component")))
+        inside = part.groupBy("component").count().where("count > 1").select("component")
+        found.append(part.join(inside, "component", "left_semi").select("node", "component"))
+        gone = part.select("node")
+        live = trimmed_edges(checkpointed(ends.where("c = d").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def trimmed_edges(live: DataFrame) -> DataFrame:
+    """The edges without nodes that nothing points to or that point to nothing, while that takes away a tenth of them."""
     count = live.count()
     while count:
         ends = live.select(F.col("src").alias("n")).intersect(live.select(F.col("dst").alias("n")))
@@ -90,15 +111,19 @@ def cycles(edges: DataFrame) -> DataFrame:
         before, count = count, live.count()
         if count > 0.9 * before:
             break
-    reach, size = live, count
-    while size:
-        further = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        reach = checkpointed(reach.union(further).distinct())
-        before, size = size, reach.count()
-        if size == before:
-            break
-    both = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    return both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
+    return live
+
+
+def spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """(node, colour) with the smallest colour that reaches each node, also of nodes that had none."""
+    state, before = checkpointed(colour), None
+    while True:
+        sent = edges.join(state.select(F.col("node").alias("src"), "colour"), "src").select(F.col("dst").alias("node"), "colour")
+        state = checkpointed(state.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()
+        if now == before:
+            return state
+        before = now
 
 
 def instruction_gate(diagnostics: DataFrame, by: str) -> DataFrame:

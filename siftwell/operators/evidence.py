@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_quoted_path, line_slice, normal_lines, trimmed
+from ..functions.text import decode_quoted_path, line_slice, nfkc_fold, normal_lines, trimmed
 from .findings import conflicts
 
 MAX_RANGE, MIN_QUOTE = 200, 8
@@ -80,7 +80,7 @@ def verified(candidates: DataFrame, lines: DataFrame, contents: DataFrame, files
     matches = ranges.join(placed.select("candidate_id", "clean"), "candidate_id").groupBy("candidate_id").agg(F.min(F.when(normal_lines(F.col("text")) == F.col("clean"), F.struct(preference.alias("p"), source.alias("o"), "disposition", "source"))).alias("best"))
     keys = ["patch_id", "path", "start_line", "end_line", "key_title"]
     # Null-safe keys: candidates without a place can conflict too.
-    keyed = placed.withColumns({"key_title": F.lower(trimmed(F.col("title"))), **{k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("path", "start_line", "end_line")}})
+    keyed = placed.withColumns({"key_title": nfkc_fold("title"), **{k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("path", "start_line", "end_line")}})
     disputed = keyed.join(conflicts(keyed, keys), keys, "left_semi").select("candidate_id").withColumn("disputed", F.lit(True))
     joined = placed.join(matches, "candidate_id", "left").join(disputed, "candidate_id", "left")
     short = F.length("clean") < MIN_QUOTE

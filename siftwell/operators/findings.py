@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nfkc_fold
+from ..functions.text import nfkc_fold, utf16, utf16_length
 
 SEVERITIES = tuple("P0 P1 P2 P3 NIT".split())
 #: The earlier lifecycle wins when duplicates merge.
@@ -28,16 +28,26 @@ def name(position: Column, names: tuple[str, ...]) -> Column:
 
 
 def preferred(text: str, among: Column | None = None) -> Column:
-    """The longest text of a group; of equally long ones the smallest. Nulls don't count."""
-    key = F.struct((-F.length(text)).alias("shorter"), F.col(text).alias("text"))
+    """The text of a group with most UTF-16 units; of equally long ones the smallest in their order. Nulls don't count."""
+    key = F.struct((-utf16_length(F.col(text))).alias("shorter"), utf16(F.col(text)).alias("units"), F.col(text).alias("text"))
     keep = F.col(text).isNotNull() if among is None else F.col(text).isNotNull() & among
     return F.min(F.when(keep, key))["text"]
 
 
+#: A finding's fields in its canonical form, by the column that holds each.
+CANONICAL = {
+    "actualBehavior": "actual_behavior", "blockingVerificationUnresolved": "unresolved", "confidence": "confidence", "disposition": "disposition", "evidence": "evidence", "expectedBehavior": "expected_behavior", "id": "id", "impact": "impact", "lifecycle": "lifecycle",
+    "location": None, "remediation": "remediation", "ruleId": "rule_id", "severity": "severity", "stages": "stages", "title": "title", "trigger": "trigger", "verification": "verification",
+}
+
+
 def canonical(findings: DataFrame) -> Column:
-    """JSON of a finding with sorted keys and explicit nulls, which breaks ties between duplicates."""
-    fields = sorted(c for c in findings.columns if c not in ("key_title", "event_id", "user_id"))
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    """Canonical JSON of a finding: keys in order, explicit nulls, null for a missing place."""
+    of = lambda c, kind="string": F.col(c) if c in findings.columns else F.lit(None).cast(kind)
+    place = F.when(F.col("path").isNotNull(), F.struct(F.col("end_line").alias("endLine"), "path", F.col("start_line").alias("startLine")))
+    fields = [(place if column is None else F.array_sort("stages") if column == "stages" else F.coalesce("unresolved", F.lit(False)) if column == "unresolved" else of(column)).alias(name) for name, column in CANONICAL.items()]
+    whole = F.struct(of("created_at").cast("string").alias("createdAt"), F.struct(*fields).alias("finding"), of("model").alias("model"), of("provider").alias("provider"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
 def merged(findings: DataFrame) -> DataFrame:
@@ -47,7 +57,8 @@ def merged(findings: DataFrame) -> DataFrame:
     decided; other fields come from the row with the smallest canonical JSON. If severities differ the result is
     uncertain, with low confidence.
     """
-    keyed = findings.withColumns({"key_title": nfkc_fold("title"), "stages": F.array("stage")}).withColumn("tie", canonical(findings))
+    keyed = findings.withColumns({"key_title": nfkc_fold("title"), "stages": F.array("stage")})
+    keyed = keyed.withColumn("tie", utf16(canonical(keyed)))
     keys = ["rule_id", "path", "start_line", "end_line", "key_title"]
     # Ranks first, so that the group's lifecycle is known when its authorities are looked for.
     group = Window.partitionBy(*keys)

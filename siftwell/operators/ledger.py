@@ -47,7 +47,7 @@ def cacheable(results: DataFrame) -> DataFrame:
 
 def projected_diagnostics(diagnostics: Column, limit: int = 32, max_bytes: int = 512) -> Column:
     """The first diagnostics without credentials, joined and cut to a number of bytes."""
-    return truncate_utf8(max_bytes)(F.array_join(F.transform(F.slice(diagnostics, 1, limit), redact), "\n"))
+    return truncate_utf8(max_bytes)(F.array_join(F.transform(F.slice(diagnostics, 1, limit), lambda x: redact(x)), "\n"))
 
 
 def run_rows(results: DataFrame) -> DataFrame:
@@ -66,5 +66,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def put_cache(entries: DataFrame, path: str) -> None:
-    """Writes entries under the first two digits of their keys; only those partitions are replaced."""
-    entries.withColumn("shard", F.substring("cache_key", 1, 2)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    """Appends entries (cache_key, written_ms, ...), under the first two digits of their keys; nothing is replaced."""
+    entries.withColumn("shard", F.substring("cache_key", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+
+
+def cached(entries: DataFrame) -> DataFrame:
+    """The newest entry of each key of what put_cache wrote; of those of one moment any, since a key names its content."""
+    rest = [c for c in entries.columns if c not in ("cache_key", "shard")]
+    return entries.groupBy("cache_key").agg(F.max_by(F.struct(*rest), "written_ms").alias("x")).select("cache_key", "x.*")

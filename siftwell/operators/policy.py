@@ -25,7 +25,7 @@ def applicable_waivers(contexts: DataFrame, waivers: DataFrame, now: str) -> Dat
     must hold the context's value. Equality joins on repository and rule; the rest is a residual of the join.
     """
     alive = waivers.where((strict_utc(F.col("expires_at")) > F.lit(now).cast("timestamp")) & (strict_utc(F.col("created_at")) <= F.lit(now).cast("timestamp")))
-    c, w = contexts.alias("c"), F.broadcast(alive).alias("w")
+    c, w = contexts.alias("c"), alive.alias("w")
     scope = lambda items, value: F.col(f"w.{items}").isNull() | F.coalesce(F.array_contains(F.col(f"w.{items}"), F.col(f"c.{value}")), F.lit(False))
     on = (F.col("c.repository") == F.col("w.repository")) & (F.col("c.rule_id") == F.col("w.rule_id")) & F.col("c.rule_version").between(F.col("w.minimum"), F.col("w.maximum")) & (F.col("w.paths").isNull() | F.coalesce(F.exists("w.paths", lambda p: path_matches(p, F.col("c.path"))), F.lit(False))) & scope("findings", "finding_id")
     return c.join(w, on).select(F.col("c.context_id").alias("context_id"), F.col("w.waiver_id").alias("waiver_id"))
@@ -68,15 +68,25 @@ def unknown_overrides(overrides: DataFrame, rules: DataFrame) -> DataFrame:
 
 def provider_issues(selections: DataFrame, catalog: DataFrame) -> DataFrame:
     """(selection_id, issue): unknown providers, a model and a policy at once or neither, models that aren't allowed."""
-    joined = selections.join(F.broadcast(catalog), "provider", "left")
+    joined = selections.join(catalog, "provider", "left")
     issue = F.when(F.col("models").isNull(), "untrusted_provider").when(F.col("model").isNull() == F.col("model_policy").isNull(), "model_or_policy").when(F.col("model").isNotNull() & ~F.array_contains("models", F.col("model")), "model_not_allowed")
     return joined.select("selection_id", issue.alias("issue")).where("issue is not null")
 
 
-def diagnostics_status(diagnostics: DataFrame, by: str) -> DataFrame:
-    """incomplete if any code says that a limit was hit or something couldn't be read, else invalid."""
-    cut = F.col("code").isin("SOURCE_UNREADABLE", "SOURCE_CHANGED", "READ_INCOMPLETE") | F.endswith(F.col("code"), F.lit("_LIMIT_EXCEEDED"))
-    return diagnostics.groupBy(by).agg(F.when(F.bool_or(cut), "incomplete").otherwise("invalid").alias("status"))
+#: Codes that say that something couldn't be read to its end, beside all that end in _LIMIT_EXCEEDED.
+INCOMPLETE_CODES = [f"CONFIG_{c}" for c in ("RESOLUTION_TOO_LARGE", "READ_FAILED", "CHANGED_DURING_READ")] + [f"WAIVER_{c}" for c in ("LOCATION_CHANGED", "LOCATION_UNSUPPORTED", "DIRECTORY_UNSUPPORTED")]
+
+
+def diagnostics_status(diagnostics: DataFrame, by: str, groups: DataFrame | None = None) -> DataFrame:
+    """(by, gate, invalid): BLOCK if any code is more than an incomplete reading, else INCOMPLETE.
+
+    groups, a relation with the column by, adds those without a diagnostic, which PASS.
+    """
+    incomplete = F.col("code").isin(INCOMPLETE_CODES) | F.endswith(F.col("code"), F.lit("_LIMIT_EXCEEDED"))
+    found = diagnostics.groupBy(by).agg((~F.bool_and(incomplete)).alias("invalid")).withColumn("gate", F.when(F.col("invalid"), "BLOCK").otherwise("INCOMPLETE"))
+    if groups is None:
+        return found.select(by, "gate", "invalid")
+    return groups.select(by).distinct().join(found, by, "left").select(by, F.coalesce("gate", F.lit("PASS")).alias("gate"), F.coalesce("invalid", F.lit(False)).alias("invalid"))
 
 
 def strongest_gate(gates: DataFrame, by: str) -> DataFrame:
@@ -85,12 +95,39 @@ def strongest_gate(gates: DataFrame, by: str) -> DataFrame:
     return gates.groupBy(by).agg(F.element_at(order, F.max(F.array_position(order, F.col("gate"))).cast("int")).alias("gate"))
 
 
-def exit_code(gates: DataFrame) -> DataFrame:
-    return gates.withColumn("exit_code", F.when(F.col("gate") == "INCOMPLETE", 3).when(F.col("gate") == "BLOCK", 1).otherwise(0))
+def exit_code(results: DataFrame) -> DataFrame:
+    """What a process ends with: 3 where the result or one of its gates is incomplete, else 1 for the gate BLOCK, else 0.
+
+    results: (gate, incomplete, score_gate); the last two may be missing.
+    """
+    cut = F.col("gate") == "INCOMPLETE"
+    if "incomplete" in results.columns:
+        cut |= F.coalesce("incomplete", F.lit(False))
+    if "score_gate" in results.columns:
+        cut |= F.coalesce(F.col("score_gate") == "INCOMPLETE", F.lit(False))
+    return results.withColumn("exit_code", F.when(cut, 3).when(F.col("gate") == "BLOCK", 1).otherwise(0))
+
+
+def publication_identity(label: str = "report") -> Column:
+    """The marker line of a comment about (scope, head_sha, report_hash); scope is forge:repository:number."""
+    return F.concat(F.lit(f"<!-- {label}:"), F.concat_ws(":", "scope", "head_sha", "report_hash"), F.lit(" -->"))
 
 
-def publication_action(comments: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(scope, action, comment_id): of a scope's marked comments the one with the same identity is reused, else the oldest is updated."""
-    own = comments.join(F.broadcast(wanted), F.startswith("body", F.concat(F.lit("<!-- "), F.col("scope")))).withColumn("same", F.startswith("body", F.concat(F.lit("<!-- "), F.col("scope"), F.lit(":"), F.col("identity"), F.lit(" -->"))))
-    best = own.groupBy("scope").agg(F.min_by(F.struct("comment_id", "same"), F.struct(~F.col("same"), "comment_id")).alias("x"))
-    return wanted.join(best, "scope", "left").select("scope", F.when(F.col("x").isNull(), "created").when(F.col("x.same"), "reused").otherwise("updated").alias("action"), F.col("x.comment_id").alias("comment_id"))
+def publication_action(comments: DataFrame, wanted: DataFrame, label: str = "report") -> DataFrame:
+    """(scope, action, comment_id) for each wanted publication (scope, head_sha, report_hash).
+
+    A comment (comment_id, body) belongs to the scope that its first marker line names. One with the very marker is
+    reused, the smallest number first, else the smallest numbered of the scope is updated, else one is created. Scopes
+    meet in an equality join.
+    """
+    begin = f"<!-- {label}:"
+    lines = F.filter(F.split("body", "\r?\n", -1), lambda x: x.startswith(begin) & x.endswith(" -->"))
+    marked = comments.withColumn("marker", F.get(lines, F.lit(0))).where("marker is not null")
+    inner = F.substring("marker", F.lit(len(begin) + 1), F.length("marker"))
+    # A scope has two colons, and a third one ends it.
+    scoped = marked.withColumn("scope", F.substring_index(inner, ":", 3)).where(F.startswith("marker", F.concat(F.lit(begin), F.col("scope"), F.lit(":"))))
+    aims = wanted.withColumn("expected", publication_identity(label))
+    number = F.col("comment_id").cast("decimal(38,0)")
+    found = scoped.join(aims.select("scope", "expected"), "scope").withColumn("same", F.col("marker") == F.col("expected"))
+    best = found.groupBy("scope", "expected").agg(F.min(F.struct((~F.col("same")).alias("other"), number.alias("n"), "comment_id")).alias("x"))
+    return aims.join(best, ["scope", "expected"], "left").select("scope", F.when(F.col("x").isNull(), "created").when(F.col("x.other"), "updated").otherwise("reused").alias("action"), F.col("x.comment_id").alias("comment_id"))

@@ -21,7 +21,7 @@ def minor_model(spark: SparkSession) -> DataFrame:
 def minor_scores(assessments: DataFrame, model: DataFrame) -> DataFrame:
     """Each assessment with its minor's weights and its three integer measures."""
     scored, applies = F.col("status") == "scored", F.col("status") != "not_applicable"
-    return assessments.join(F.broadcast(model), "minor_id").withColumns({
+    return assessments.join(model, "minor_id").withColumns({
         "units": F.when(scored, F.col("weight") * F.col("half_points") * 5).otherwise(0).cast("bigint"),
         "assessed": F.when(scored, F.col("weight")).otherwise(0).cast("bigint"),
         "applicable": F.when(applies, F.col("weight")).otherwise(0).cast("bigint"),
@@ -84,9 +84,10 @@ def minor_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def major_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Majors of two scored relations: comparable only if every minor kept its status."""
-    changes = minor_changes(current, baseline).groupBy("entity", "major_id").agg(F.bool_and(F.col("reason") != "assessment_status_changed").alias("same"))
-    sums = lambda d, s: d.groupBy("entity", "major_id").agg(F.sum("units").cast("bigint").alias(f"{s}_units"), F.sum("assessed").cast("bigint").alias(f"{s}_assessed"))
-    both = sums(current, "new").join(sums(baseline, "old"), ["entity", "major_id"]).join(changes, ["entity", "major_id"])
+    old = baseline.select("entity", "minor_id", *(F.col(c).alias(f"old_{c}") for c in ("status", "units", "assessed")))
+    both = current.join(old, ["entity", "minor_id"]).groupBy("entity", "major_id").agg(
+        F.bool_and(F.col("status") == F.col("old_status")).alias("same"), *(F.sum(c).cast("bigint").alias(to) for c, to in (("units", "new_units"), ("assessed", "new_assessed"), ("old_units", "old_units"), ("old_assessed", "old_assessed"))),
+    )
     above, below = normalized_delta()
     return both.select("entity", "major_id", (F.col("same") & (below > 0)).alias("comparable"), F.when(~F.col("same"), "state changed").otherwise(signed_tenths_text(above, below)).alias("shown"))
 
@@ -111,7 +112,7 @@ def overridden(model: DataFrame, overrides: DataFrame) -> DataFrame:
     """The model with weights (id, weight) of a profile for minors and majors."""
     minor = overrides.select(F.col("id").alias("minor_id"), F.col("weight").alias("new_minor"))
     major = overrides.select(F.col("id").alias("major_id"), F.col("weight").alias("new_major"))
-    joined = model.join(F.broadcast(minor), "minor_id", "left").join(F.broadcast(major), "major_id", "left")
+    joined = model.join(minor, "minor_id", "left").join(major, "major_id", "left")
     return joined.withColumns({"weight": F.coalesce("new_minor", "weight"), "major_weight": F.coalesce("new_major", "major_weight")}).select(model.columns)
 
 
@@ -135,7 +136,7 @@ def model_issues(model: DataFrame) -> DataFrame:
 
 def cover_issues(assessments: DataFrame, model: DataFrame) -> DataFrame:
     """(entity, minor_id, issue): minors without an assessment, assessed twice, or unknown to the model."""
-    grid = assessments.select("entity").distinct().crossJoin(F.broadcast(model.select("minor_id"))).withColumn("known", F.lit(True))
+    grid = assessments.select("entity").distinct().crossJoin(model.select("minor_id")).withColumn("known", F.lit(True))
     found = assessments.groupBy("entity", "minor_id").agg(F.count("*").alias("n"))
     issue = F.when(F.col("known").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
     return grid.join(found, ["entity", "minor_id"], "full_outer").select("entity", "minor_id", issue.alias("issue")).where("issue is not null")

@@ -1,19 +1,45 @@
 """Ordered folds with budgets: what was kept decides what still fits, so running sums don't do.
 
-Each fold is a higher-order aggregate over the ordered list of a group; only sizes and flags enter the list, never
-contents.
+Each fold is one pass over the rows of its groups, which are brought together and put in order by Spark (and spilled by
+it, where they are many); only sizes and flags enter the pass, never contents, and only the state of one group is held.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold(files: DataFrame, by: str, order: str, fields: list[str], step, start: Column, state: str) -> DataFrame:
-    """The rows of each group, in order, through step(state, row), which returns a state that holds ``out``, a list."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *fields)))
-    return files.groupBy(by).agg(F.aggregate(rows, start.cast(state), lambda s, x: step(s, x).cast(state)).alias("state"))
+def swept(files: DataFrame, by: str, order: str, fields: list[str], decide: Callable[[list, tuple], tuple | None], start: list, out: str) -> DataFrame:
+    """(by, order, out): for each row of a group, in order, what decide(state, values of the fields) tells; no row for None.
+
+    The state is a list that decide changes; each group begins with a copy of start.
+    """
+    schema = f"`{by}` {files.schema[by].dataType.simpleString()}, `{order}` {files.schema[order].dataType.simpleString()}, {out}"
+    rows = files.select(by, order, *fields).repartition(by).sortWithinPartitions(by, order)
+    shape = files.sparkSession.createDataFrame([], schema).schema
+    names = shape.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, group, state = False, None, []
+        for batch in batches:
+            kept, told = [], []
+            keys = batch.column(0).to_pylist()
+            for i, (key, values) in enumerate(zip(keys, zip(*(batch.column(k).to_pylist() for k in range(2, 2 + len(fields)))))):
+                if not begun or key != group:
+                    begun, group, state = True, key, [*start]
+                if (x := decide(state, values)) is not None:
+                    kept.append(i)
+                    told.append(x)
+            at = pa.array(kept, pa.int64())
+            columns = [pa.array([x[k] for x in told], types[k]) for k in range(len(types))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=names)
+
+    types = [{"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()] for f in shape.fields[2:]]
+    return rows.mapInArrow(run, shape)
 
 
 def greedy_capture(files: DataFrame, by: str = "workspace", max_files: int = 40, max_file_bytes: int = 65_536, max_bytes: int = 524_288) -> DataFrame:
@@ -22,19 +48,23 @@ def greedy_capture(files: DataFrame, by: str = "workspace", max_files: int = 40,
     files: (by, ordinal, size, reason), reason being why a file isn't read. Too large a file is skipped, and
     later smaller ones may still fit.
     """
-    ranked = files.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("ordinal")))
-
-    def step(s, x):
-        left = F.lit(max_bytes) - s["used"]
-        whole = left >= max_file_bytes
-        outcome = F.when(x["nth"] > max_files, "file_limit").when(x["reason"].isNotNull(), x["reason"]).when(left < 1, "aggregate_byte_limit").when(x["size"] > F.least(left, F.lit(max_file_bytes)), F.when(whole, "file_limit").otherwise("aggregate_byte_limit")).otherwise("kept")
-        return F.struct((s["used"] + F.when(outcome == "kept", x["size"]).otherwise(0)).alias("used"), F.concat(s["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), outcome.alias("outcome")))).alias("out"))
 
-    return unfolded(fold(ranked, by, "ordinal", ["nth", "size", "reason"], step, F.struct(F.lit(0).alias("used"), F.array().alias("out")), "struct<used:bigint,out:array<struct<ordinal:bigint,outcome:string>>>"), by)
+    def decide(state: list, row: tuple) -> tuple:
+        size, reason = row
+        state[0] += 1
+        left = max_bytes - state[1]
+        if state[0] > max_files:
+            return ("file_limit",)
+        if reason is not None:
+            return (reason,)
+        if left < 1:
+            return ("aggregate_byte_limit",)
+        if size > min(left, max_file_bytes):
+            return ("file_limit" if left >= max_file_bytes else "aggregate_byte_limit",)
+        state[1] += size
+        return ("kept",)
 
-
-def unfolded(folded: DataFrame, by: str) -> DataFrame:
-    return folded.select(by, F.explode("state.out").alias("x")).select(by, "x.*")
+    return swept(files, by, "ordinal", ["size", "reason"], decide, [0, 0], "outcome string")
 
 
 def greedy_select(files: DataFrame, by: str = "workspace", max_files: int = 5000, max_file_bytes: int = 1 << 20, max_bytes: int = 50 << 20) -> DataFrame:
@@ -44,12 +74,21 @@ def greedy_select(files: DataFrame, by: str = "workspace", max_files: int = 5000
     no budget; the limits come before the flaws.
     """
 
-    def step(s, x):
-        outcome = F.when(s["n"] >= max_files, "aggregate_file_limit").when(x["size"] > max_file_bytes, "file_limit").when(s["used"] + x["size"] > max_bytes, "aggregate_byte_limit").when(x["flaw"].isNotNull(), x["flaw"]).otherwise("selected")
-        hit = (outcome == "selected").cast("bigint")
-        return F.struct((s["n"] + hit).alias("n"), (s["used"] + hit * x["size"]).alias("used"), F.concat(s["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), outcome.alias("outcome")))).alias("out"))
+    def decide(state: list, row: tuple) -> tuple:
+        size, flaw = row
+        if state[0] >= max_files:
+            return ("aggregate_file_limit",)
+        if size > max_file_bytes:
+            return ("file_limit",)
+        if state[1] + size > max_bytes:
+            return ("aggregate_byte_limit",)
+        if flaw is not None:
+            return (flaw,)
+        state[0] += 1
+        state[1] += size
+        return ("selected",)
 
-    return unfolded(fold(files, by, "ordinal", ["size", "flaw"], step, F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().alias("out")), "struct<n:bigint,used:bigint,out:array<struct<ordinal:bigint,outcome:string>>>"), by)
+    return swept(files, by, "ordinal", ["size", "flaw"], decide, [0, 0], "outcome string")
 
 
 def context(files: DataFrame, by: str = "workspace", max_files: int = 40, max_file_bytes: int = 65_536, max_bytes: int = 524_288) -> DataFrame:
@@ -58,14 +97,20 @@ def context(files: DataFrame, by: str = "workspace", max_files: int = 40, max_fi
     files: (by, ordinal, size), size null for one without content, which takes nothing. taken is null for a file
     that is left out.
     """
-    ranked = files.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("ordinal"))).where(F.col("nth") <= max_files)
 
-    def step(s, x):
-        limit = F.least(F.lit(max_file_bytes), F.lit(max_bytes) - s["used"])
-        taken = F.when((limit > 0) & x["size"].isNotNull(), F.least(limit, x["size"]))
-        return F.struct((s["used"] + F.coalesce(taken, F.lit(0))).alias("used"), F.concat(s["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), taken.alias("taken"), F.coalesce(taken < x["size"], F.lit(False)).alias("truncated")))).alias("out"))
+    def decide(state: list, row: tuple) -> tuple | None:
+        (size,) = row
+        state[0] += 1
+        if state[0] > max_files:
+            return None
+        limit = min(max_file_bytes, max_bytes - state[1])
+        if limit <= 0 or size is None:
+            return None, False
+        taken = min(limit, size)
+        state[1] += taken
+        return taken, taken < size
 
-    return unfolded(fold(ranked, by, "ordinal", ["size"], step, F.struct(F.lit(0).alias("used"), F.array().alias("out")), "struct<used:bigint,out:array<struct<ordinal:bigint,taken:bigint,truncated:boolean>>>"), by)
+    return swept(files, by, "ordinal", ["size"], decide, [0, 0], "taken bigint, truncated boolean")
 
 
 def newest_runs(runs: DataFrame, by: str, max_runs: int = 50, max_entry: int = 2 << 20, max_bytes: int = 8 << 20) -> DataFrame:
@@ -74,26 +119,66 @@ def newest_runs(runs: DataFrame, by: str, max_runs: int = 50, max_entry: int = 2
     runs: (by, ordinal, age_rank, size, broken); age_rank 1 is the newest.
     """
 
-    def step(s, x):
-        fits = (F.size(s["out"]) < max_runs) & (x["size"] <= max_entry) & (s["used"] + x["size"] <= max_bytes) & ~x["broken"]
-        return F.struct((s["used"] + F.when(fits, x["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(s["out"], F.array(F.struct(x["ordinal"].alias("ordinal"))))).otherwise(s["out"]).alias("out"))
+    def decide(state: list, row: tuple) -> tuple | None:
+        ordinal, size, broken = row
+        if state[0] >= max_runs or size > max_entry or state[1] + size > max_bytes or broken:
+            return None
+        state[0] += 1
+        state[1] += size
+        return (ordinal,)
+
+    kind = runs.schema["ordinal"].dataType.simpleString()
+    return swept(runs, by, "age_rank", ["ordinal", "size", "broken"], decide, [0, 0], f"nth {kind}").select(by, F.col("nth").alias("ordinal"))
 
-    return unfolded(fold(runs, by, "age_rank", ["ordinal", "size", "broken"], step, F.struct(F.lit(0).alias("used"), F.array().alias("out")), "struct<used:bigint,out:array<struct<ordinal:bigint>>>"), by)
 
+def cache_capacity(files: DataFrame, by: str, incoming: DataFrame, max_entries: int = 256, max_bytes: int = 128 << 20, max_age_ms: int = 7 * 86_400_000, max_removals: int = 32) -> DataFrame:
+    """(by, age_rank, removed): entries of a cache removed so that another one fits, from the oldest on.
 
-def eviction(runs: DataFrame, by: str, capacity: int, max_removals: int = 32) -> DataFrame:
+    files: (by, age_rank, age_ms, size, artifact), age_rank 1 being the oldest, without an older entry of the incoming
+    key. incoming: (by, bytes). Leftovers of writes
+    and entries past their age always go, others while there are too many entries or bytes; at most max_removals go.
+    """
+    sums = files.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    whole = files.join(sums.join(incoming, by).select(by, (F.col("n") + 1).alias("entries"), (F.col("total") + F.col("bytes")).alias("used")), by)
+
+    def decide(state: list, row: tuple) -> tuple | None:
+        age, size, artifact, entries, used = row
+        if state[0] is None:
+            state[:] = [entries, used, 0]
+        over = state[0] > max_entries or state[1] > max_bytes
+        if state[2] >= max_removals or not (artifact or age > max_age_ms or over):
+            return None
+        state[0] -= 1
+        state[1] -= size
+        state[2] += 1
+        return (True,)
+
+    return swept(whole, by, "age_rank", ["age_ms", "size", "artifact", "entries", "used"], decide, [None, 0, 0], "removed boolean")
+
+
+def eviction(runs: DataFrame, by: str, capacity: int, max_removals: int = 32, incoming: DataFrame | None = None) -> DataFrame:
     """(by, ordinal): entries removed so that one more fits, leftovers of writes first, then the oldest.
 
-    runs: (by, ordinal, age, artifact). Leftovers always go, up to max_removals; then the oldest until at most
-    ``capacity`` entries with the new one remain.
+    runs: (by, ordinal, age, artifact), age growing with time. Leftovers always go, up to max_removals; then the
+    oldest until at most ``capacity`` entries with the new one remain. With incoming (by, incoming_age) only entries
+    older than the new one go.
     """
-    total = F.count("*").over(Window.partitionBy(by))
-    first = runs.withColumns({"total": total, "nth": F.row_number().over(Window.partitionBy(by).orderBy(F.desc("artifact"), "age", "ordinal")), "artifacts": F.count_if("artifact").over(Window.partitionBy(by))})
+    whole = Window.partitionBy(by)
+    counted = runs.withColumns({"total": F.count("*").over(whole), "artifacts": F.count_if("artifact").over(whole)})
+    if incoming is not None:
+        counted = counted.join(incoming, by, "left").where(F.col("artifact") | F.col("incoming_age").isNull() | (F.col("age") < F.col("incoming_age")))
+    first = counted.withColumn("nth", F.row_number().over(whole.orderBy(F.desc("artifact"), "age", "ordinal")))
     # Entries with the new one must not exceed capacity; leftovers are gone already.
     excess = F.greatest(F.col("total") + 1 - F.lit(capacity), F.col("artifacts"))
     return first.where(F.col("nth") <= F.least(excess, F.lit(max_removals))).select(by, "ordinal")
 
 
+def run_capacity(runs: DataFrame, by: str, capacity: int, incoming: DataFrame, max_removals: int = 32) -> DataFrame:
+    """(by, removed, accepted): how many entries go for the incoming one, and whether it then fits."""
+    gone = eviction(runs, by, capacity, max_removals, incoming).groupBy(by).agg(F.count("*").alias("removed"))
+    return runs.groupBy(by).agg(F.count("*").alias("n")).join(gone, by, "left").select(by, F.coalesce("removed", F.lit(0)).alias("removed"), (F.col("n") + 1 - F.coalesce("removed", F.lit(0)) <= capacity).alias("accepted"))
+
+
 def smallest(rows: DataFrame, by: str, order: list[str], limit: int) -> DataFrame:
     """Rows of each group with kept, true for the ``limit`` smallest."""
     return rows.withColumn("kept", F.row_number().over(Window.partitionBy(by).orderBy(*order)) <= limit)

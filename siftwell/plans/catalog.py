@@ -145,15 +145,18 @@ def named(rank: str, names: tuple[str, ...]) -> str:
     return f"CASE {rank} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
 
 
-FINDING_FIELDS = "confidence disposition end_line evidence id lifecycle path rule_id severity stage stages start_line title unresolved verification".split()
-TIE = "to_json({" + ", ".join(f"'{f}': " + ("[stage]" if f == "stages" else f) for f in FINDING_FIELDS) + "})"
+PLACE = "CASE WHEN path IS NOT NULL THEN {{'endLine': end_line, 'path': path, 'startLine': start_line}} END"
+TIE_FIELDS = {"blockingVerificationUnresolved": "unresolved", "confidence": "confidence", "disposition": "disposition", "evidence": "evidence", "id": "id", "lifecycle": "lifecycle", "location": PLACE, "ruleId": "rule_id", "severity": "severity", "stages": "[stage]", "title": "title", "verification": "verification"}
+TIE = "to_json({{" + ", ".join(f"'{name}': {column}" for name, column in TIE_FIELDS.items()) + "}})"
+#: UTF-16 units: the one sign beyond the basic plane counts twice.
+UNITS = "(length({c}) + length(regexp_replace({c}, '[^😀]', '', 'g')))"
 
 
-@query(f"""WITH f AS (SELECT *, lower(trim(title)) AS kt, {SEV} AS sr, {LIFE} AS lr, {CONF} AS cr, {TIE} AS tie FROM ({{findings}}) x),
+@query(f"""WITH f AS (SELECT *, lower(trim(replace(title, 'ﬁ', 'fi'))) AS kt, {SEV} AS sr, {LIFE} AS lr, {CONF} AS cr, {TIE} AS tie FROM ({{findings}}) x),
 g AS (SELECT *, CASE WHEN min(sr) OVER k <> max(sr) OVER k THEN 4 ELSE min(lr) OVER k END AS decided FROM f WINDOW k AS (PARTITION BY rule_id, path, start_line, end_line, kt)),
 h AS (SELECT *, lr = decided OR NOT bool_or(lr = decided) OVER (PARTITION BY rule_id, path, start_line, end_line, kt) AS auth FROM g),
 m AS (SELECT rule_id, path, start_line, end_line, count(*) AS n, arg_min(id, tie) AS id, arg_min(title, tie) AS title, arg_min(disposition, tie) AS disposition, arg_min(lifecycle, tie) AS l1, arg_min(confidence, tie) AS c1, bool_and(unresolved) AS u1, min(sr) AS sr, min(sr) <> max(sr) AS conflict, min(decided) AS lr, min(cr) FILTER (auth) AS cr,
- list_sort(list_distinct(list(stage))) AS stages, arg_min(evidence, {{{{'a': -length(evidence), 'b': evidence}}}}) AS evidence, arg_min(verification, {{{{'a': -length(verification), 'b': verification}}}}) FILTER (auth AND verification IS NOT NULL) AS ver, arg_min(coalesce(verification, '<none>'), tie) AS v1, bool_or(unresolved) AS u FROM h GROUP BY rule_id, path, start_line, end_line, kt)
+ list_sort(list_distinct(list(stage))) AS stages, arg_min(evidence, {{{{'a': -{UNITS.replace('{c}', 'evidence')}, 'b': evidence}}}}) AS evidence, arg_min(verification, {{{{'a': -length(verification), 'b': verification}}}}) FILTER (auth AND verification IS NOT NULL) AS ver, arg_min(coalesce(verification, '<none>'), tie) AS v1, bool_or(unresolved) AS u FROM h GROUP BY rule_id, path, start_line, end_line, kt)
 SELECT id, rule_id, path, start_line, end_line, title, {named('sr', findings.SEVERITIES)} AS severity, CASE WHEN n > 1 THEN {named('lr', findings.LIFECYCLES)} ELSE l1 END AS lifecycle, CASE WHEN n = 1 THEN c1 WHEN lr = 4 THEN 'low' ELSE {named('cr', findings.CONFIDENCES)} END AS confidence, disposition, stages, evidence,
  CASE WHEN n = 1 THEN nullif(v1, '<none>') WHEN conflict THEN '{findings.CONFLICT}' ELSE ver END AS verification, CASE WHEN n = 1 THEN u1 ELSE lr = 3 AND u END AS unresolved, n FROM m""".replace("{{", "{").replace("}}", "}").replace("{findings}", R.FINDINGS))
 def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +382,29 @@ def ledger_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.eviction(relation(spark, sf_dir, AGED), "workspace", 120)
 
 
+LATEST = f"SELECT workspace, CASE WHEN workspace = 'de' THEN 12 WHEN workspace = 'fr' THEN 0 ELSE 500 END AS incoming_age FROM ({R.CONTENT}) c GROUP BY workspace"
+
+
+@query(f"""WITH g AS (SELECT a.*, count(*) OVER (PARTITION BY workspace) AS total, count(*) FILTER (artifact) OVER (PARTITION BY workspace) AS a FROM ({AGED}) a), n AS (SELECT g.*, row_number() OVER (PARTITION BY g.workspace ORDER BY artifact DESC, age, ordinal) AS nth FROM g JOIN ({LATEST}) l ON g.workspace = l.workspace WHERE artifact OR age < incoming_age)
+SELECT t.workspace, count(n.nth) AS removed, any_value(t.total) + 1 - count(n.nth) <= 240 AS accepted FROM (SELECT DISTINCT workspace, total FROM g) t LEFT JOIN n ON n.workspace = t.workspace AND nth <= least(greatest(n.total + 1 - 240, n.a), 32) GROUP BY t.workspace""")
+def ledger_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.run_capacity(relation(spark, sf_dir, AGED), "workspace", 240, relation(spark, sf_dir, LATEST))
+
+
+CACHED = f"SELECT workspace, row_number() OVER (PARTITION BY workspace ORDER BY ordinal) AS age_rank, CASE WHEN ordinal % 50 = 3 THEN 700 ELSE 100 END AS age_ms, octet_length(encode(content, 'utf-8')) AS size, ordinal % 40 = 6 AS artifact FROM ({R.CONTENT}) c WHERE content IS NOT NULL"
+CACHED_DUCK = CACHED.replace("octet_length(encode(content, 'utf-8'))", "CAST(strlen(content) AS BIGINT)")
+COMING = f"SELECT workspace, 5000 AS bytes FROM ({R.CONTENT}) c GROUP BY workspace"
+GOES = "(p.gone < 20 AND (artifact OR age_ms > 600 OR p.entries > 200 OR p.used > 150000))"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT * FROM ({CACHED_DUCK}) x), s AS (SELECT workspace, CAST(0 AS BIGINT) AS age_rank, count(*) + 1 AS entries, CAST(sum(size) + 5000 AS BIGINT) AS used, CAST(0 AS BIGINT) AS gone, false AS removed FROM f GROUP BY workspace),
+w AS (SELECT * FROM s UNION ALL SELECT f.workspace, f.age_rank, p.entries - CAST({GOES} AS INT), p.used - CASE WHEN {GOES} THEN f.size ELSE 0 END, p.gone + CAST({GOES} AS INT), {GOES} FROM f JOIN w p ON p.workspace = f.workspace AND f.age_rank = p.age_rank + 1)
+SELECT workspace, age_rank FROM w WHERE removed""")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming = relation(spark, sf_dir, COMING)
+    return selection.cache_capacity(relation(spark, sf_dir, CACHED), "workspace", incoming, 200, 150_000, 600, 20).select("workspace", "age_rank")
+
+
 DIAGNOSTICS = "SELECT user_id % 20 AS run, event_id AS arrival, concat('doc/', CAST(user_id % 7 AS STRING)) AS path, CASE WHEN event_id % 50 = 0 THEN 'SIZE_LIMIT_EXCEEDED' ELSE upper(event_type) END AS code FROM {events}"
 SENTINEL = "CASE WHEN n > 25 AND {at} = 25 THEN {new} ELSE {old} END"
 
@@ -402,9 +428,14 @@ def retain_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.smallest(relation(spark, sf_dir, DIAGNOSTICS), "run", ["code", "path", "arrival"], 10).select("run", "arrival", "kept")
 
 
-@query(f"SELECT run, CASE WHEN bool_or(code LIKE '%!_LIMIT!_EXCEEDED' ESCAPE '!') THEN 'incomplete' ELSE 'invalid' END AS status FROM ({DIAGNOSTICS}) d GROUP BY run")
+STATUS = """SELECT run, code FROM (SELECT user_id % 40 AS run, CASE (user_id % 40) % 5 WHEN 0 THEN 'CONFIG_READ_FAILED' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'SIZE_LIMIT_EXCEEDED' ELSE 'WAIVER_LOCATION_CHANGED' END
+WHEN 2 THEN CASE WHEN event_id % 7 = 0 THEN 'PROFILE_UNKNOWN_KEY' ELSE 'DIAGNOSTIC_LIMIT_EXCEEDED' END WHEN 3 THEN 'RULE_DUPLICATE' END AS code FROM {events}) c WHERE code IS NOT NULL"""
+
+
+@query(f"""SELECT g.run, CASE WHEN count(code) = 0 THEN 'PASS' WHEN count(code) > count(code) FILTER (cut) THEN 'BLOCK' ELSE 'INCOMPLETE' END AS gate, count(code) > count(code) FILTER (cut) AS invalid
+FROM (SELECT DISTINCT user_id % 40 AS run FROM {{events}}) g LEFT JOIN (SELECT *, code IN ('CONFIG_READ_FAILED', 'WAIVER_LOCATION_CHANGED') OR code LIKE '%!_LIMIT!_EXCEEDED' ESCAPE '!' AS cut FROM ({STATUS}) s) d ON d.run = g.run GROUP BY g.run""")
 def diagnostics_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.diagnostics_status(relation(spark, sf_dir, DIAGNOSTICS), "run")
+    return policy.diagnostics_status(relation(spark, sf_dir, STATUS), "run", relation(spark, sf_dir, "SELECT user_id % 40 AS run FROM {events}"))
 
 
 # Policy.
@@ -479,12 +510,24 @@ def strongest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.exit_code(policy.strongest_gate(relation(spark, sf_dir, GATES), "user_id"))
 
 
-COMMENTS = "SELECT event_id AS comment_id, concat('<!-- scope-', CAST(user_id % 30 AS STRING), ':', CAST(event_id % 11 AS STRING), ' --> text') AS body FROM {events} WHERE event_id % 25 = 0"
-WANTED = "SELECT DISTINCT concat('scope-', CAST(user_id % 40 AS STRING)) AS scope, CAST(user_id % 4 AS STRING) AS identity FROM {events} WHERE user_id < 40"
+ENDS = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'WARN' WHEN 2 THEN 'PASS' ELSE 'INCOMPLETE' END AS gate, o_orderkey % 9 = 0 AS incomplete, CASE o_custkey % 5 WHEN 0 THEN 'INCOMPLETE' WHEN 1 THEN 'BLOCK' WHEN 2 THEN 'PASS' END AS score_gate FROM {orders}"
+
+
+@query(f"SELECT id, CAST(CASE WHEN incomplete OR gate = 'INCOMPLETE' OR coalesce(score_gate, '') = 'INCOMPLETE' THEN 3 WHEN gate = 'BLOCK' THEN 1 ELSE 0 END AS INT) AS exit_code FROM ({ENDS}) e")
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.exit_code(relation(spark, sf_dir, ENDS)).select("id", "exit_code")
+
+
+COMMENTS = """SELECT event_id AS comment_id, concat(CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('Intro', chr(10)) ELSE concat('<!-- report:cut', chr(13), chr(10)) END,
+CASE WHEN event_id % 19 = 0 THEN '' ELSE concat('<!-- report:hub:org/app-', CAST(user_id % 30 AS STRING), ':', CAST(user_id % 3 AS STRING), ':', CAST(event_id % 4 AS STRING), ':h', CAST(event_id % 5 AS STRING), ' -->') END,
+CASE WHEN event_id % 4 = 1 THEN concat(chr(10), '<!-- report:hub:org/app-1:1:0:h0 -->') ELSE '' END, chr(10), 'text') AS body FROM {events} WHERE event_id % 5 = 0"""
+WANTED = "SELECT DISTINCT concat('hub:org/app-', CAST(user_id % 40 AS STRING), ':', CAST(user_id % 3 AS STRING)) AS scope, CAST(user_id % 4 AS STRING) AS head_sha, concat('h', CAST(user_id % 5 AS STRING)) AS report_hash FROM {events} WHERE user_id < 60"
+MARKER = r"(?m)^(<!-- report:.* -->)\r?$"
 
 
-@query(f"""SELECT w.scope, CASE WHEN min(c.comment_id) IS NULL THEN 'created' WHEN bool_or(same) THEN 'reused' ELSE 'updated' END AS action, coalesce(min(c.comment_id) FILTER (same), min(c.comment_id)) AS comment_id
-FROM (SELECT * FROM ({WANTED}) q) w LEFT JOIN (SELECT c.comment_id, w2.scope AS s, starts_with(body, '<!-- ' || w2.scope || ':' || w2.identity || ' -->') AS same FROM ({COMMENTS}) c JOIN ({WANTED}) w2 ON starts_with(body, '<!-- ' || w2.scope)) c ON c.s = w.scope GROUP BY w.scope""")
+@query(f"""WITH c AS (SELECT comment_id, regexp_extract(body, '{MARKER}', 1) AS marker FROM ({COMMENTS}) x), w AS (SELECT *, '<!-- report:' || scope || ':' AS prefix, '<!-- report:' || scope || ':' || head_sha || ':' || report_hash || ' -->' AS expected FROM ({WANTED}) y)
+SELECT scope, CASE WHEN min(comment_id) IS NULL THEN 'created' WHEN bool_or(marker = expected) THEN 'reused' ELSE 'updated' END AS action, coalesce(min(comment_id) FILTER (marker = expected), min(comment_id)) AS comment_id
+FROM w LEFT JOIN c ON starts_with(marker, prefix) GROUP BY scope, expected""")
 def publication_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.publication_action(relation(spark, sf_dir, COMMENTS), relation(spark, sf_dir, WANTED))
 

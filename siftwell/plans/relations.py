@@ -49,19 +49,19 @@ ASSESSMENTS = "WITH hits AS (SELECT o_custkey AS entity, l_partkey % 37 AS minor
 SUPPLIER_ASSESSMENTS = "WITH hits AS (SELECT l_suppkey AS entity, l_partkey % 37 AS minor_no, sum(l_linenumber) AS points FROM {lineitem} GROUP BY l_suppkey, l_partkey % 37)" + _GRID
 BASELINE_ASSESSMENTS = "WITH hits AS (SELECT l_suppkey AS entity, l_partkey % 37 AS minor_no, sum(l_linenumber) AS points FROM {lineitem} WHERE l_shipdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY l_suppkey, l_partkey % 37)" + _GRID
 
-#: One row for each finding; a single stage, ASCII text.
+#: One row for each finding; a single stage; titles with a ligature, evidence with letters and signs beyond ASCII.
 FINDINGS = """
 SELECT concat('f-', CAST(event_id AS STRING)) AS id, event_type AS rule_id,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE concat('src/m', CAST(user_id % 50 AS STRING), CASE WHEN user_id % 3 = 0 THEN '.tsx' ELSE '.ts' END) END AS path,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 10 + 1 END AS start_line,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 10 + 1 + CAST(user_id % 2 AS INT) END AS end_line,
-       concat(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END, ' lacks retry boundary', CASE WHEN user_id % 5 = 0 THEN ' token' ELSE '' END) AS title,
+       concat(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END, CASE WHEN event_id % 4 = 0 THEN ' proﬁle' ELSE ' profile' END, ' lacks retry boundary', CASE WHEN user_id % 5 = 0 THEN ' token' ELSE '' END) AS title,
        CASE WHEN value < 20 THEN 'P0' WHEN value < 60 THEN 'P1' WHEN value < 120 THEN 'P2' WHEN value < 200 THEN 'P3' ELSE 'NIT' END AS severity,
        CASE event_id % 7 WHEN 0 THEN 'candidate' WHEN 1 THEN 'corroborated' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'reported' WHEN 4 THEN 'uncertain' WHEN 5 THEN 'dismissed' ELSE 'waived' END AS lifecycle,
        CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
        CASE event_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'preexisting' ELSE 'unknown' END AS disposition,
        CASE user_id % 8 WHEN 0 THEN 'security' WHEN 1 THEN 'concurrency' WHEN 2 THEN 'testing' WHEN 3 THEN 'readability' WHEN 4 THEN 'data' WHEN 5 THEN 'behavior' WHEN 6 THEN 'universal' ELSE 'ui' END AS stage,
-       concat('evidence ', CAST(event_id % 13 AS STRING), CASE WHEN event_id % 5 = 0 THEN ' with more lock detail' ELSE '' END) AS evidence,
+       concat('evidence ', CAST(event_id % 13 AS STRING), CASE WHEN event_id % 5 = 0 THEN ' with more lock detail' ELSE '' END, CASE event_id % 8 WHEN 3 THEN ' 😀' WHEN 4 THEN ' ééé' WHEN 5 THEN ' éé' ELSE '' END) AS evidence,
        CASE WHEN event_id % 6 = 0 THEN NULL ELSE concat('checked ', CAST(event_id % 9 AS STRING)) END AS verification,
        event_id % 4 = 1 AS unresolved, user_id AS user_id, event_id AS event_id
 FROM {events}

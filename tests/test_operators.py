@@ -78,6 +78,40 @@ def test_eviction(spark):
     assert selection.eviction(d, "w", 1, max_removals=4).count() == 4
 
 
+def test_eviction_for_an_incoming_entry(spark):
+    d = spark.createDataFrame([("w", i, i, i == 9) for i in range(1, 11)], "w string, ordinal bigint, age bigint, artifact boolean")
+    late, early = (spark.createDataFrame([("w", x)], "w string, incoming_age bigint") for x in (99, 2))
+    assert {r.ordinal for r in selection.eviction(d, "w", 8, incoming=late).collect()} == {9, 1, 2} and {r.ordinal for r in selection.eviction(d, "w", 8, incoming=early).collect()} == {9, 1}
+    assert [tuple(r) for r in selection.run_capacity(d, "w", 8, late).collect()] == [("w", 3, True)] and [tuple(r) for r in selection.run_capacity(d, "w", 8, early).collect()] == [("w", 2, False)]
+
+
+def test_folds_of_many_groups(spark):
+    rows = [(f"w{g}" if g else None, i, 10 + (i * 7 + g) % 30, None) for g in range(40) for i in range(60)]
+    d = spark.createDataFrame(rows, "workspace string, ordinal bigint, size bigint, reason string").repartition(7)
+    got = {(r.workspace, r.ordinal): r.outcome for r in selection.greedy_capture(d, max_files=50, max_file_bytes=35, max_bytes=300).collect()}
+    for g in range(40):
+        used = 0
+        for i in range(60):
+            size, left = 10 + (i * 7 + g) % 30, 300 - used
+            want = "file_limit" if i >= 50 else "aggregate_byte_limit" if left < 1 else ("file_limit" if left >= 35 else "aggregate_byte_limit") if size > min(left, 35) else "kept"
+            used += size * (want == "kept")
+            assert got[f"w{g}" if g else None, i] == want
+
+
+def test_diagnostic_gates(spark):
+    rows = [(1, "X_LIMIT_EXCEEDED"), (1, "BAD"), (2, "CONFIG_READ_FAILED"), (3, "BAD")]
+    d = spark.createDataFrame(rows, "run int, code string")
+    got = {r.run: (r.gate, r.invalid) for r in policy.diagnostics_status(d, "run", spark.createDataFrame([(i,) for i in range(1, 5)], "run int")).collect()}
+    assert got == {1: ("BLOCK", True), 2: ("INCOMPLETE", False), 3: ("BLOCK", True), 4: ("PASS", False)}
+
+
+def test_publication_scopes(spark):
+    mark = lambda scope, sha="s", h="h": f"<!-- report:{scope}:{sha}:{h} -->"
+    comments = spark.createDataFrame([(9, "hello\r\n" + mark("g:o/a:1") + "\r\nx"), (10, mark("g:o/a:10")), (3, mark("g:o/a:1", "old")), (4, "x " + mark("g:o/b:1")), (5, mark("g:o/c:1", "old") + "\n" + mark("g:o/b:1")), (6, mark("g:o/d:1") + " ")], "comment_id bigint, body string")
+    wanted = spark.createDataFrame([(f"g:o/{x}:1", "s", "h") for x in "abcd"], "scope string, head_sha string, report_hash string")
+    assert {r.scope: (r.action, r.comment_id) for r in policy.publication_action(comments, wanted).collect()} == {"g:o/a:1": ("reused", 9), "g:o/b:1": ("created", None), "g:o/c:1": ("updated", 5), "g:o/d:1": ("created", None)}
+
+
 def test_diagnostics_limits(spark):
     d = spark.createDataFrame([(1, i, f"p{9 - i}", "C") for i in range(5)], "run int, arrival int, path string, code string")
     assert [(r.path, r.code) for r in selection.bounded_diagnostics(d, "run", 3).orderBy("ordinal").collect()] == [("p5", "C"), ("p6", "C"), (".", "DIAGNOSTIC_LIMIT_EXCEEDED")]
@@ -126,6 +160,19 @@ def test_cycles(spark):
     assert documents.cycles(d.where("src > 90")).count() == 0
 
 
+def test_cycles_of_random_graphs(spark):
+    import random
+
+    r = random.Random(3)
+    for n, m in ((12, 20), (40, 60), (30, 200)):
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(n + i, n + (i + 1) % 9) for i in range(9)}
+        reach = {x: {b for a, b in edges if a == x} for x in {y for e in edges for y in e}}
+        while any(not s >= {z for y in s for z in reach[y]} for s in reach.values()):
+            reach = {x: s | {z for y in s for z in reach[y]} for x, s in reach.items()}
+        want = {(x, min(y for y in s if x in reach[y])) for x, s in reach.items() if x in s}
+        assert {tuple(x) for x in documents.cycles(spark.createDataFrame([*edges], "src int, dst int")).collect()} == want
+
+
 def test_hashes_do_not_depend_on_order(spark):
     d = spark.createDataFrame([("w", "b", "2"), ("w", "a", "1")], "w string, path string, content string")
     assert ledger.snapshot_hash(d, "w").first() == ledger.snapshot_hash(d.orderBy("path"), "w").first()

@@ -22,7 +22,11 @@ def test_text_functions(spark):
     assert apply(spark, text.canonical_json, '{"b": [1, {"z": 1, "a": null}], "a": "é"}', "{", None) == ['{"a":"é","b":[1,{"a":null,"z":1}]}', None, None]
     assert apply(spark, text.decode_quoted_path, '"a/\\303\\251\\t\\""', "plain", '"bad\\9"', '"open') == ['a/é\t"', "plain", None, None]
     assert apply(spark, text.truncate_utf8(6), "éééé", "abcdef") == ["é…", "abcdef"]
-    assert apply(spark, text.redact, "Authorization: bearer abcdefgh1234", "https://u:p@host/x") == ["Authorization: Bearer [redacted]", "https://[redacted]@host/x"]
+    assert apply(spark, text.redact, "Authorization: bearer  abc.d-e_f/g", "BEARER\tx y", "Bearer ", "key 12345678") == ["Authorization: bearer  [REDACTED]/g", "BEARER\t[REDACTED] y", "Bearer ", "key 12345678"]
+    assert apply(spark, lambda c: text.redact(c, ("12345678", "short")), "a12345678b short 12345678") == ["a[REDACTED]b short [REDACTED]"]
+    assert apply(spark, text.terminal_safe(), 'a"b\\c\td\n\x1b[31m\x7f\u202e\u2028é😀\u00ad', None, "plain") == ['a\\"b\\\\c\\td\\n\\u001b[31m\\u007f\\u202e\\u2028é😀\\u00ad', None, "plain"]
+    assert apply(spark, text.terminal_safe(8), "éééé", "ééééé") == ["éééé", "éé..."]
+    assert apply(spark, text.utf16_length, "a😀é", "") == [4, 0]
     assert apply(spark, text.json_pointer, "a/b~c") == ["a~1b~0c"]
 
 
@@ -90,11 +94,11 @@ def test_ledger_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_cache_replaces_only_its_shards(spark, tmp_path):
-    path, schema = str(tmp_path / "cache"), "cache_key string, v int"
-    ledger.put_cache(spark.createDataFrame([("aa1", 1), ("bb1", 1)], schema), path)
-    ledger.put_cache(spark.createDataFrame([("aa1", 2)], schema), path)
-    assert {(r.cache_key, r.v) for r in spark.read.parquet(path).collect()} == {("aa1", 2), ("bb1", 1)}
+def test_cache_keeps_the_other_keys_of_a_shard(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "cache_key string, written_ms long, v int"
+    ledger.put_cache(spark.createDataFrame([("aa1", 1, 1), ("aa2", 1, 1), ("bb1", 1, 1)], schema), path)
+    ledger.put_cache(spark.createDataFrame([("aa1", 2, 2), ("aa3", 2, 3)], schema), path)
+    assert {(r.cache_key, r.v) for r in ledger.cached(spark.read.parquet(path)).collect()} == {("aa1", 2), ("aa2", 1), ("aa3", 3), ("bb1", 1)}
 
 
 def test_cacheable_and_projection(spark):
