@@ -1,41 +1,55 @@
 """A hidden Markov language model: Baum-Welch over partitions, exact scores by the scaled forward recursion.
 
-Words (lower case) with a share of at least ``min_share`` of the corpus are symbols of their own; this bounds the
-symbols by 1 / min_share whatever the corpus' size. Any other word is the symbol RARE and is spelled by a model of
-byte pairs that is counted over all words and normalised over the spellings that aren't symbols. So every text has
-a probability, and those of all word sequences of a length sum to 1.
-
-Training. Word and byte-pair counts come from the whole corpus. In each iteration every partition runs forward and
-backward recursions over all its words and emits expected counts by symbol; they are summed in a shuffle by symbol,
-and the new parameters are broadcast. For training alone documents are cut into segments of ``segment`` words,
-each of which begins with the initial distribution; no word is left out.
-
-Scores. log_likelihood is the exact natural logarithm of the probability of a document's words given their
-number: the sum over all state sequences of the whole document, without cuts.
-
-Defined results: a null, empty or wordless text has no words, log_likelihood 0 and a null bits_per_word. Repeated
-rows are scored, and count in training, as often as they stand there. An empty table gives an empty result.
+Words (lower case) that occur at least ``min_count`` times are symbols of their own, however many that makes. Any other
+word is the symbol RARE and is spelled by a model of byte pairs that is counted over all words and normalised over the
+spellings that aren't symbols. So every text has a probability, and those of all word sequences of a length sum to 1.
+
+Blocks and buckets. The corpus is read once, into blocks of whole documents with a list of words of their own, closed
+by the document that reaches ``BLOCK_WORDS`` words. The emission table is never in one place: it lies in buckets of
+words by a hash, with about ``EDGES`` pairs of block and word in each. In each iteration every bucket sends each block the rows of the block's own
+symbols, the block runs forward and backward recursions over its documents and sends expected counts back, and the
+bucket adds them up. Blocks and buckets stay where they are, partitioned by their numbers; only these rows travel, in
+packed form. The driver sees initial and transition counts, sums by state and the likelihood, nothing that grows.
+
+Training. The first counts are word frequencies, disturbed by hashes of word and state. Iterations end when the
+likelihood gains less than ``tolerance`` of itself, or after ``iterations``. Neither blocks nor buckets change a
+result. Long documents are cut into segments for the sake of speed alone: the products of their transfer matrices carry forward and backward messages
+over the cuts exactly, so counts are those of whole documents.
+
+Scores. log_likelihood is the exact natural logarithm of the probability of a document's words given their number: the
+sum over all state sequences of the whole document.
+
+Defined results: a null, empty or wordless text has no words, log_likelihood 0 and a null bits_per_word. Repeated rows,
+and rows with a null doc_id, are scored, and count in training, as often as they stand there. Words of equal frequency
+are alike; nothing is ranked. An empty table gives an empty result. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, map_arrow
 
 RARE = 0
-#: Words whose recursions run side by side.
-POOL = 1_000_000
+BLOCK_WORDS = 2_000_000
+#: Pairs of block and word in a bucket, about.
+EDGES = 200_000
+#: Words whose recursions run side by side, and of a segment.
+POOL, SEGMENT = 1_000_000, 512
 SPACE = 32
+#: Added to each expected count.
+FLOOR = 1e-3
+TOTALS = -1
 
 
 @dataclass
@@ -48,13 +62,16 @@ class Parameters:
 class Spelling:
     """Logarithm of a word's probability as a chain of UTF-8 bytes, given that it is no symbol."""
 
-    def __init__(self, pairs: np.ndarray, symbols: list[str]):
+    def __init__(self, pairs: np.ndarray):
         p = pairs.reshape(256, 256) + 0.01
         p[SPACE, SPACE] = 0  # no empty word
         self.log = np.log(p / p.sum(axis=1, keepdims=True), where=p > 0, out=np.full_like(p, -np.inf))
         self.rest = 0.0
-        known = float(np.exp(self.each(symbols)).sum()) if symbols else 0.0
+
+    def without(self, known: float) -> Spelling:
+        """The same given that the word is none of those whose probabilities sum to known."""
         self.rest = math.log1p(-min(known, 1 - 1e-12))
+        return self
 
     def each(self, words: list[str]) -> np.ndarray:
         data = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8)
@@ -63,68 +80,152 @@ class Spelling:
         return np.add.reduceat(steps, spaces[:-1]) - self.rest
 
 
-def count_corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, and byte pairs as rows whose word is null."""
-    counts: Counter = Counter()
-    pairs = np.zeros(65536, np.int64)
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*counts.keys()], pa.string()), pa.nulls(len(counts), pa.int32()), pa.array([*counts.values()], pa.int64())], names=["word", "pair", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            t = text.as_py()
-            if t and (words := WORD.findall(t.lower())):
-                counts.update(words)
-                data = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8).astype(np.int32)
-                pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=65536)
-        if len(counts) > 1_000_000:
-            yield rows()
-            counts.clear()
-    yield rows()
-    at = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(pairs[at])], names=["word", "pair", "n"])
-
-
-def vocabulary(docs: DataFrame, min_share: float) -> tuple[list[str], np.ndarray, int, np.ndarray]:
-    """Symbols in order of frequency, their counts, the number of words in all, and byte-pair counts."""
-    counted = map_arrow(docs.select("text"), count_corpus, "word string, pair int, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n")).persist()
-    try:
-        total = counted.where("word is not null").agg(F.sum("n")).first()[0] or 0
-        rows = counted.where("word is not null").where(F.col("n") >= max(1.0, min_share * total)).orderBy(F.desc("n"), "word").select("word", "n").toArrow()
-        pairs = np.zeros(65536)
-        for r in counted.where("word is null").select("pair", "n").collect():
-            pairs[r.pair] = r.n
-    finally:
-        counted.unpersist()
-    return rows.column("word").to_pylist(), rows.column("n").to_numpy(), total, pairs
+class Ids(dict):
+    """Numbers of words in order of their first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+BLOCKS = "block bigint, doc_ids array<bigint>, lengths binary, tokens binary, words binary, counts binary, n_words bigint, n_own bigint"
+
+
+def pack(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
 
+def words_of(data: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(data).decode()
+    return text.split(" ") if text else []
 
-def encoded(docs: DataFrame, symbols: list[str], spelling: Spelling) -> DataFrame:
-    """(doc_id, n_words, spelled, symbols): packed symbol numbers, and the logarithm of how rare words are spelled."""
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(symbols, 1)}, spelling))
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: word numbers of all, and the words that they stand for with their counts."""
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, spell = shared.value
-        pack = zstandard.ZstdCompressor(level=1).compress
+        ids, docs, lengths, tokens, size, part = Ids(), [], [], [], 0, None
+        nth = 0
+
+        def block() -> pa.RecordBatch:
+            all_tokens = np.concatenate([*tokens, np.empty(0, np.int32)])
+            counts = np.bincount(all_tokens, minlength=len(ids)).astype(np.int64)
+            text = zstandard.ZstdCompressor(level=1).compress(" ".join(ids).encode())
+            row = [part << 32 | nth, docs, pack(np.array(lengths, np.int32)), pack(all_tokens), text, pack(counts), size, len(ids)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
         for batch in batches:
-            n, spelled, packed = [], [], []
-            for x in batch.column(1):
+            if part is None and batch.num_rows:
+                part = batch.column(2)[0].as_py()
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = x.as_py()
-                words = WORD.findall(t.lower()) if t else []
-                of = np.array([*map(ids.get, words, [RARE] * len(words))], np.int32)
-                rare = [words[i] for i in np.flatnonzero(of == RARE)]
-                n.append(len(words))
-                spelled.append(float(spell.each(rare).sum()) if rare else 0.0)
-                packed.append(pack(of.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.float64()), pa.array(packed, pa.binary())], names=["doc_id", "n_words", "spelled", "symbols"])
+                words = WORD.findall(t.lower()) if t else ()
+                docs.append(doc_id)
+                lengths.append(len(words))
+                tokens.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+                size += len(words)
+                if size >= BLOCK_WORDS:
+                    yield block()
+                    ids, docs, lengths, tokens, size = Ids(), [], [], [], 0
+                    nth += 1
+        if docs:
+            yield block()
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text", F.spark_partition_id().cast("bigint").alias("part")), run, BLOCKS)
+
+
+def byte_pairs(blocks: DataFrame) -> np.ndarray:
+    """Counts of byte pairs of all words, each between two spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(65536)
+        for batch in batches:
+            for w, c in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                if words := words_of(w):
+                    data = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8).astype(np.int32)
+                    ends = np.flatnonzero(data == SPACE)
+                    # A step belongs to the word before whose end it is.
+                    pairs += np.bincount(data[:-1] << 8 | data[1:], np.repeat(unpack(c, np.int64), np.diff(ends)), 65536)
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(pairs[at])], names=["pair", "n"])
+
+    out = np.zeros(65536)
+    for r in map_arrow(blocks.select("words", "counts"), run, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out
+
+
+def first_counts(words: list[str], total: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """Counts of words for each state: their own, times exp(0.5 z) with normal z from a hash of the word."""
+    turns = -(-states // 4)
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed=seed + k) for w in words for k in range(turns)), np.uint16)
+    u = (raw.reshape(len(words), 4 * turns, 2)[:, :states] + 0.5) / 65536
+    return total[:, None] * np.exp(0.5 * np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1]))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_words bigint, spelled double, symbols binary")
 
+BOOK = "bucket int, blocks binary, sizes binary, locals binary, symbols binary, n_symbols bigint, n_words bigint, known double, initial binary, sums array<double>"
 
-def unpacked(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(unpack(x.as_py()), np.int32) for x in batch.column(column)]
+
+def book_of(blocks: DataFrame, buckets: int, spelling: Spelling, states: int, min_count: int, seed: int) -> DataFrame:
+    """The buckets: which symbols of which blocks lie there, and their first emission counts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(spelling)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "block", "words", "locals", "counts"]
+        for batch in batches:
+            for block, w, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words, counts = np.array(words_of(w), object), unpack(c, np.int64)
+                of = np.fromiter((xxhash.xxh3_64_intdigest(x) % buckets for x in words), np.int64, len(words))
+                order = np.argsort(of, kind="stable")
+                rows = [x for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(of[x[0]]) for x in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([" ".join(words[x]) for x in rows], pa.string()),
+                        pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary()), pa.array([counts[x].tobytes() for x in rows], pa.binary()),
+                    ],
+                    names=names,
+                )
+
+    def run(key, table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "words", "locals", "counts"))))
+        ids, total = Ids(), np.zeros(1024)
+        each = []
+        for _, w, _, c in rows:
+            at = np.fromiter(map(ids.__getitem__, w.split(" ")), np.int32)
+            if len(ids) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(total), len(ids) - len(total)))])
+            total[at] += np.frombuffer(c, np.int64)
+            each.append(at)
+        words = np.array([*ids], object)
+        # Symbols in order of their words, so that nothing depends on the order of blocks.
+        kept = np.flatnonzero(total[: len(words)] >= min_count)
+        kept = kept[np.argsort(words[kept], kind="stable")]
+        number = np.full(len(words), -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        blocks, sizes, local, symbol = [], [], [], []
+        for (block, _, loc, _), at in zip(rows, each):
+            has = number[at] >= 0
+            if has.any():
+                blocks.append(block)
+                sizes.append(int(has.sum()))
+                local.append(np.frombuffer(loc, np.int32)[has])
+                symbol.append(number[at][has])
+        counts = first_counts(words[kept].tolist(), total[kept], states, seed)
+        known = float(np.exp(shared.value.each(words[kept].tolist())).sum()) if len(kept) else 0.0
+        flat = lambda x: np.concatenate([*x, np.empty(0, np.int32)]).tobytes()
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()], pa.int32()), "blocks": [np.array(blocks, np.int64).tobytes()], "sizes": [np.array(sizes, np.int32).tobytes()], "locals": [flat(local)], "symbols": [flat(symbol)], "n_symbols": [len(kept)], "n_words": [int(total[kept].sum())],
+            "known": [known], "initial": [counts.tobytes()], "sums": [counts.sum(axis=0).tolist()],
+        })
+
+    pieces = map_arrow(blocks.select("block", "words", "counts"), split, "bucket int, block bigint, words string, locals binary, counts binary")
+    return pieces.groupBy("bucket").applyInArrow(run, BOOK)
 
 
 class TimeMajor:
@@ -143,140 +244,271 @@ class TimeMajor:
         self.symbols[self.begin[step] + np.repeat(np.arange(len(lengths)), lengths)] = flat
 
 
+class Chains:
+    """Sequences as segments side by side, with the messages that pass the cuts between them.
+
+    ``before`` is a segment's normalised forward message from the one before it, ``after`` the backward one from the
+    one behind it, scaled so that its product with the forward message at the segment's end is 1.
+    """
+
+    def __init__(self, p: Parameters, sequences: list[np.ndarray], backward: bool):
+        cuts = [(d, k) for d, s in enumerate(sequences) for k in range(0, len(s), SEGMENT)]
+        self.tm = tm = TimeMajor([sequences[d][k : k + SEGMENT] for d, k in cuts])
+        self.doc, nth = (np.array([c[i] for c in cuts], np.int64)[tm.order] for i in (0, 1))
+        self.seen = p.emit[tm.symbols]
+        self.first = nth == 0
+        self.before, self.after = np.zeros((len(cuts), len(p.start))), np.ones((len(cuts), len(p.start)))
+        rows = np.flatnonzero(np.bincount(self.doc, minlength=len(sequences))[self.doc] > 1)
+        if len(rows):
+            self.carry(p, rows, nth[rows] // SEGMENT, backward)
+
+    def carry(self, p: Parameters, rows: np.ndarray, nth: np.ndarray, backward: bool) -> None:
+        tm, states = self.tm, len(p.start)
+        seen = self.seen[rows]
+        # Products of the steps of each segment; the first one's rows are all its forward message.
+        x = np.where(self.first[rows][:, None, None], (p.start * seen)[:, None, :], p.move * seen[:, None, :])
+        for t in range(1, len(tm.active)):
+            m = np.searchsorted(rows, tm.active[t])
+            if not m:
+                break
+            y = (x[:m].reshape(-1, states) @ p.move).reshape(m, states, states)
+            y *= self.seen[tm.begin[t] + rows[:m]][:, None, :]
+            y /= y.sum(axis=(1, 2))[:, None, None]
+            x[:m] = y
+        place = {(d, k): i for i, (d, k) in enumerate(zip(self.doc[rows].tolist(), nth.tolist()))}
+        layers = [np.flatnonzero(nth == 0)]
+        for k in range(1, int(nth.max()) + 1):
+            layers.append(np.array([i for i in (place.get((d, k)) for d in self.doc[rows[layers[-1]]].tolist()) if i is not None], np.int64))
+        previous = np.array([place.get((d, k - 1), -1) for d, k in zip(self.doc[rows].tolist(), nth.tolist())])
+        ends = np.empty((len(rows), states))
+        ends[layers[0]] = x[layers[0], 0]
+        ends[layers[0]] /= ends[layers[0]].sum(axis=1, keepdims=True)
+        for own in layers[1:]:
+            v = ends[previous[own]]
+            self.before[rows[own]] = v
+            v = np.einsum("ni,nij->nj", v, x[own])
+            ends[own] = v / v.sum(axis=1, keepdims=True)
+        if backward:
+            for own in layers[:0:-1]:
+                v = np.einsum("nij,nj->ni", x[own], self.after[rows[own]])
+                to = previous[own]
+                self.after[rows[to]] = v / np.einsum("ni,ni->n", ends[to], v)[:, None]
+
+    def start(self, p: Parameters) -> np.ndarray:
+        """What comes into the first step of each segment."""
+        return np.where(self.first[:, None], p.start, self.before @ p.move)
+
+
 def forward(p: Parameters, sequences: list[np.ndarray]) -> np.ndarray:
     """Exact log-likelihood of each sequence."""
-    tm = TimeMajor(sequences)
-    out = np.zeros(len(sequences))
+    chains = Chains(p, sequences, False)
+    tm = chains.tm
+    each = np.zeros(len(chains.doc))
     state = None
     for t, n in enumerate(tm.active):
-        state = (np.broadcast_to(p.start, (n, len(p.start))) if state is None else state[:n] @ p.move) * p.emit[tm.symbols[tm.begin[t] : tm.begin[t] + n]]
+        state = (chains.start(p) if state is None else state[:n] @ p.move) * chains.seen[tm.begin[t] : tm.begin[t] + n]
         scale = state.sum(axis=1)
         state /= scale[:, None]
-        out[:n] += np.log(scale)
-    back = np.empty_like(out)
-    back[tm.order] = out
-    return back
+        each[:n] += np.log(scale)
+    return np.bincount(chains.doc, each, len(sequences))
 
 
 def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
     """Adds the expected counts of all sequences to the arrays; returns their log-likelihood."""
-    tm = TimeMajor(sequences)
+    chains = Chains(p, sequences, True)
+    tm, seen = chains.tm, chains.seen
     if not len(tm.symbols):
         return 0.0
     alpha = np.empty((len(tm.symbols), len(p.start)))
-    seen = p.emit[tm.symbols]
     scale = np.empty(len(tm.symbols))
     for t, n in enumerate(tm.active):
         a = tm.begin[t]
-        x = (p.start if t == 0 else alpha[tm.begin[t - 1] : tm.begin[t - 1] + n] @ p.move) * seen[a : a + n]
+        x = (chains.start(p) if t == 0 else alpha[tm.begin[t - 1] : tm.begin[t - 1] + n] @ p.move) * seen[a : a + n]
         scale[a : a + n] = s = x.sum(axis=1)
         np.divide(x, s[:, None], out=alpha[a : a + n])
-    beta = np.ones((0, len(p.start)))
-    joint = np.zeros_like(p.move)
+    joint, beta = np.zeros_like(p.move), None
     for t in range(len(tm.active) - 1, -1, -1):
         a, n = tm.begin[t], tm.active[t]
-        if t + 1 < len(tm.active):
+        now = chains.after[:n].copy()
+        if beta is not None:
             b, m = tm.begin[t + 1], tm.active[t + 1]
-            ahead = seen[b : b + m] * beta[:m] / scale[b : b + m, None]
+            ahead = seen[b : b + m] * beta / scale[b : b + m, None]
             joint += alpha[a : a + m].T @ ahead
-            now = np.ones((n, len(p.start)))
             now[:m] = ahead @ p.move.T
-            beta = now
-        else:
-            beta = np.ones((n, len(p.start)))
+        beta = now
         alpha[a : a + n] *= beta  # now the posterior
+    # Transitions over the cuts.
+    inner = np.flatnonzero(~chains.first)
+    joint += chains.before[inner].T @ (seen[inner] * beta[inner] / scale[inner, None])
     move += joint * p.move
-    start += alpha[: tm.active[0]].sum(axis=0)
+    start += alpha[: tm.active[0]][chains.first].sum(axis=0)
     for k in range(alpha.shape[1]):
         emit[:, k] += np.bincount(tm.symbols, alpha[:, k], len(emit))
     return float(np.log(scale).sum())
 
 
-def pools(sequences: Iterator[np.ndarray], words: int = POOL) -> Iterator[list[np.ndarray]]:
+def pools(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
     pool, size = [], 0
     for s in sequences:
         pool.append(s)
         size += len(s)
-        if size >= words:
+        if size >= POOL:
             yield pool
             pool, size = [], 0
     if pool:
         yield pool
 
 
-def iterate(corpus: DataFrame, p: Parameters, segment: int) -> tuple[Parameters, float]:
+@dataclass
+class Shape:
+    """What the driver holds of the model: all but the emissions of symbols, and what normalises those."""
+
+    start: np.ndarray
+    move: np.ndarray
+    rare: np.ndarray  # emission of RARE
+    sums: np.ndarray  # counts of all symbols by state
+
+
+def sent(book: DataFrame, state: DataFrame, shape: Shape) -> DataFrame:
+    """(block, bucket, locals, values): emissions of each block's symbols, from the counts (bucket, counts)."""
+    states = len(shape.start)
+
+    def run(key, own, counts):
+        if not own.num_rows or not counts.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "locals": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
+        blocks, sizes, local, symbol = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("blocks", np.int64), ("sizes", np.int32), ("locals", np.int32), ("symbols", np.int32)))
+        emit = ((np.frombuffer(counts.column("counts")[0].as_py()).reshape(-1, states) + FLOOR) / shape.sums).astype(np.float32)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        rows = [(local[e - n : e].tobytes(), emit[symbol[e - n : e]].tobytes()) for e, n in zip(ends, sizes)]
+        return pa.table({"block": pa.array(blocks), "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "locals": pa.array([x for x, _ in rows], pa.binary()), "values": pa.array([v for _, v in rows], pa.binary())})
+
+    return book.select("bucket", "blocks", "sizes", "locals", "symbols").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "block bigint, bucket int, locals binary, values binary")
+
+
+def of_block(shape: Shape, n_own: int, rows: pa.Table) -> tuple[Parameters, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A block's parameters, the symbol of each of its words, and the words that each bucket sent."""
+    states = len(shape.start)
+    sent = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "locals", "values"))))
+    places = [(bucket, np.frombuffer(x, np.int32)) for bucket, x, _ in sent]
+    emit = np.concatenate([shape.rare[None], *(np.frombuffer(v, np.float32).reshape(-1, states) for *_, v in sent)]).astype(float)
+    symbol = np.full(n_own, RARE, np.int32)
+    at = 1
+    for _, x in places:
+        symbol[x] = np.arange(at, at + len(x))
+        at += len(x)
+    return Parameters(shape.start, shape.move, emit), symbol, places
+
+
+def sequences_of(lengths: bytes, tokens: bytes, symbol: np.ndarray) -> list[np.ndarray]:
+    flat = symbol[unpack(tokens, np.int32)]
+    return np.split(flat, np.cumsum(unpack(lengths, np.int32))[:-1])
+
+
+def iterate(blocks: DataFrame, book: DataFrame, state: DataFrame, shape: Shape, n_symbols: int) -> tuple[DataFrame, Shape, float]:
     """One Baum-Welch iteration; also the log-likelihood under the parameters before it."""
-    shared, states = corpus.sparkSession.sparkContext.broadcast(p), len(p.start)
+    states = len(shape.start)
+
+    def run(key, own, rows):
+        p, symbol, places = of_block(shape, own.column("n_own")[0].as_py(), rows)
+        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(p.emit), 0.0
+        for pool in pools(iter(sequences_of(own.column("lengths")[0].as_py(), own.column("tokens")[0].as_py(), symbol))):
+            total += expected(p, pool, start, move, emit)
+        totals = np.concatenate([start, move.ravel(), emit[RARE], emit.sum(axis=0), [total]])
+        at, values = 1, [totals.tobytes()]
+        for _, x in places:
+            values.append(emit[at : at + len(x)].astype(np.float32).tobytes())
+            at += len(x)
+        return pa.table({"bucket": pa.array([TOTALS, *(b for b, _ in places)], pa.int32()), "block": pa.array([key[0].as_py()] * len(values), pa.int64()), "values": pa.array(values, pa.binary())})
+
+    def add(key, own, rows):
+        if key[0].as_py() == TOTALS:
+            by_block = sorted(zip(rows.column("block").to_pylist(), rows.column("values").to_pylist()))
+            out = np.sum([np.frombuffer(v) for _, v in by_block], axis=0)
+        else:
+            blocks, sizes, symbol = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("blocks", np.int64), ("sizes", np.int32), ("symbols", np.int32)))
+            ends = np.cumsum(sizes, dtype=np.int64)
+            span = {int(b): (e - n, e) for b, e, n in zip(blocks, ends, sizes)}
+            out = np.zeros((own.column("n_symbols")[0].as_py(), states))
+            for b, v in sorted(zip(rows.column("block").to_pylist(), rows.column("values").to_pylist())):
+                a, e = span[b]
+                out[symbol[a:e]] += np.frombuffer(v, np.float32).reshape(-1, states)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    counted = blocks.select("block", "lengths", "tokens", "n_own").groupBy("block").cogroup(sent(book, state, shape).groupBy("block")).applyInArrow(run, "bucket int, block bigint, values binary")
+    following = checkpointed(book.select("bucket", "blocks", "sizes", "symbols", "n_symbols").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(add, "bucket int, counts binary"))
+    totals = np.frombuffer(following.where(F.col("bucket") == TOTALS).first().counts)
+    start, move, rare, sums, log = np.split(totals, np.cumsum([states, states * states, states, states]))
+    start, move, sums = start + FLOOR, move.reshape(states, states) + FLOOR, sums + FLOOR * (n_symbols + 1)
+    return following.where(F.col("bucket") != TOTALS), Shape(start / start.sum(), move / move.sum(axis=1, keepdims=True), (rare + FLOOR) / sums, sums), float(log[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(q.emit), 0.0
-        cuts = (s[k : k + segment] for b in batches for s in unpacked(b, "symbols") for k in range(0, len(s), segment))
-        for pool in pools(cuts):
-            total += expected(q, pool, start, move, emit)
-        at = np.flatnonzero(emit.any(axis=1))
-        # Symbols, then the initial counts, the transitions and the likelihood under numbers below 0.
-        keys = np.concatenate([at, [-1], -2 - np.arange(states), [-2 - states]])
-        values = np.concatenate([emit[at], start[None], move, np.full((1, states), total)])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(values[:, k]) for k in range(states))], names=["key", *columns])
-
-    columns = [f"s{k}" for k in range(states)]
-    table = map_arrow(corpus.select("symbols"), run, "key int, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-    shared.unpersist()
-    keys = table.column("key").to_numpy()
-    order = np.argsort(keys)
-    values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)[order]
-    keys = keys[order]
-    at = {int(k): v for k, v in zip(keys[keys < 0], values[keys < 0])}
-    emit = np.full_like(p.emit, 1e-3)
-    emit[keys[keys >= 0]] += values[keys >= 0]
-    start = at[-1] + 1e-3
-    move = np.stack([at[-2 - k] for k in range(states)]) + 1e-3
-    return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(at[-2 - states][0])
-
-
-def initial(states: int, counts: np.ndarray, rare: int, seed: int) -> Parameters:
-    """Word frequencies, disturbed differently for each state."""
-    rng = np.random.default_rng(seed)
-    emit = np.concatenate([[rare + 1], counts])[:, None] * np.exp(rng.normal(0, 0.5, (len(counts) + 1, states)))
-    move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    return Parameters(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-
-
-def train(docs: DataFrame, states: int = 8, iterations: int = 4, min_share: float = 2e-6, segment: int = 512, seed: int = 1) -> tuple[DataFrame, Parameters, list[float]]:
-    """The encoded corpus, the trained parameters, and the log-likelihood before each iteration."""
-    symbols, counts, total, pairs = vocabulary(docs, min_share)
-    corpus = checkpointed(encoded(docs, symbols, Spelling(pairs, symbols)))
-    p, history = initial(states, counts, total - int(counts.sum()), seed), []
-    if total:
-        for _ in range(iterations):
-            p, before = iterate(corpus, p, segment)
-            history.append(before)
-    return corpus, p, history
-
-
-def scores(corpus: DataFrame, p: Parameters) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, bits_per_word) of every document."""
-    shared = corpus.sparkSession.sparkContext.broadcast(p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequences = unpacked(batch, "symbols")
-            found = np.empty(len(sequences))
-            # Documents of like length run side by side.
-            order = np.argsort([len(s) for s in sequences], kind="stable")
-            k = 0
-            for pool in pools(sequences[i] for i in order):
-                found[order[k : k + len(pool)]] = forward(shared.value, pool)
-                k += len(pool)
-            n = batch.column("n_words").to_numpy()
-            log = found + batch.column("spelled").to_numpy()
-            bits = [-x / m / math.log(2) if m else None for x, m in zip(log.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(log), pa.array(bits, pa.float64())], names=["doc_id", "n_words", "log_likelihood", "bits_per_word"])
-
-    return map_arrow(corpus, run, "doc_id bigint, n_words bigint, log_likelihood double, bits_per_word double")
+@dataclass
+class Model:
+    """A trained model beside its corpus: blocks, buckets, the buckets' counts, and what the driver holds."""
+
+    blocks: DataFrame
+    book: DataFrame
+    state: DataFrame
+    shape: Shape
+    spelling: Spelling
+
+
+def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 2e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
+    """The trained model, and the log-likelihood before each iteration (symbols alone, without the spelling of rare words)."""
+    made = checkpointed(blocks_of(docs))
+    n_blocks, n_edges, n_words = made.agg(F.count("*"), F.sum("n_own"), F.sum("n_words")).first()
+    spelling = Spelling(byte_pairs(made))
+    buckets = max(1, -(-(n_edges or 0) // EDGES))
+    listed = checkpointed(book_of(made.where("n_own > 0"), buckets, spelling, states, min_count, seed))
+    # Both sides stay partitioned by their numbers, so that no iteration moves them; what is lost is made again from the checkpoints.
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, book = (df.repartition(max(n, least), by).persist(StorageLevel.DISK_ONLY) for df, n, by in ((made, n_blocks, "block"), (listed, buckets, "bucket")))
+    row = listed.agg(F.sum("n_symbols"), F.sum("known"), F.sum("n_words"), *(F.sum(F.get("sums", F.lit(k))) for k in range(states))).first()
+    n_symbols, known, sums = row[0] or 0, row[1] or 0.0, np.array([x or 0.0 for x in row[3:]])
+    spelling.without(known)
+    rare = (n_words or 0) - (row[2] or 0) + 1.0
+    sums = sums + FLOOR * (n_symbols + 1) + rare
+    shape = Shape(np.full(states, 1 / states), np.full((states, states), 0.2 / states) + 0.8 * np.eye(states), (rare + FLOOR) / sums, sums)
+    state, history = listed.select("bucket", F.col("initial").alias("counts")), []
+    while n_words and len(history) < iterations:
+        state, shape, before = iterate(blocks, book, state, shape, n_symbols)
+        history.append(before)
+        if len(history) > 1 and before - history[-2] < tolerance * abs(before):
+            break
+    return Model(blocks, book, state, shape, spelling), history
+
+
+def scores(model: Model) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, bits_per_word) of every document."""
+    shape = model.shape
+    shared = model.blocks.sparkSession.sparkContext.broadcast(model.spelling)
+
+    def run(key, own, rows):
+        p, symbol, _ = of_block(shape, own.column("n_own")[0].as_py(), rows)
+        lengths, tokens = unpack(own.column("lengths")[0].as_py(), np.int32), unpack(own.column("tokens")[0].as_py(), np.int32)
+        rare = np.flatnonzero(symbol == RARE)
+        spelled = np.zeros(len(symbol))
+        if len(rare):
+            words = words_of(own.column("words")[0].as_py())
+            spelled[rare] = shared.value.each([words[i] for i in rare])
+        ends = np.cumsum(lengths, dtype=np.int64)
+        log = np.zeros(len(lengths))
+        has = np.flatnonzero(lengths)
+        if len(has):
+            log[has] = np.add.reduceat(spelled[tokens], (ends - lengths)[has])
+        sequences = np.split(symbol[tokens], ends[:-1])
+        # Documents of like length run side by side.
+        order = np.argsort(lengths, kind="stable")
+        k = 0
+        for pool in pools(sequences[i] for i in order):
+            log[order[k : k + len(pool)]] += forward(p, pool)
+            k += len(pool)
+        bits = [-x / m / math.log(2) if m else None for x, m in zip(log.tolist(), lengths.tolist())]
+        return pa.table({"doc_id": pa.array(own.column("doc_ids")[0].as_py(), pa.int64()), "n_words": pa.array(lengths.astype(np.int64)), "log_likelihood": log, "bits_per_word": pa.array(bits, pa.float64())})
+
+    rows = sent(model.book, model.state, shape)
+    return model.blocks.select("block", "doc_ids", "lengths", "tokens", "words", "n_own").groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, bits_per_word double")
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
-    corpus, p, _ = train(docs, **options)
-    return scores(corpus, p)
+    return scores(train(docs, **options)[0])
