@@ -10,8 +10,10 @@ across their border comes before the merges that made them. So shared prefixes a
 Pieces, tries and encodings stay within a partition: nothing is shuffled, and the vocabulary (of a fixed size) is
 all that is broadcast.
 
-Defined results: a null text gives null ids and a null count, an empty one no ids. Decoding is exact for whole
-texts; ids that aren't in the vocabulary raise an error, and ids whose bytes aren't UTF-8 decode with U+FFFD.
+Defined results: a null text gives null ids and a null count, an empty one no ids. Texts of any length are encoded
+whole. Repeated rows, and rows with a null doc_id, are encoded alike. Decoding is exact for whole texts; ids that aren't
+in the vocabulary raise an error, and ids whose bytes aren't UTF-8 decode with U+FFFD. An empty table gives an empty
+result. Columns named like the result's (token_ids, n_tokens and, if checked, round_trip) are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Characters of text whose pieces are encoded together.
 STRETCH = 4_000_000
+#: Answers about pairs of tokens that are kept; only speed depends on it.
+ALLOWED = 1_000_000
 #: Bytes of a path up to which whole encodings are kept; beyond, last tokens alone, which lead back to there.
 DEEP = 256
 
@@ -137,7 +141,7 @@ class Encoder:
                 i -= len(self.tokens[last[i]])
             out[word] = codes[i] + b"".join(reversed(tail))
             before = word
-        if len(allowed) > 2_000_000:
+        if len(allowed) > ALLOWED:
             allowed.clear()
         return out
 
@@ -173,7 +177,8 @@ def ids_array(codes: list[bytes | None]) -> pa.ListArray:
 
 def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False, drop_text: bool = True) -> DataFrame:
     """The documents with token_ids and n_tokens instead of the text; with check also whether the ids decode to it."""
-    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip") and not (drop_text and c == "text")]
+    own = ("token_ids", "n_tokens", *(["round_trip"] if check else []))
+    kept = [c for c in docs.columns if c not in own and not (drop_text and c == "text")]
     shared = docs.sparkSession.sparkContext.broadcast(Encoder.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False, drop_te
                     columns.append(pa.array([None if c is None else encoder.decode(np.frombuffer(c, np.int32).tolist()) == t for c, t in zip(codes, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    source = docs.select(F.col("text").alias("__text"), *kept)
+    source = docs.select(F.col("text").alias("text" + "_" * max(map(len, docs.columns))), *kept)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + ["token_ids array<int>", "n_tokens int", *(["round_trip boolean"] if check else [])]
     names = [*source.columns[1:], "token_ids", "n_tokens", *(["round_trip"] if check else [])]
     return map_arrow(source, run, ", ".join(schema))

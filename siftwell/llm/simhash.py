@@ -66,23 +66,31 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.digests: list[bytes] = []
-        self.made = np.empty((0, 128), np.int8)
+        self.digests: list[bytes] = []  # of words whose signs aren't made yet
+        self.made = np.empty((1024, 128), np.int8)
+        self.n = 0
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.digests)
+        self[word] = n = self.n + len(self.digests)
         self.digests.append(xxhash.xxh3_128_digest(word))
         return n
 
     def empty(self) -> None:
         self.clear()
         self.digests.clear()
-        self.made = self.made[:0]
+        self.n = 0
 
     def signs(self) -> np.ndarray:
-        if len(self.made) < len(self.digests):
-            new = np.frombuffer(b"".join(self.digests[len(self.made) :]), np.uint8).reshape(-1, 16)
-            self.made = np.concatenate([self.made, np.unpackbits(new, axis=1).astype(np.int8) * 2 - 1])
+        if self.digests:
+            n = self.n + len(self.digests)
+            if n > len(self.made):
+                grown = np.empty((max(n, 2 * len(self.made)), 128), np.int8)
+                grown[: self.n] = self.made[: self.n]
+                self.made = grown
+            new = np.frombuffer(b"".join(self.digests), np.uint8).reshape(-1, 16)
+            self.made[self.n : n] = np.unpackbits(new, axis=1).view(np.int8) * 2 - 1
+            self.digests.clear()
+            self.n = n
         return self.made
 
 

@@ -6,8 +6,8 @@ every maximal segment of a text; extreme-value statistics turn segment scores in
 Training. A feature is a word (lower case) or a word's prefix of 4, 5 or 6 characters; a prefix counts only if
 at least ``min_types`` distinct words of toxic documents share it, so that it stands for a productive stem. Near
 copies among the labelled documents count once, and a word once a document. With counts n1 and n0 in toxic and
-other documents, N1 and N0 words in all, and the labelled sample of both classes as the prior, not the corpus (pi = the feature's share in both classes,
-its weight ``prior`` times N1 + N0), the log-odds difference is divided by its standard error; features over
+other documents, N1 and N0 words in all, and the labelled sample of both classes as the prior, not the corpus (pi =
+the feature's share in both classes, its weight ``prior`` times N1 + N0), the log-odds difference is divided by its standard error; features over
 ``min_z`` whose odds are at least ``min_ratio`` form the lexicon; a stem must do so beyond the longer stems that it
 holds, and beyond a word that alone makes up over half of it. A passage that is toxic is modelled as lexicon
 words at rate ``density`` among ordinary text, so each word scores the log-likelihood ratio of that model against
@@ -19,8 +19,9 @@ in Karlin and Altschul's theory of maximal segments; E = K n exp(-lambda S) for
 is the smallest sum statistic over its best r segments, each multiplied by 2^r.
 
 Defined results: a null, empty or wordless text has no passage; it is never rejected. A repeated row is scored
-as often as it stands there. Equal scores keep text order. Without labelled documents of both classes the
-lexicon is empty and nothing is toxic. Conflicting labels of one doc_id count as toxic. Whole texts are scanned.
+as often as it stands there, and so is one with a null doc_id. Equal scores keep text order. Without labelled
+documents of both classes the lexicon is empty and nothing is toxic. Conflicting labels of one doc_id count as toxic.
+Whole texts are scanned, however long. An empty table gives an empty result. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
