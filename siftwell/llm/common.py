@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -52,6 +53,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """The rows of a written table, few and large, as a table bucketed by a column of numbers; the written one goes.
+
+    Operators that group by the column read it without moving a row. There are about as many buckets as rows, and no
+    fewer than shuffles have partitions, as Spark would move it otherwise. The session's catalog holds its name until
+    the session ends.
+    """
+    spark, name = df.sparkSession, f"siftwell_{uuid.uuid4().hex}"
+    n = min(100_000, max(1, df.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df.repartition(n, by).write.bucketBy(n, by).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    atexit.register(drop, spark, name)
+    discard(df)
+    return spark.table(name)
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended, and its catalog with it
+        return
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that written made, and lets Spark clean up what only that needed."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

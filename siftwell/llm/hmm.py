@@ -8,8 +8,8 @@ Blocks and buckets. The corpus is read once, into blocks of whole documents with
 by the document that reaches ``BLOCK_WORDS`` words. The emission table is never in one place: it lies in buckets of
 words by a hash, with about ``EDGES`` pairs of block and word in each. In each iteration every bucket sends each block the rows of the block's own
 symbols, the block runs forward and backward recursions over its documents and sends expected counts back, and the
-bucket adds them up. Blocks and buckets stay where they are, partitioned by their numbers; only these rows travel, in
-packed form. The driver sees initial and transition counts, sums by state and the likelihood, nothing that grows.
+bucket adds them up. Blocks and buckets are bucketed tables in the shared folder, so that they are read where they are
+worked on; only these rows travel, in packed form. The driver sees initial and transition counts, sums by state and the likelihood, nothing that grows.
 
 Training. The first counts are word frequencies, disturbed by hashes of word and state. Iterations end when the
 likelihood gains less than ``tolerance`` of itself, or after ``iterations``. Neither blocks nor buckets change a
@@ -34,18 +34,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, map_arrow
+from .common import WORD, bucketed, discard, map_arrow, written
 
 RARE = 0
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 4_000_000
 #: Pairs of block and word in a bucket, about.
 EDGES = 200_000
 #: Words whose recursions run side by side, and of a segment.
-POOL, SEGMENT = 1_000_000, 512
+POOL, SEGMENT = 1_000_000, 2048
 SPACE = 32
 #: Added to each expected count.
 FLOOR = 1e-3
@@ -58,6 +57,21 @@ class Parameters:
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states; the first symbol is RARE
 
+    def precise(self, shape: Shape) -> Parameters:
+        emit = self.emit.astype(float)
+        emit[RARE] = shape.rare
+        return Parameters(shape.start, shape.move, emit)
+
+
+@dataclass
+class Shape:
+    """What the driver holds of the model: all but the emissions of symbols, and what normalises those."""
+
+    start: np.ndarray
+    move: np.ndarray
+    rare: np.ndarray  # emission of RARE
+    sums: np.ndarray  # counts of all symbols by state
+
 
 class Spelling:
     """Logarithm of a word's probability as a chain of UTF-8 bytes, given that it is no symbol."""
@@ -221,7 +235,7 @@ def book_of(blocks: DataFrame, buckets: int, spelling: Spelling, states: int, mi
         flat = lambda x: np.concatenate([*x, np.empty(0, np.int32)]).tobytes()
         return pa.table({
             "bucket": pa.array([key[0].as_py()], pa.int32()), "blocks": [np.array(blocks, np.int64).tobytes()], "sizes": [np.array(sizes, np.int32).tobytes()], "locals": [flat(local)], "symbols": [flat(symbol)], "n_symbols": [len(kept)], "n_words": [int(total[kept].sum())],
-            "known": [known], "initial": [counts.tobytes()], "sums": [counts.sum(axis=0).tolist()],
+            "known": [known], "initial": [counts.astype(np.float32).tobytes()], "sums": [counts.sum(axis=0).tolist()],
         })
 
     pieces = map_arrow(blocks.select("block", "words", "counts"), split, "bucket int, block bigint, words string, locals binary, counts binary")
@@ -257,7 +271,8 @@ class Chains:
         self.doc, nth = (np.array([c[i] for c in cuts], np.int64)[tm.order] for i in (0, 1))
         self.seen = p.emit[tm.symbols]
         self.first = nth == 0
-        self.before, self.after = np.zeros((len(cuts), len(p.start))), np.ones((len(cuts), len(p.start)))
+        shape, kind = (len(cuts), len(p.start)), p.emit.dtype
+        self.before, self.after = np.zeros(shape, kind), np.ones(shape, kind)
         rows = np.flatnonzero(np.bincount(self.doc, minlength=len(sequences))[self.doc] > 1)
         if len(rows):
             self.carry(p, rows, nth[rows] // SEGMENT, backward)
@@ -280,7 +295,7 @@ class Chains:
         for k in range(1, int(nth.max()) + 1):
             layers.append(np.array([i for i in (place.get((d, k)) for d in self.doc[rows[layers[-1]]].tolist()) if i is not None], np.int64))
         previous = np.array([place.get((d, k - 1), -1) for d, k in zip(self.doc[rows].tolist(), nth.tolist())])
-        ends = np.empty((len(rows), states))
+        ends = np.empty((len(rows), states), x.dtype)
         ends[layers[0]] = x[layers[0], 0]
         ends[layers[0]] /= ends[layers[0]].sum(axis=1, keepdims=True)
         for own in layers[1:]:
@@ -314,13 +329,13 @@ def forward(p: Parameters, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the expected counts of all sequences to the arrays; returns their log-likelihood."""
+    """Adds the expected counts of all sequences to the arrays; returns their log-likelihood. In the parameters' precision."""
     chains = Chains(p, sequences, True)
     tm, seen = chains.tm, chains.seen
     if not len(tm.symbols):
         return 0.0
-    alpha = np.empty((len(tm.symbols), len(p.start)))
-    scale = np.empty(len(tm.symbols))
+    alpha = np.empty((len(tm.symbols), len(p.start)), p.emit.dtype)
+    scale = np.empty(len(tm.symbols), p.emit.dtype)
     for t, n in enumerate(tm.active):
         a = tm.begin[t]
         x = (chains.start(p) if t == 0 else alpha[tm.begin[t - 1] : tm.begin[t - 1] + n] @ p.move) * seen[a : a + n]
@@ -344,7 +359,7 @@ def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move
     start += alpha[: tm.active[0]][chains.first].sum(axis=0)
     for k in range(alpha.shape[1]):
         emit[:, k] += np.bincount(tm.symbols, alpha[:, k], len(emit))
-    return float(np.log(scale).sum())
+    return float(np.log(scale.astype(float)).sum())
 
 
 def pools(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -359,16 +374,6 @@ def pools(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield pool
 
 
-@dataclass
-class Shape:
-    """What the driver holds of the model: all but the emissions of symbols, and what normalises those."""
-
-    start: np.ndarray
-    move: np.ndarray
-    rare: np.ndarray  # emission of RARE
-    sums: np.ndarray  # counts of all symbols by state
-
-
 def sent(book: DataFrame, state: DataFrame, shape: Shape) -> DataFrame:
     """(block, bucket, locals, values): emissions of each block's symbols, from the counts (bucket, counts)."""
     states = len(shape.start)
@@ -377,7 +382,7 @@ def sent(book: DataFrame, state: DataFrame, shape: Shape) -> DataFrame:
         if not own.num_rows or not counts.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "locals": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
         blocks, sizes, local, symbol = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("blocks", np.int64), ("sizes", np.int32), ("locals", np.int32), ("symbols", np.int32)))
-        emit = ((np.frombuffer(counts.column("counts")[0].as_py()).reshape(-1, states) + FLOOR) / shape.sums).astype(np.float32)
+        emit = ((np.frombuffer(counts.column("counts")[0].as_py(), np.float32).reshape(-1, states) + FLOOR) / shape.sums).astype(np.float32)
         ends = np.cumsum(sizes, dtype=np.int64)
         rows = [(local[e - n : e].tobytes(), emit[symbol[e - n : e]].tobytes()) for e, n in zip(ends, sizes)]
         return pa.table({"block": pa.array(blocks), "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "locals": pa.array([x for x, _ in rows], pa.binary()), "values": pa.array([v for _, v in rows], pa.binary())})
@@ -390,13 +395,13 @@ def of_block(shape: Shape, n_own: int, rows: pa.Table) -> tuple[Parameters, np.n
     states = len(shape.start)
     sent = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "locals", "values"))))
     places = [(bucket, np.frombuffer(x, np.int32)) for bucket, x, _ in sent]
-    emit = np.concatenate([shape.rare[None], *(np.frombuffer(v, np.float32).reshape(-1, states) for *_, v in sent)]).astype(float)
+    emit = np.concatenate([shape.rare[None].astype(np.float32), *(np.frombuffer(v, np.float32).reshape(-1, states) for *_, v in sent)])
     symbol = np.full(n_own, RARE, np.int32)
     at = 1
     for _, x in places:
         symbol[x] = np.arange(at, at + len(x))
         at += len(x)
-    return Parameters(shape.start, shape.move, emit), symbol, places
+    return Parameters(shape.start.astype(np.float32), shape.move.astype(np.float32), emit), symbol, places
 
 
 def sequences_of(lengths: bytes, tokens: bytes, symbol: np.ndarray) -> list[np.ndarray]:
@@ -410,9 +415,14 @@ def iterate(blocks: DataFrame, book: DataFrame, state: DataFrame, shape: Shape,
 
     def run(key, own, rows):
         p, symbol, places = of_block(shape, own.column("n_own")[0].as_py(), rows)
-        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(p.emit), 0.0
-        for pool in pools(iter(sequences_of(own.column("lengths")[0].as_py(), own.column("tokens")[0].as_py(), symbol))):
-            total += expected(p, pool, start, move, emit)
+        sequences = sequences_of(own.column("lengths")[0].as_py(), own.column("tokens")[0].as_py(), symbol)
+        for q in (p, p.precise(shape)):  # single precision is enough, unless messages leave its range
+            start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros(q.emit.shape), 0.0
+            with np.errstate(all="ignore"):
+                for pool in pools(iter(sequences)):
+                    total += expected(q, pool, start, move, emit)
+            if math.isfinite(total + start.sum() + move.sum() + emit.sum()):
+                break
         totals = np.concatenate([start, move.ravel(), emit[RARE], emit.sum(axis=0), [total]])
         at, values = 1, [totals.tobytes()]
         for _, x in places:
@@ -423,19 +433,19 @@ def iterate(blocks: DataFrame, book: DataFrame, state: DataFrame, shape: Shape,
     def add(key, own, rows):
         if key[0].as_py() == TOTALS:
             by_block = sorted(zip(rows.column("block").to_pylist(), rows.column("values").to_pylist()))
-            out = np.sum([np.frombuffer(v) for _, v in by_block], axis=0)
+            out, kind = np.sum([np.frombuffer(v) for _, v in by_block], axis=0), float
         else:
             blocks, sizes, symbol = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("blocks", np.int64), ("sizes", np.int32), ("symbols", np.int32)))
             ends = np.cumsum(sizes, dtype=np.int64)
             span = {int(b): (e - n, e) for b, e, n in zip(blocks, ends, sizes)}
-            out = np.zeros((own.column("n_symbols")[0].as_py(), states))
+            out, kind = np.zeros((own.column("n_symbols")[0].as_py(), states)), np.float32
             for b, v in sorted(zip(rows.column("block").to_pylist(), rows.column("values").to_pylist())):
                 a, e = span[b]
                 out[symbol[a:e]] += np.frombuffer(v, np.float32).reshape(-1, states)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.astype(kind).tobytes()], pa.binary())})
 
     counted = blocks.select("block", "lengths", "tokens", "n_own").groupBy("block").cogroup(sent(book, state, shape).groupBy("block")).applyInArrow(run, "bucket int, block bigint, values binary")
-    following = checkpointed(book.select("bucket", "blocks", "sizes", "symbols", "n_symbols").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(add, "bucket int, counts binary"))
+    following = written(book.select("bucket", "blocks", "sizes", "symbols", "n_symbols").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(add, "bucket int, counts binary"))
     totals = np.frombuffer(following.where(F.col("bucket") == TOTALS).first().counts)
     start, move, rare, sums, log = np.split(totals, np.cumsum([states, states * states, states, states]))
     start, move, sums = start + FLOOR, move.reshape(states, states) + FLOOR, sums + FLOOR * (n_symbols + 1)
@@ -453,25 +463,27 @@ class Model:
     spelling: Spelling
 
 
-def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 2e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
+def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 5e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
     """The trained model, and the log-likelihood before each iteration (symbols alone, without the spelling of rare words)."""
-    made = checkpointed(blocks_of(docs))
-    n_blocks, n_edges, n_words = made.agg(F.count("*"), F.sum("n_own"), F.sum("n_words")).first()
-    spelling = Spelling(byte_pairs(made))
+    # Both tables are bucketed by their numbers, so that no iteration moves them.
+    blocks = bucketed(written(blocks_of(docs)), "block")
+    n_edges, n_words = blocks.agg(F.sum("n_own"), F.sum("n_words")).first()
+    spelling = Spelling(byte_pairs(blocks))
     buckets = max(1, -(-(n_edges or 0) // EDGES))
-    listed = checkpointed(book_of(made.where("n_own > 0"), buckets, spelling, states, min_count, seed))
-    # Both sides stay partitioned by their numbers, so that no iteration moves them; what is lost is made again from the checkpoints.
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, book = (df.repartition(max(n, least), by).persist(StorageLevel.DISK_ONLY) for df, n, by in ((made, n_blocks, "block"), (listed, buckets, "bucket")))
-    row = listed.agg(F.sum("n_symbols"), F.sum("known"), F.sum("n_words"), *(F.sum(F.get("sums", F.lit(k))) for k in range(states))).first()
+    book = bucketed(written(book_of(blocks.where("n_own > 0"), buckets, spelling, states, min_count, seed)), "bucket")
+    row = book.agg(F.sum("n_symbols"), F.sum("known"), F.sum("n_words"), *(F.sum(F.get("sums", F.lit(k))) for k in range(states))).first()
     n_symbols, known, sums = row[0] or 0, row[1] or 0.0, np.array([x or 0.0 for x in row[3:]])
     spelling.without(known)
     rare = (n_words or 0) - (row[2] or 0) + 1.0
     sums = sums + FLOOR * (n_symbols + 1) + rare
     shape = Shape(np.full(states, 1 / states), np.full((states, states), 0.2 / states) + 0.8 * np.eye(states), (rare + FLOOR) / sums, sums)
-    state, history = listed.select("bucket", F.col("initial").alias("counts")), []
+    state, history = book.select("bucket", F.col("initial").alias("counts")), []
     while n_words and len(history) < iterations:
+        last = state
         state, shape, before = iterate(blocks, book, state, shape, n_symbols)
+        if history:
+            discard(last)
+        del last
         history.append(before)
         if len(history) > 1 and before - history[-2] < tolerance * abs(before):
             break
@@ -485,6 +497,7 @@ def scores(model: Model) -> DataFrame:
 
     def run(key, own, rows):
         p, symbol, _ = of_block(shape, own.column("n_own")[0].as_py(), rows)
+        p = p.precise(shape)
         lengths, tokens = unpack(own.column("lengths")[0].as_py(), np.int32), unpack(own.column("tokens")[0].as_py(), np.int32)
         rare = np.flatnonzero(symbol == RARE)
         spelled = np.zeros(len(symbol))

@@ -87,7 +87,7 @@ def test_segments_change_nothing(monkeypatch):
 def emissions(model):
     """Emission of every symbol, gathered from the buckets."""
     k = len(model.shape.start)
-    rows = [np.frombuffer(r.counts).reshape(-1, k) for r in model.state.collect()]
+    rows = [np.frombuffer(r.counts, np.float32).reshape(-1, k) for r in model.state.collect()]
     return np.concatenate([model.shape.rare[None], (np.concatenate(rows) + hmm.FLOOR) / model.shape.sums])
 
 
@@ -95,7 +95,7 @@ def test_likelihood_grows_until_it_hardly_does(docs):
     rows = [(i, " ".join(("ab cd ef gh" if i % 2 else "uv wx yz uv").split() * 20) + " " + prose(i, 20, 30)) for i in range(30)]
     model, history = hmm.train(docs(rows), states=3)
     assert all(b > a for a, b in zip(history, history[1:])) and 2 < len(history) < 20
-    assert history[-1] - history[-2] < 2e-3 * abs(history[-1]) and history[-2] - history[-3] >= 2e-3 * abs(history[-2])
+    assert history[-1] - history[-2] < 5e-3 * abs(history[-1]) and history[-2] - history[-3] >= 5e-3 * abs(history[-2])
     assert np.allclose(emissions(model).sum(axis=0), 1) and np.allclose(model.shape.move.sum(axis=1), 1) and math.isclose(model.shape.start.sum(), 1)
 
 
@@ -173,5 +173,13 @@ def test_scores_do_not_depend_on_partitions(docs):
 def test_blocks_stay_where_they_are(docs):
     model, _ = hmm.train(docs([(i, prose(i, 50, 60)) for i in range(20)]), states=2, iterations=1)
     plan = hmm.scores(model)._jdf.queryExecution().executedPlan().toString()
-    # Only counts and emissions are exchanged, once each.
-    assert plan.split("InMemoryRelation")[0].count("Exchange") == 0 and plan.count("ENSURE_REQUIREMENTS") == 2
+    # Only counts and emissions are exchanged, once each; blocks and buckets are read as they lie.
+    assert plan.count("Exchange") == 2 and plan.count("Bucketed: true") == 2
+
+
+def test_long_documents_keep_their_range(docs):
+    """Hundreds of thousands of words in one chain, with words that one state alone gives."""
+    rows = [(1, "aa " * 150_000 + "bb " * 150_000), (2, "bb cc " * 20_000), (3, prose(1, 500))]
+    got = {r.doc_id: r for r in hmm.score(docs(rows), states=3).collect()}
+    assert all(math.isfinite(r.log_likelihood) and r.log_likelihood < 0 for r in got.values()) and got[1].n_words == 300_000
+    assert got[1].bits_per_word < 1.5 < got[3].bits_per_word
