@@ -32,12 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bucketed, discard, map_arrow, written
+from .common import bucketed, discard, map_arrow, written
 
 RARE = 0
 BLOCK_WORDS = 4_000_000
@@ -46,6 +47,8 @@ EDGES = 200_000
 #: Words whose recursions run side by side, and of a segment.
 POOL, SEGMENT = 1_000_000, 2048
 SPACE = 32
+#: What stands between words: no letter, number or underscore.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 #: Added to each expected count.
 FLOOR = 1e-3
 TOTALS = -1
@@ -118,36 +121,50 @@ def words_of(data: bytes) -> list[str]:
     return text.split(" ") if text else []
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, in order, and how many each text has."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=BETWEEN)
+    words, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(words, "")  # before a first and after a last word stands an empty one
+    lengths = np.diff(np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends - ends[0]])
+    return words.filter(real), lengths
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Blocks of documents: word numbers of all, and the words that they stand for with their counts."""
     names = [x.split()[0] for x in BLOCKS.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, lengths, tokens, size, part = Ids(), [], [], [], 0, None
-        nth = 0
+        docs, lengths, words, size, part, nth = [], [], [], 0, None, 0
 
         def block() -> pa.RecordBatch:
-            all_tokens = np.concatenate([*tokens, np.empty(0, np.int32)])
-            counts = np.bincount(all_tokens, minlength=len(ids)).astype(np.int64)
-            text = zstandard.ZstdCompressor(level=1).compress(" ".join(ids).encode())
-            row = [part << 32 | nth, docs, pack(np.array(lengths, np.int32)), pack(all_tokens), text, pack(counts), size, len(ids)]
-            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+            found = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+            found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+            tokens, own = found.indices.to_numpy().astype(np.int32), found.dictionary.to_pylist()
+            counts = np.bincount(tokens, minlength=len(own)).astype(np.int64)
+            text = zstandard.ZstdCompressor(level=1).compress(" ".join(own).encode())
+            row = [part << 32 | nth, docs, pack(np.concatenate([*lengths, np.empty(0, np.int32)]).astype(np.int32)), pack(tokens), text, pack(counts), size, len(own)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
             if part is None and batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = x.as_py()
-                words = WORD.findall(t.lower()) if t else ()
-                docs.append(doc_id)
-                lengths.append(len(words))
-                tokens.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-                size += len(words)
-                if size >= BLOCK_WORDS:
-                    yield block()
-                    ids, docs, lengths, tokens, size = Ids(), [], [], [], 0
-                    nth += 1
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                found, n = words_in(some.column(1))
+                ends, ids, begun = np.cumsum(n), some.column(0).to_pylist(), 0
+                while begun < len(n):
+                    # Up to the document that fills the block.
+                    before = int(ends[begun - 1]) if begun else 0
+                    stop = min(len(n), int(np.searchsorted(ends, before + BLOCK_WORDS - size)) + 1)
+                    docs += ids[begun:stop]
+                    lengths.append(n[begun:stop])
+                    words.append(found.slice(before, int(ends[stop - 1]) - before))
+                    size, begun = size + int(ends[stop - 1]) - before, stop
+                    if size >= BLOCK_WORDS:
+                        yield block()
+                        docs, lengths, words, size, nth = [], [], [], 0, nth + 1
         if docs:
             yield block()
 
@@ -259,7 +276,7 @@ class TimeMajor:
 
 
 class Chains:
-    """Sequences as segments side by side, with the messages that pass the cuts between them.
+    """Sequences as segments side by side, with the messages that pass the cuts between them; arrays are states x places.
 
     ``before`` is a segment's normalised forward message from the one before it, ``after`` the backward one from the
     one behind it, scaled so that its product with the forward message at the segment's end is 1.
@@ -269,61 +286,61 @@ class Chains:
         cuts = [(d, k) for d, s in enumerate(sequences) for k in range(0, len(s), SEGMENT)]
         self.tm = tm = TimeMajor([sequences[d][k : k + SEGMENT] for d, k in cuts])
         self.doc, nth = (np.array([c[i] for c in cuts], np.int64)[tm.order] for i in (0, 1))
-        self.seen = p.emit[tm.symbols]
+        self.seen = np.ascontiguousarray(p.emit[tm.symbols].T)
         self.first = nth == 0
-        shape, kind = (len(cuts), len(p.start)), p.emit.dtype
+        shape, kind = (len(p.start), len(cuts)), p.emit.dtype
         self.before, self.after = np.zeros(shape, kind), np.ones(shape, kind)
         rows = np.flatnonzero(np.bincount(self.doc, minlength=len(sequences))[self.doc] > 1)
         if len(rows):
             self.carry(p, rows, nth[rows] // SEGMENT, backward)
 
     def carry(self, p: Parameters, rows: np.ndarray, nth: np.ndarray, backward: bool) -> None:
-        tm, states = self.tm, len(p.start)
-        seen = self.seen[rows]
+        tm, back = self.tm, np.ascontiguousarray(p.move.T)
+        seen = self.seen[:, rows]
         # Products of the steps of each segment; the first one's rows are all its forward message.
-        x = np.where(self.first[rows][:, None, None], (p.start * seen)[:, None, :], p.move * seen[:, None, :])
+        x = np.where(self.first[rows], (p.start[:, None] * seen)[None], p.move[:, :, None] * seen[None])
         for t in range(1, len(tm.active)):
             m = np.searchsorted(rows, tm.active[t])
             if not m:
                 break
-            y = (x[:m].reshape(-1, states) @ p.move).reshape(m, states, states)
-            y *= self.seen[tm.begin[t] + rows[:m]][:, None, :]
-            y /= y.sum(axis=(1, 2))[:, None, None]
-            x[:m] = y
+            y = np.matmul(back, x[:, :, :m])
+            y *= self.seen[:, tm.begin[t] + rows[:m]]
+            y /= y.sum(axis=(0, 1))
+            x[:, :, :m] = y
         place = {(d, k): i for i, (d, k) in enumerate(zip(self.doc[rows].tolist(), nth.tolist()))}
         layers = [np.flatnonzero(nth == 0)]
         for k in range(1, int(nth.max()) + 1):
             layers.append(np.array([i for i in (place.get((d, k)) for d in self.doc[rows[layers[-1]]].tolist()) if i is not None], np.int64))
         previous = np.array([place.get((d, k - 1), -1) for d, k in zip(self.doc[rows].tolist(), nth.tolist())])
-        ends = np.empty((len(rows), states), x.dtype)
-        ends[layers[0]] = x[layers[0], 0]
-        ends[layers[0]] /= ends[layers[0]].sum(axis=1, keepdims=True)
+        ends = np.empty((len(p.start), len(rows)), x.dtype)
+        ends[:, layers[0]] = x[0][:, layers[0]] / x[0][:, layers[0]].sum(axis=0)
         for own in layers[1:]:
-            v = ends[previous[own]]
-            self.before[rows[own]] = v
-            v = np.einsum("ni,nij->nj", v, x[own])
-            ends[own] = v / v.sum(axis=1, keepdims=True)
+            v = ends[:, previous[own]]
+            self.before[:, rows[own]] = v
+            v = np.einsum("in,ijn->jn", v, x[:, :, own])
+            ends[:, own] = v / v.sum(axis=0)
         if backward:
             for own in layers[:0:-1]:
-                v = np.einsum("nij,nj->ni", x[own], self.after[rows[own]])
+                v = np.einsum("ijn,jn->in", x[:, :, own], self.after[:, rows[own]])
                 to = previous[own]
-                self.after[rows[to]] = v / np.einsum("ni,ni->n", ends[to], v)[:, None]
+                self.after[:, rows[to]] = v / (ends[:, to] * v).sum(axis=0)
 
     def start(self, p: Parameters) -> np.ndarray:
         """What comes into the first step of each segment."""
-        return np.where(self.first[:, None], p.start, self.before @ p.move)
+        return np.where(self.first, p.start[:, None], p.move.T @ self.before)
 
 
 def forward(p: Parameters, sequences: list[np.ndarray]) -> np.ndarray:
     """Exact log-likelihood of each sequence."""
     chains = Chains(p, sequences, False)
-    tm = chains.tm
+    tm, back = chains.tm, np.ascontiguousarray(p.move.T)
     each = np.zeros(len(chains.doc))
     state = None
     for t, n in enumerate(tm.active):
-        state = (chains.start(p) if state is None else state[:n] @ p.move) * chains.seen[tm.begin[t] : tm.begin[t] + n]
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
+        state = chains.start(p) if state is None else back @ state[:, :n]
+        state *= chains.seen[:, tm.begin[t] : tm.begin[t] + n]
+        scale = state.sum(axis=0)
+        state /= scale
         each[:n] += np.log(scale)
     return np.bincount(chains.doc, each, len(sequences))
 
@@ -331,34 +348,38 @@ def forward(p: Parameters, sequences: list[np.ndarray]) -> np.ndarray:
 def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
     """Adds the expected counts of all sequences to the arrays; returns their log-likelihood. In the parameters' precision."""
     chains = Chains(p, sequences, True)
-    tm, seen = chains.tm, chains.seen
+    tm, seen, back = chains.tm, chains.seen, np.ascontiguousarray(p.move.T)
     if not len(tm.symbols):
         return 0.0
-    alpha = np.empty((len(tm.symbols), len(p.start)), p.emit.dtype)
+    alpha = np.empty((len(p.start), len(tm.symbols)), p.emit.dtype)
     scale = np.empty(len(tm.symbols), p.emit.dtype)
+    x = None
     for t, n in enumerate(tm.active):
-        a = tm.begin[t]
-        x = (chains.start(p) if t == 0 else alpha[tm.begin[t - 1] : tm.begin[t - 1] + n] @ p.move) * seen[a : a + n]
-        scale[a : a + n] = s = x.sum(axis=1)
-        np.divide(x, s[:, None], out=alpha[a : a + n])
+        here = slice(tm.begin[t], tm.begin[t] + n)
+        x = chains.start(p) if x is None else back @ x[:, :n]
+        x *= seen[:, here]
+        x /= np.add.reduce(x, axis=0, out=scale[here])
+        alpha[:, here] = x
     joint, beta = np.zeros_like(p.move), None
     for t in range(len(tm.active) - 1, -1, -1):
-        a, n = tm.begin[t], tm.active[t]
-        now = chains.after[:n].copy()
+        here = slice(tm.begin[t], tm.begin[t] + tm.active[t])
+        now = chains.after[:, : tm.active[t]].copy()
         if beta is not None:
-            b, m = tm.begin[t + 1], tm.active[t + 1]
-            ahead = seen[b : b + m] * beta / scale[b : b + m, None]
-            joint += alpha[a : a + m].T @ ahead
-            now[:m] = ahead @ p.move.T
+            m = tm.active[t + 1]
+            there = slice(tm.begin[t + 1], tm.begin[t + 1] + m)
+            beta *= seen[:, there]
+            beta /= scale[there]
+            joint += alpha[:, tm.begin[t] : tm.begin[t] + m] @ beta.T
+            now[:, :m] = p.move @ beta
         beta = now
-        alpha[a : a + n] *= beta  # now the posterior
+        alpha[:, here] *= beta  # now the posterior
     # Transitions over the cuts.
     inner = np.flatnonzero(~chains.first)
-    joint += chains.before[inner].T @ (seen[inner] * beta[inner] / scale[inner, None])
+    joint += chains.before[:, inner] @ (seen[:, inner] * beta[:, inner] / scale[inner]).T
     move += joint * p.move
-    start += alpha[: tm.active[0]][chains.first].sum(axis=0)
-    for k in range(alpha.shape[1]):
-        emit[:, k] += np.bincount(tm.symbols, alpha[:, k], len(emit))
+    start += alpha[:, : tm.active[0]][:, chains.first].sum(axis=1)
+    for k in range(len(alpha)):
+        emit[:, k] += np.bincount(tm.symbols, alpha[k], len(emit))
     return float(np.log(scale.astype(float)).sum())
 
 
@@ -415,9 +436,10 @@ def iterate(blocks: DataFrame, book: DataFrame, state: DataFrame, shape: Shape,
 
     def run(key, own, rows):
         p, symbol, places = of_block(shape, own.column("n_own")[0].as_py(), rows)
-        sequences = sequences_of(own.column("lengths")[0].as_py(), own.column("tokens")[0].as_py(), symbol)
+        # Documents of like length run side by side.
+        sequences = sorted(sequences_of(own.column("lengths")[0].as_py(), own.column("tokens")[0].as_py(), symbol), key=len)
         for q in (p, p.precise(shape)):  # single precision is enough, unless messages leave its range
-            start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros(q.emit.shape), 0.0
+            start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros(q.emit.shape, order="F"), 0.0
             with np.errstate(all="ignore"):
                 for pool in pools(iter(sequences)):
                     total += expected(q, pool, start, move, emit)
@@ -463,7 +485,7 @@ class Model:
     spelling: Spelling
 
 
-def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 5e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
+def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 2e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
     """The trained model, and the log-likelihood before each iteration (symbols alone, without the spelling of rare words)."""
     # Both tables are bucketed by their numbers, so that no iteration moves them.
     blocks = bucketed(written(blocks_of(docs)), "block")

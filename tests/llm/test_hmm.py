@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 
@@ -95,7 +96,7 @@ def test_likelihood_grows_until_it_hardly_does(docs):
     rows = [(i, " ".join(("ab cd ef gh" if i % 2 else "uv wx yz uv").split() * 20) + " " + prose(i, 20, 30)) for i in range(30)]
     model, history = hmm.train(docs(rows), states=3)
     assert all(b > a for a, b in zip(history, history[1:])) and 2 < len(history) < 20
-    assert history[-1] - history[-2] < 5e-3 * abs(history[-1]) and history[-2] - history[-3] >= 5e-3 * abs(history[-2])
+    assert history[-1] - history[-2] < 2e-3 * abs(history[-1]) and history[-2] - history[-3] >= 2e-3 * abs(history[-2])
     assert np.allclose(emissions(model).sum(axis=0), 1) and np.allclose(model.shape.move.sum(axis=1), 1) and math.isclose(model.shape.start.sum(), 1)
 
 
@@ -152,6 +153,17 @@ def test_spellings_are_a_distribution():
     assert np.allclose(s.each(["a", "ab"]) + s.rest, bare.each(["a", "ab"]))
 
 
+def test_words_equal_those_of_a_pattern():
+    import pyarrow as pa
+
+    texts = [*ODD[:6], "Größe_1 ÉTÉ 漢字 x²½Ⅷ a\u0301b don't  end.", " lead", "one", "ab cd"]
+    words, lengths = hmm.words_in(pa.array(texts, pa.string()))
+    want = [re.findall(r"\w+", t.lower()) if t else [] for t in texts]
+    got = np.split(np.array(words.to_pylist(), object), np.cumsum(lengths)[:-1])
+    assert lengths.tolist() == [len(w) for w in want]
+    assert [[x.replace("i̇", "i") for x in w] for w in want if "i̇" not in "".join(w)] == [[*w] for w, v in zip(got, want) if "i̇" not in "".join(v)]
+
+
 def test_odd_documents(docs):
     rows = [*enumerate(ODD), (3, "x"), (None, "x y"), (90, prose(1, 200))]
     got = hmm.score(docs(rows), states=2, iterations=1).collect()
