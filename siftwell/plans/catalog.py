@@ -7,23 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import content, documents, evaluation, evidence, findings, ledger, policy, readability, scoring, selection
 from . import relations as R
-from .relations import oracle, relation
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query  # noqa: F401
+from .relations import relation
 
 # Scoring. The SQL adds up the same integers in one statement each.
 

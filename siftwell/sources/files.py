@@ -82,22 +82,6 @@ def null_records(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit("\0")), F.split(F.left(text, F.length(text) - 1), "\0", -1))
 
 
-def snapshot_files(captures: DataFrame) -> DataFrame:
-    """(capture_id, path, status, added, deleted, is_binary, issue) from raw and numstat records, joined by path.
-
-    captures: (capture_id, raw, numstat) as NUL-separated texts without renames: raw is a mode line followed by a
-    path, numstat a count line. A path that only one of the two has is an issue.
-    """
-    raw = captures.select("capture_id", F.posexplode(null_records(F.col("raw"))).alias("n", "r"))
-    pairs = raw.groupBy("capture_id", F.floor(F.col("n") / 2).alias("k")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("r"))).alias("meta"), F.max(F.when(F.col("n") % 2 == 1, F.col("r"))).alias("path"))
-    codes = F.create_map(*(F.lit(x) for kv in (("A", "added"), ("D", "deleted"), ("M", "modified"), ("T", "modified")) for x in kv))
-    status = pairs.select("capture_id", "path", F.try_element_at(codes, F.regexp_extract("meta", r" ([A-Z])\d*$", 1)).alias("status"))
-    stat = captures.select("capture_id", F.explode(null_records(F.col("numstat"))).alias("r")).select("capture_id", *(F.regexp_extract("r", r"^(\d+|-)\t(\d+|-)\t(.*)$", i).alias(c) for i, c in ((1, "a"), (2, "d"), (3, "path"))))
-    issue = F.when(F.col("status").isNull(), "no_status").when(F.col("a").isNull(), "no_count")
-    number = lambda c: F.when(F.col(c) != "-", F.expr(f"try_cast({c} as int)"))
-    return status.join(stat, ["capture_id", "path"], "full_outer").select("capture_id", "path", "status", number("a").alias("added"), number("d").alias("deleted"), (F.col("a") == "-").alias("is_binary"), issue.alias("issue"))
-
-
 def forge_files(rows: DataFrame) -> DataFrame:
     """Files of a pull request's JSON (change_id, body) as snapshot rows; incomplete if the page doesn't hold them all."""
     shape = "changed_files int, files array<struct<filename:string,previous_filename:string,status:string,additions:int,deletions:int>>"

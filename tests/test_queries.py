@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from siftwell.plans import catalog
+from siftwell.plans import catalog, records  # noqa: F401
 from siftwell.plans.relations import TABLES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

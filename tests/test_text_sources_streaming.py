@@ -58,14 +58,6 @@ def test_structured_documents(spark):
     assert apply(spark, lambda c: files.unknown_keys(c, ["a"]), '{"a": 1, "b": 2}', '{"a": 1}', "[1]") == [["b"], [], None]
 
 
-def test_git_records(spark):
-    raw = ":100644 100644 1 2 M\0src/a.ts\0:000000 100644 0 3 A\0b.bin\0:100644 000000 4 0 D\0c\0"
-    stat = "3\t1\tsrc/a.ts\0-\t-\tb.bin\0"
-    d = spark.createDataFrame([(1, raw, stat)], "capture_id int, raw string, numstat string")
-    got = {r.path: (r.status, r.added, r.deleted, r.is_binary, r.issue) for r in files.snapshot_files(d).collect()}
-    assert got == {"src/a.ts": ("modified", 3, 1, False, None), "b.bin": ("added", None, None, True, None), "c": ("deleted", None, None, None, "no_count")}
-
-
 def test_score_model_documents(spark):
     doc = json.dumps({"id": "m", "version": "1", "majors": [{"id": "x", "weightTenths": 10, "minors": [{"id": "y", "weightTenths": 10, "required": True}]}]})
     r = files.score_models(spark.createDataFrame([("p", doc)], "path string, content string")).first()
