@@ -53,18 +53,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str) -> DataFrame:
-    """The rows of a written table, few and large, as a table bucketed by a column of numbers; the written one goes.
+def bucketed(df: DataFrame, by: str, about: int) -> DataFrame:
+    """The rows of df, few and large, as a table bucketed by a column of numbers, of which there are about so many.
 
-    Operators that group by the column read it without moving a row. There are about as many buckets as rows, and no
-    fewer than shuffles have partitions, as Spark would move it otherwise. The session's catalog holds its name until
-    the session ends.
+    Operators that group by the column read it without moving a row. There are no fewer buckets than shuffles have
+    partitions, as Spark would move it otherwise. The session's catalog holds its name until the session ends.
     """
     spark, name = df.sparkSession, f"siftwell_{uuid.uuid4().hex}"
-    n = min(100_000, max(1, df.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(100_000, max(1, about, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     df.repartition(n, by).write.bucketBy(n, by).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     atexit.register(drop, spark, name)
-    discard(df)
     return spark.table(name)
 
 

@@ -488,11 +488,11 @@ class Model:
 def train(docs: DataFrame, states: int = 8, iterations: int = 20, tolerance: float = 2e-3, min_count: int = 2, seed: int = 1) -> tuple[Model, list[float]]:
     """The trained model, and the log-likelihood before each iteration (symbols alone, without the spelling of rare words)."""
     # Both tables are bucketed by their numbers, so that no iteration moves them.
-    blocks = bucketed(written(blocks_of(docs)), "block")
+    blocks = bucketed(blocks_of(docs), "block", docs.rdd.getNumPartitions())
     n_edges, n_words = blocks.agg(F.sum("n_own"), F.sum("n_words")).first()
     spelling = Spelling(byte_pairs(blocks))
     buckets = max(1, -(-(n_edges or 0) // EDGES))
-    book = bucketed(written(book_of(blocks.where("n_own > 0"), buckets, spelling, states, min_count, seed)), "bucket")
+    book = bucketed(book_of(blocks.where("n_own > 0"), buckets, spelling, states, min_count, seed), "bucket", buckets)
     row = book.agg(F.sum("n_symbols"), F.sum("known"), F.sum("n_words"), *(F.sum(F.get("sums", F.lit(k))) for k in range(states))).first()
     n_symbols, known, sums = row[0] or 0, row[1] or 0.0, np.array([x or 0.0 for x in row[3:]])
     spelling.without(known)
