@@ -358,8 +358,9 @@ def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move
         here = slice(tm.begin[t], tm.begin[t] + n)
         x = chains.start(p) if x is None else back @ x[:, :n]
         x *= seen[:, here]
-        x /= np.add.reduce(x, axis=0, out=scale[here])
+        x *= np.reciprocal(np.add.reduce(x, axis=0, out=scale[here]))
         alpha[:, here] = x
+    seen /= scale
     joint, beta = np.zeros_like(p.move), None
     for t in range(len(tm.active) - 1, -1, -1):
         here = slice(tm.begin[t], tm.begin[t] + tm.active[t])
@@ -368,14 +369,13 @@ def expected(p: Parameters, sequences: list[np.ndarray], start: np.ndarray, move
             m = tm.active[t + 1]
             there = slice(tm.begin[t + 1], tm.begin[t + 1] + m)
             beta *= seen[:, there]
-            beta /= scale[there]
             joint += alpha[:, tm.begin[t] : tm.begin[t] + m] @ beta.T
             now[:, :m] = p.move @ beta
         beta = now
         alpha[:, here] *= beta  # now the posterior
     # Transitions over the cuts.
     inner = np.flatnonzero(~chains.first)
-    joint += chains.before[:, inner] @ (seen[:, inner] * beta[:, inner] / scale[inner]).T
+    joint += chains.before[:, inner] @ (seen[:, inner] * beta[:, inner]).T
     move += joint * p.move
     start += alpha[:, : tm.active[0]][:, chains.first].sum(axis=1)
     for k in range(len(alpha)):

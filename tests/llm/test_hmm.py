@@ -176,6 +176,12 @@ def test_odd_documents(docs):
     assert hmm.score(docs([]).where("false")).count() == 0
 
 
+def test_columns_that_clash(spark):
+    d = spark.createDataFrame([(i, prose(i, 40, 30), 5, "x", 1) for i in range(4)], "doc_id bigint, text string, n_words int, part string, block int")
+    got = hmm.score(d, states=2, iterations=2)
+    assert got.columns == ["doc_id", "n_words", "log_likelihood", "bits_per_word"] and {r.n_words for r in got.collect()} == {40}
+
+
 def test_scores_do_not_depend_on_partitions(docs):
     d = docs([(i, prose(i, 50, 60)) for i in range(20)])
     one, five = ({r.doc_id: r.log_likelihood for r in hmm.score(x, states=2, iterations=2).collect()} for x in (d.coalesce(1), d.repartition(5)))

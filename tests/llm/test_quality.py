@@ -100,6 +100,13 @@ def test_odd_rows(spark, docs, tables):
     assert q.assess(docs(rows).where("false"), field).count() == 0
 
 
+def test_columns_that_clash(spark):
+    rows = [(i, "Good words stand here.\nAnd here." if i % 2 else "#$% |||\n@@ ^^", "q", 3, False) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, quality string, n_lines int, keep boolean")
+    field = q.train(d, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int"))
+    assert {r.doc_id % 2 for r in q.assess(d, field).where("keep").collect()} == {1}
+
+
 def test_labels_that_are_all_alike(spark, docs):
     rows = docs([(1, "a b"), (2, None), (3, "")])
     labels = lambda *x: spark.createDataFrame([*x], "doc_id bigint, quality int")

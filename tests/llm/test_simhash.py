@@ -153,6 +153,12 @@ def test_large_group(docs):
     assert sh.deduplicated(docs(rows)).count() == 700 - got[0].n_docs + 1
 
 
+def test_columns_that_clash(spark):
+    text = prose(5, 60)
+    d = spark.createDataFrame([(i, text, i, "r", 1, 2, 3) for i in range(3)], "doc_id bigint, text string, root int, rep string, hi int, node int, words int")
+    assert [r.doc_ids for r in sh.groups(d).collect()] == [[0, 1, 2]] and [tuple(r) for r in sh.deduplicated(d).collect()] == [(0, text, 0, "r", 1, 2, 3)]
+
+
 def test_odd_rows(docs):
     rows = [*enumerate(ODD), (3, "x"), (20, "x"), (21, None), (21, None), (None, "x"), (None, "x"), (22, prose(1, 50)), (22, prose(2, 50))]
     d = docs(rows)
