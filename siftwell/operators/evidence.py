@@ -85,12 +85,19 @@ def verified(candidates: DataFrame, lines: DataFrame, contents: DataFrame, files
     joined = placed.join(matches, "candidate_id", "left").join(disputed, "candidate_id", "left")
     short = F.length("clean") < MIN_QUOTE
     supported = F.col("fault").isNull() & ~short & F.col("best").isNotNull()
-    blocking, fact = F.col("severity").isin("P0", "P1"), valid_fact()
+    blocking, fact = F.col("severity").isin("P0", "P1"), valid_fact(candidates.columns)
     lifecycle = F.when(F.col("disputed") | ~supported, "uncertain").when(blocking & ~fact, "corroborated").otherwise("confirmed")
     reason = F.when(F.col("disputed"), "conflict").when(F.col("fault").isNotNull(), F.col("fault")).when(short, "quote_short").when(F.col("best").isNotNull(), F.concat(F.lit("matched_"), F.col("best.source"))).otherwise(F.lit("no_match"))
     return joined.withColumn("lifecycle", F.coalesce(lifecycle, F.lit("uncertain"))).select("candidate_id", "lifecycle", F.when(F.col("lifecycle") == "confirmed", "high").otherwise("low").alias("confidence"), F.when(supported, F.col("best.disposition")).otherwise("unknown").alias("disposition"), (F.col("lifecycle") == "corroborated").alias("unresolved"), reason.alias("reason"))
 
 
-def valid_fact() -> Column:
-    """Whether an independent fact of a known kind states something about the very range."""
-    return F.coalesce(F.col("fact_kind").isin("deterministic", "runtime_contract") & (F.length(trimmed(F.col("fact"))) >= 12), F.lit(False))
+def valid_fact(columns: list[str]) -> Column:
+    """Whether an independent fact of a known kind states something about the very range.
+
+    A fact's place is in fact_path, fact_start and fact_end; without these columns facts are about their candidate's range.
+    """
+    states = F.coalesce(F.col("fact_kind").isin("deterministic", "runtime_contract") & (F.length(trimmed(F.col("fact"))) >= 12), F.lit(False))
+    for fact, own in (("fact_path", "path"), ("fact_start", "start_line"), ("fact_end", "end_line")):
+        if fact in columns:
+            states &= F.col(fact).eqNullSafe(F.col(own))
+    return states

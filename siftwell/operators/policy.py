@@ -108,6 +108,37 @@ def exit_code(results: DataFrame) -> DataFrame:
     return results.withColumn("exit_code", F.when(cut, 3).when(F.col("gate") == "BLOCK", 1).otherwise(0))
 
 
+def hook_exit_code(results: DataFrame) -> DataFrame:
+    """What a hook ends with, from its mode (warn or block), the review's exit code, and whether incomplete reviews let it pass."""
+    open_ = (F.col("exit_code") == 3) & F.col("fail_open")
+    return results.withColumn("hook_exit_code", F.when((F.col("mode") == "warn") | open_, 0).otherwise(F.col("exit_code")))
+
+
+def usage(responses: DataFrame, given: str, out: str, total: str | None = None) -> DataFrame:
+    """responses (…, usage as JSON) with input_tokens, output_tokens, total_tokens and whether they are invalid.
+
+    Counts are whole numbers of 0 or more that a double holds; a stated total must be their sum. No usage is no fault.
+    """
+    value_of = lambda f, kind: F.try_variant_get(F.try_parse_json("usage"), f"$.{f}", kind)
+    part = lambda f: F.when(F.schema_of_variant(value_of(f, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), value_of(f, "double"))
+    fine = lambda c: F.coalesce((c >= 0) & (c <= 2**53 - 1) & (c == F.floor(c)), F.lit(False))
+    a, b = part(given), part(out)
+    stated = F.array_contains(F.json_object_keys("usage"), total) if total else F.lit(False)
+    right = fine(a) & fine(b) & (a + b <= 2**53 - 1) & (~F.coalesce(stated, F.lit(False)) | F.coalesce((part(total) if total else a) == a + b, F.lit(False)))
+    bad = F.col("usage").isNotNull() & ~F.coalesce(right, F.lit(False))
+    value = lambda c: F.when(F.col("usage").isNotNull() & ~bad, c.cast("bigint"))
+    return responses.withColumns({"input_tokens": value(a), "output_tokens": value(b), "total_tokens": value(a + b), "invalid_usage": bad})
+
+
+def invalid_limit(limits: DataFrame) -> DataFrame:
+    """limits with the first of max_bytes, max_nodes and max_work that is no whole number of 0 or more; null for none, and for what isn't set."""
+    bad = lambda c: F.coalesce(F.isnan(c) | (F.col(c) < 0) | (F.col(c) != F.floor(c)) | F.col(c).isin(float("inf"), float("-inf")), F.lit(False))
+    out = None
+    for c in ("max_bytes", "max_nodes", "max_work"):
+        out = F.when(bad(c), c) if out is None else out.when(bad(c), c)
+    return limits.withColumn("invalid_limit", out)
+
+
 def publication_identity(label: str = "report") -> Column:
     """The marker line of a comment about (scope, head_sha, report_hash); scope is forge:repository:number."""
     return F.concat(F.lit(f"<!-- {label}:"), F.concat_ws(":", "scope", "head_sha", "report_hash"), F.lit(" -->"))

@@ -92,6 +92,34 @@ def markdown_report(runs: DataFrame, findings: DataFrame, heading: str = "Review
     return out.select("run_id", F.concat(head, *body, F.lit("\n")).alias("report"))
 
 
+def terminal_report(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run_id, report): the same as plain lines for a terminal, with what each confirmed finding rests on."""
+    safe = {c: terminal_safe()(F.col(c)) for c in ("title", "evidence", "path", "verification")}
+    shown = findings.withColumns({f"{c}_shown": v for c, v in safe.items()})
+    short = F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.col("title_shown"), F.lit(" ("), F.col("id"), F.lit(")"))
+    more = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n  {label}: "), F.col(f"{c}_shown"))).otherwise("")
+    whole = F.concat(short, more("evidence", "evidence"), more("path", "path"), more("verification", "verification"))
+    out, buckets = runs, ("findings", "corroborated", "uncertain", "waived")
+    for b in buckets:
+        part = listed(shown.where(F.col("bucket") == b), "run_id", ["ordinal", "id"], whole if b == "findings" else short)
+        out = out.join(part.withColumnRenamed("lines", b), "run_id", "left")
+    yes = lambda a, b: F.when(F.col("incomplete"), a).otherwise(b)
+    head = F.concat(F.lit("Gate: "), F.col("gate"), F.lit("\nRun: "), F.col("run_id").cast("string"), F.lit("\nReport: "), F.col("report_hash"), F.lit("\nIncomplete: "), yes("yes", "no"))
+    body = [F.concat(F.lit(f"\n\n{b.capitalize()}:\n"), F.coalesce(b, F.lit("- none"))) for b in buckets]
+    risk = yes("- Review incomplete; do not treat Gate PASS as full assurance.", "- No structural incompleteness recorded by orchestrator.")
+    return out.select("run_id", F.concat(head, *body, F.lit("\n\nResidual risk:\n"), risk, F.lit("\n\n")).alias("report"))
+
+
+METRICS = "decision_count control_nesting return_count await_count local_declarations catch_count ternary_depth nullish_values nullish_sources large_objects return_shapes broad_classifications implicit_state outcome_distance".split()
+
+
+def metric_record(measures: DataFrame) -> DataFrame:
+    """measures with ``record``: its measures by name; lists count by their length."""
+    value = lambda c: F.size(c) if measures.schema[c].dataType.typeName() == "array" else F.col(c)
+    own = [c for c in METRICS if c in measures.columns]
+    return measures.withColumn("record", F.map_from_arrays(F.array(*map(F.lit, own)), F.array(*(value(c).cast("bigint") for c in own))))
+
+
 def bounded_report(rows: DataFrame, by: str, limit: int = MAX_ITEMS) -> DataFrame:
     """(by, n, shown, gate): how many candidates and diagnostics of a report are shown; beyond the limit it is incomplete.
 

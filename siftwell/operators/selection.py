@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import utf16
+
 
 def swept(files: DataFrame, by: str, order: str, fields: list[str], decide: Callable[[list, tuple], tuple | None], start: list, out: str) -> DataFrame:
     """(by, order, out): for each row of a group, in order, what decide(state, values of the fields) tells; no row for None.
@@ -202,3 +204,63 @@ def arrival_diagnostics(rows: DataFrame, by: str, limit: int) -> DataFrame:
     last = (F.col("n") > limit) & (F.col("nth") == limit)
     named = kept.select(by, "arrival", *(F.when(last, v).otherwise(F.col(c)).alias(c) for c, v in (("path", "."), ("code", "DIAGNOSTIC_LIMIT_EXCEEDED"))))
     return named.select(by, F.row_number().over(Window.partitionBy(by).orderBy(F.col("code") == "DIAGNOSTIC_LIMIT_EXCEEDED", "path", "code", "arrival")).alias("ordinal"), "path", "code")
+
+
+def repository_review(files: DataFrame, by: str = "workspace", max_shown: int = 200, max_files: int = 40, max_file_bytes: int = 65_536, max_bytes: int = 524_288) -> DataFrame:
+    """(by, ordinal, outcome) of a repository's selected files (by, ordinal, size): content, or why it is left out.
+
+    Files beyond max_shown overflow; the first max_files may have content, each that is small enough and fits the rest
+    of the bytes.
+    """
+
+    def decide(state: list, row: tuple) -> tuple:
+        (size,) = row
+        state[0] += 1
+        if state[0] > max_shown:
+            return ("overflow",)
+        if state[0] > max_files or size > max_file_bytes:
+            return ("file_limit",)
+        if state[1] + size > max_bytes:
+            return ("aggregate_byte_limit",)
+        state[1] += size
+        return ("content",)
+
+    return swept(files, by, "ordinal", ["size"], decide, [0, 0], "outcome string")
+
+
+def metadata_exclusions(files: DataFrame, exclusions: DataFrame, by: str, limit: int = 400) -> DataFrame:
+    """(by, ordinal, path, reason): exclusions of a review that reads no content, at most ``limit``.
+
+    Every file (by, ordinal, path, status, is_binary) that could be read comes first, with the first exclusion
+    (by, ordinal, path, reason) of its path or else as unsupported; then the other exclusions in their order.
+    """
+    able = files.where("status != 'deleted' and not is_binary").groupBy(by, "path").agg(F.min("ordinal").alias("place"))
+    first = exclusions.where("path is not null").groupBy(by, "path").agg(F.min_by(F.struct("reason", F.col("ordinal").alias("used")), "ordinal").alias("x"))
+    needed = able.join(first, [by, "path"], "left").select(by, F.lit(0).alias("rest"), "place", "path", F.coalesce("x.reason", F.lit("unsupported")).alias("reason"), F.col("x.used").alias("used"))
+    taken = needed.where("used is not null").select(by, F.col("used").alias("ordinal"))
+    others = exclusions.join(taken, [by, "ordinal"], "left_anti").select(by, F.lit(1).alias("rest"), F.col("ordinal").alias("place"), "path", "reason")
+    ranked = needed.drop("used").unionByName(others).withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy("rest", "place", "path")))
+    return ranked.where((F.col("ordinal") <= limit) | (F.col("rest") == 0)).select(by, "ordinal", "path", "reason")
+
+
+def attempts(stages: DataFrame, by: str, budget: int = 16, most: int = 2) -> DataFrame:
+    """(by, ordinal, reserved): attempts of a budget that each stage (by, ordinal, consumed) gets, in order.
+
+    A stage reserves up to ``most`` of what is left and gives back what it doesn't consume; null for one that finds
+    nothing left.
+    """
+
+    def decide(state: list, row: tuple) -> tuple:
+        (consumed,) = row
+        if state[0] < 1:
+            return (None,)
+        reserved = min(most, state[0])
+        state[0] -= min(reserved, consumed)
+        return (reserved,)
+
+    return swept(stages, by, "ordinal", ["consumed"], decide, [budget], "reserved int")
+
+
+def ordered_sources(sources: DataFrame, by: str) -> DataFrame:
+    """Sources of settings (by, precedence, source) with their place: by precedence, then by name in UTF-16 order."""
+    return sources.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy("precedence", utf16(F.col("source")))))

@@ -559,14 +559,21 @@ def candidates_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Readability.
 
-UNITS = """SELECT l_orderkey % 500 AS file_id, CASE l_linenumber % 7 WHEN 0 THEN 'file' WHEN 1 THEN 'try' ELSE 'function' END AS kind, concat('s', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING), CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE CAST(l_linenumber AS STRING) END) AS symbol_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS offset,
-CAST(CASE WHEN l_linenumber % 7 = 0 THEN l_quantity * 30 ELSE l_quantity * 8 END + {shift} AS INT) AS lines, CAST(l_partkey % 4 AS INT) AS ternary_depth, CAST(l_partkey % 5 AS INT) AS nullish_values, CAST(l_suppkey % 3 AS INT) AS nullish_sources, CAST(CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END AS INT) AS mixed, CAST(l_partkey % 3 AS INT) AS state_keys, CAST(l_partkey % 6 AS INT) AS state_variants,
-CAST(l_suppkey % 10 AS INT) AS result_properties, CAST(l_partkey % 3 AS INT) AS result_shapes, CAST(CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS INT) AS error_string_tests, CAST(l_quantity * 3 AS INT) - {shift} AS outcome_distance, CAST(l_partkey % 4 AS INT) AS decisions, CAST(l_suppkey % 3 AS INT) AS awaits, CAST(l_suppkey % 5 AS INT) AS returns FROM {lineitem}"""
-NOW_UNITS, OLD_UNITS = UNITS.replace("{shift}", "0"), UNITS.replace("{shift}", "CAST(l_partkey % 3 AS INT) - 1") + " WHERE l_shipdate < TIMESTAMP '1997-01-01 00:00:00'"
-BOTH = f"(SELECT n.*, o.lines AS old_lines, o.outcome_distance AS old_distance FROM ({NOW_UNITS}) n LEFT JOIN (SELECT file_id, kind, symbol_id, arg_min(lines, \"offset\") AS lines, arg_min(outcome_distance, \"offset\") AS outcome_distance FROM ({OLD_UNITS}) b GROUP BY file_id, kind, symbol_id) o ON n.file_id = o.file_id AND n.kind = o.kind AND n.symbol_id = o.symbol_id)"
-SIZE_CLASS = "CASE WHEN old_lines IS NULL THEN 'new' WHEN lines > old_lines THEN 'expanded' WHEN lines < old_lines THEN 'improved' ELSE 'unchanged' END"
-SAME_CLASS = "CASE WHEN old_lines IS NULL THEN 'new' ELSE 'unchanged' END"
-FAR_CLASS = "CASE WHEN old_lines IS NULL THEN 'new' WHEN outcome_distance > old_distance THEN 'expanded' WHEN outcome_distance < old_distance THEN 'improved' ELSE 'unchanged' END"
+UNITS = """SELECT l_orderkey % 500 AS file_id, CASE l_linenumber % 7 WHEN 0 THEN 'file' WHEN 1 THEN 'try' ELSE 'function' END AS kind, CASE WHEN l_orderkey % 97 = 0 AND l_linenumber < 4 THEN 'same' ELSE concat('s', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS symbol_id, CAST((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey * 10 + l_suppkey % 10 AS BIGINT) AS offset,
+CAST(CASE WHEN l_linenumber % 7 = 0 THEN l_quantity * 30 ELSE l_quantity * 8 END + {shift} AS INT) AS lines, CAST((l_partkey + {turn}) % 4 AS INT) AS ternary_depth, CAST((l_partkey + {turn}) % 5 AS INT) AS nullish_values, CAST(l_suppkey % 3 AS INT) AS nullish_sources, CAST(CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END AS INT) AS mixed, CAST((l_partkey + {turn}) % 3 AS INT) AS state_keys, CAST(l_partkey % 6 AS INT) AS state_variants,
+CAST((l_suppkey + {turn}) % 10 AS INT) AS result_properties, CAST(l_partkey % 3 AS INT) AS result_shapes, CAST(CASE WHEN l_partkey % 29 = 0 THEN 1 + (l_suppkey + {turn}) % 3 ELSE 0 END AS INT) AS error_string_tests, CAST(l_quantity * 3 AS INT) - {shift} AS outcome_distance, CAST(l_partkey % 4 AS INT) AS decisions, CAST(l_suppkey % 3 AS INT) AS awaits, CAST(l_suppkey % 5 AS INT) AS returns FROM {lineitem}"""
+NOW_UNITS, OLD_UNITS = UNITS.replace("{shift}", "0").replace("{turn}", "0"), UNITS.replace("{shift}", "CAST(l_partkey % 3 AS INT) - 1").replace("{turn}", "l_orderkey % 3") + " WHERE l_shipdate < TIMESTAMP '1997-01-01 00:00:00'"
+BEFORE = ["lines", *readability.MEASURES]
+BOTH = f"(SELECT n.*, {', '.join(f'o.{m} AS old_{m}' for m in BEFORE)} FROM ({NOW_UNITS}) n LEFT JOIN (SELECT file_id, kind, symbol_id, {', '.join(f'arg_min({m}, {chr(34)}offset{chr(34)}) AS {m}' for m in BEFORE)} FROM ({OLD_UNITS}) b GROUP BY file_id, kind, symbol_id) o ON n.file_id = o.file_id AND n.kind = o.kind AND n.symbol_id = o.symbol_id)"
+
+
+def class_sql(*names: str) -> str:
+    """How a unit's measures changed, by the rule: any that grew, else any that shrank."""
+    some = lambda sign: " OR ".join(f"{n} {sign} old_{n}" for n in names)
+    return f"CASE WHEN old_lines IS NULL THEN 'new' WHEN {some('>')} THEN 'expanded' WHEN {some('<')} THEN 'improved' ELSE 'unchanged' END"
+
+
+SIZE_CLASS = class_sql("lines")
 LARGE = f"(lines > 150 AND {SIZE_CLASS} IN ('new', 'expanded'))"
 HARD = "(old_lines IS NULL AND lines > 300)"
 
@@ -581,11 +588,11 @@ FOUND = f"WITH b AS (SELECT * FROM {BOTH} x) " + " UNION ALL ".join(
         ("CQ-READ-001", "kind = 'function' AND lines > 80", f"CASE WHEN {HARD} THEN 'P1' WHEN {LARGE} THEN 'P2' ELSE 'P3' END", SIZE_CLASS, f"{HARD} OR {LARGE}"),
         ("CQ-READ-002", "kind = 'file' AND lines > 600 AND old_lines IS NULL", "CASE WHEN lines > 1000 THEN 'P1' ELSE 'P3' END", "'new'", "lines > 1000"),
         ("CQ-READ-003", "kind = 'try' AND lines > 80", f"CASE WHEN {LARGE} THEN 'P2' ELSE 'P3' END", SIZE_CLASS, LARGE),
-        ("CQ-READ-004", "kind = 'function' AND (ternary_depth >= 2 OR mixed > 0 OR (nullish_values >= 3 AND nullish_sources >= 2))", "'P3'", SAME_CLASS, "false"),
-        ("CQ-READ-005", "kind = 'function' AND state_keys > 0 AND state_variants >= 3", "'P3'", SAME_CLASS, "false"),
-        ("CQ-READ-006", "kind = 'function' AND (result_properties >= 8 OR result_shapes >= 2)", "'P3'", SAME_CLASS, "false"),
-        ("CQ-READ-007", "kind = 'function' AND error_string_tests > 0", "'P3'", SAME_CLASS, "false"),
-        ("CQ-READ-008", "kind = 'function' AND outcome_distance > 80 AND decisions > 0 AND awaits > 0 AND returns > 0", "'P3'", FAR_CLASS, "false"),
+        ("CQ-READ-004", "kind = 'function' AND (ternary_depth >= 2 OR mixed > 0 OR (nullish_values >= 3 AND nullish_sources >= 2))", "'P3'", class_sql("ternary_depth", "nullish_values", "nullish_sources", "mixed"), "false"),
+        ("CQ-READ-005", "kind = 'function' AND state_keys > 0 AND state_variants >= 3", "'P3'", class_sql("state_keys", "state_variants"), "false"),
+        ("CQ-READ-006", "kind = 'function' AND (result_properties >= 8 OR result_shapes >= 2)", "'P3'", class_sql("result_properties", "result_shapes"), "false"),
+        ("CQ-READ-007", "kind = 'function' AND error_string_tests > 0", "'P3'", class_sql("error_string_tests"), "false"),
+        ("CQ-READ-008", "kind = 'function' AND outcome_distance > 80 AND decisions > 0 AND awaits > 0 AND returns > 0", "'P3'", class_sql("outcome_distance", "decisions", "awaits", "returns"), "false"),
     )
 )
 
@@ -626,20 +633,21 @@ def outcome_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Documents.
 
-COPIES = "SELECT CAST(doc_id AS STRING) AS path, 0 AS ordinal, text FROM {documents}"
+TOLD = "SELECT doc_id, n, trim(regexp_replace(lower(line), '[[:space:]]+', ' ', 'g')) AS block FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM {documents}) y"
 
 
-@query()
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, arg_min(block, n) AS block, CAST(min(n) AS INT) AS ordinal FROM ({TOLD}) t WHERE doc_id % 10 <> 0 AND length(block) >= 120 AND block IN (SELECT block FROM ({TOLD}) u WHERE doc_id % 10 = 0) GROUP BY doc_id")
 def copied_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that documents share with the first tenth of them."""
-    found = documents.blocks(relation(spark, sf_dir, "SELECT CAST(doc_id AS STRING) AS path, text AS content FROM {documents}")).where("kind = 'paragraph'")
-    first = F.col("path").cast("bigint") % 10 == 0
-    return documents.copied_blocks(found.where(~first), found.where(first))
+    """Lines that documents share with the first tenth of them, as blocks."""
+    found = relation(spark, sf_dir, "SELECT CAST(doc_id AS STRING) AS path, doc_id, posexplode(split(text, chr(10), -1)) AS (ordinal, text) FROM {documents}")
+    return documents.copied_blocks(found.where("doc_id % 10 != 0"), found.where("doc_id % 10 = 0"))
 
 
-@query()
+@query("""WITH p AS (SELECT url AS path, string_split(html, chr(10)) AS l, html FROM {pages}) SELECT path, CAST(o AS INT) AS ordinal, kind, CAST(level AS INT) AS level, text, target FROM (SELECT path, 0 AS o, 'heading' AS kind, 1 AS level, 'Page' AS text, CAST(NULL AS VARCHAR) AS target FROM p
+UNION ALL SELECT path, 1, 'paragraph', NULL, 'see [a](' || path || ') there', NULL FROM p UNION ALL SELECT path, 2, 'link', NULL, 'a', path FROM p UNION ALL SELECT path, 3, 'code', NULL, 'x = [b](c)', NULL FROM p UNION ALL SELECT path, 4, 'paragraph', NULL, CAST(strlen(html) AS VARCHAR), NULL FROM p) x""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.blocks(relation(spark, sf_dir, "SELECT url AS path, concat('# ', left(html, 30), chr(10), chr(10), '[a](', url, ')', chr(10), '```', chr(10), html) AS content FROM {pages}"))
+    pages = "SELECT url AS path, concat('# Page #', chr(10), 'see', chr(10), '[a](', url, ') there', chr(10), '```', chr(10), 'x = [b](c)', chr(10), '```', chr(10), CAST(octet_length(encode(html, 'utf-8')) AS STRING)) AS content FROM {pages}"
+    return documents.blocks(relation(spark, sf_dir, pages))
 
 
 EDGES = "SELECT DISTINCT l_suppkey AS src, l_suppkey + CASE WHEN l_partkey % 41 = 0 THEN -(l_suppkey % 3) ELSE 1 + l_suppkey % 2 END AS dst FROM {lineitem} WHERE l_partkey % 7 = 0 OR l_partkey % 41 = 0"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import content, documents, inputs, instructions, ledger, reports, scoring, stage_output
+from ..operators import content, inputs, instructions, ledger, policy, reports, scoring, selection, stage_output
 from ..sources import captures, files, forges
 from . import relations as R
 from .registry import query
@@ -165,7 +165,7 @@ def finding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "rule_id", "status", "path", "start_line", "end_line", "trigger", "actual_behavior", "impact", "verification", "verified_at")
 
 
-BUCKETS = f"SELECT user_id % 50 AS run_id, id, title, evidence, severity, event_id AS ordinal, CASE WHEN lifecycle IN ('confirmed', 'reported') THEN 'findings' WHEN lifecycle IN ('waived', 'dismissed', 'corroborated') THEN lifecycle ELSE 'uncertain' END AS bucket FROM ({R.FINDINGS}) f"
+BUCKETS = f"SELECT user_id % 50 AS run_id, id, title, evidence, path, severity, event_id AS ordinal, CASE WHEN lifecycle IN ('confirmed', 'reported') THEN 'findings' WHEN lifecycle IN ('waived', 'dismissed', 'corroborated') THEN lifecycle ELSE 'uncertain' END AS bucket FROM ({R.FINDINGS}) f"
 RUNS = "SELECT s_suppkey AS run_id, CASE WHEN s_suppkey % 3 = 0 THEN 'BLOCK' ELSE 'PASS' END AS gate, CAST(s_suppkey % 100 AS DOUBLE) + 0.25 AS normalized, CASE WHEN s_suppkey % 4 > 0 THEN 86.04 END AS coverage, s_suppkey % 2 = 0 AS incomplete, 'abc' AS report_hash FROM {supplier} WHERE s_suppkey <= 60"
 PLACE = "CASE bucket WHEN 'findings' THEN 1 WHEN 'corroborated' THEN 2 WHEN 'uncertain' THEN 3 WHEN 'waived' THEN 4 END"
 
@@ -189,6 +189,23 @@ def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.markdown_report(relation(spark, sf_dir, RUNS), rows)
 
 
+PLAIN = "'- [' || severity || '] ' || title || ' (' || id || ')'"
+
+
+@query(f"""SELECT run_id, 'Gate: ' || gate || chr(10) || 'Run: ' || run_id || chr(10) || 'Report: abc' || chr(10) || 'Incomplete: ' || CASE WHEN incomplete THEN 'yes' ELSE 'no' END || chr(10) || chr(10) || 'Findings:' || chr(10) || coalesce({PART('findings', PLAIN + " || chr(10) || '  evidence: ' || evidence || CASE WHEN path IS NOT NULL THEN chr(10) || '  path: ' || path ELSE '' END")}, '- none')
+{''.join(f"|| chr(10) || chr(10) || '{b.capitalize()}:' || chr(10) || coalesce({PART(b, PLAIN)}, '- none') " for b in ('corroborated', 'uncertain', 'waived'))} || chr(10) || chr(10) || 'Residual risk:' || chr(10) || CASE WHEN incomplete THEN '- Review incomplete; do not treat Gate PASS as full assurance.' ELSE '- No structural incompleteness recorded by orchestrator.' END || chr(10) || chr(10) AS report FROM ({RUNS}) r""")
+def terminal_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.terminal_report(relation(spark, sf_dir, RUNS), relation(spark, sf_dir, BUCKETS).withColumn("verification", F.lit(None).cast("string")))
+
+
+MEASURED = "SELECT doc_id, n_chars % 7 AS decision_count, n_chars % 5 AS return_count FROM {documents}"
+
+
+@query("SELECT doc_id, n_chars % 7 AS decisions, n_chars % 5 AS returns FROM {documents}")
+def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.metric_record(relation(spark, sf_dir, MEASURED)).select("doc_id", F.col("record.decision_count").alias("decisions"), F.col("record.return_count").alias("returns"))
+
+
 COUNTS = "SELECT o_orderkey AS id, o_custkey % 200 AS n_candidates, o_orderkey % 160 AS n_diagnostics, CASE WHEN o_orderkey % 2 = 0 THEN 'PASS' ELSE 'WARN' END AS gate FROM {orders}"
 
 
@@ -221,8 +238,83 @@ def score_input_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.assessments_of(inputs.score_inputs(relation(spark, sf_dir, INPUTS)))
 
 
+SETTINGS = """SELECT c_custkey AS path, concat('{{"schemaVersion":"1","defaultProvider":"', CASE c_custkey % 7 WHEN 1 THEN 'nobody' ELSE 'p0' END, '","providers":[{{"name":"', CASE c_custkey % 7 WHEN 2 THEN 'p 0' ELSE 'p0' END, '","kind":"', CASE c_custkey % 7 WHEN 3 THEN 'local' ELSE 'service' END,
+'","endpoint":"https://x","credentialEnv":"', CASE c_custkey % 7 WHEN 4 THEN 'key' ELSE 'KEY' END, '","allowedModels":["a","b"],"defaultModel":"', CASE c_custkey % 7 WHEN 5 THEN 'c' ELSE 'a' END, '"}},{{"name":"', CASE c_custkey % 7 WHEN 6 THEN 'p0' ELSE 'p1' END, '","kind":"command","executable":"/bin/x","allowedModels":["m"],"defaultModel":"m"}}]}}') AS content FROM {{customer}}""".replace("{{", "{").replace("}}", "}")
+SETTING_ISSUE = "CASE c_custkey % 7 WHEN 1 THEN 'default_provider' WHEN 2 THEN 'name' WHEN 3 THEN 'kind' WHEN 4 THEN 'credential' WHEN 5 THEN 'default_model' WHEN 6 THEN 'duplicate_name' END"
+
+
+@query(f"""SELECT c_custkey AS path, {SETTING_ISSUE} AS issue, NULL AS provider, NULL AS kind, CAST(NULL AS BOOLEAN) AS is_default FROM {{customer}} WHERE c_custkey % 7 > 0 UNION ALL SELECT c_custkey, NULL, p, CASE p WHEN 'p0' THEN 'service' ELSE 'command' END, p = 'p0' FROM {{customer}}, (VALUES ('p0'), ('p1')) v(p) WHERE c_custkey % 7 = 0""")
+def user_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.user_configs(relation(spark, sf_dir, SETTINGS), commands=("command",), services=("service",)).select("path", "issue", "provider", "kind", "is_default")
+
+
 # Column functions and small operators, each over a whole table.
 
+REPOSITORY = "SELECT lang AS workspace, doc_id AS ordinal, n_chars AS size FROM {documents}"
+
+
+@query("""WITH RECURSIVE f AS (SELECT lang AS workspace, doc_id AS ordinal, n_chars AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM {documents}),
+w AS (SELECT DISTINCT workspace, CAST(NULL AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS outcome FROM f UNION ALL SELECT f.workspace, f.ordinal, f.nth, w.used + CASE WHEN f.nth <= 20 AND size <= 6000 AND w.used + size <= 20000 THEN size ELSE 0 END,
+CASE WHEN f.nth > 60 THEN 'overflow' WHEN f.nth > 20 OR size > 6000 THEN 'file_limit' WHEN w.used + size > 20000 THEN 'aggregate_byte_limit' ELSE 'content' END FROM f JOIN w ON w.workspace = f.workspace AND f.nth = w.nth + 1) SELECT workspace, ordinal, outcome FROM w WHERE nth > 0""")
+def repository_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.repository_review(relation(spark, sf_dir, REPOSITORY), "workspace", 60, 20, 6000, 20_000)
+
+
+SEEN = "SELECT p_size AS review, p_partkey AS ordinal, p_name || CAST(p_partkey % 3 AS STRING) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'deleted' ELSE 'modified' END AS status, p_partkey % 7 = 0 AS is_binary FROM {part}"
+OUT_OF = "SELECT p_size AS review, p_partkey AS ordinal, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name || CAST(p_partkey % 3 AS STRING) END AS path, concat('why ', CAST(p_partkey % 6 AS STRING)) AS reason FROM {part} WHERE p_partkey % 2 = 0"
+
+
+@query(f"""WITH a AS (SELECT review, path, min(ordinal) AS place FROM ({SEEN}) s WHERE status <> 'deleted' AND NOT is_binary GROUP BY review, path), e AS (SELECT *, row_number() OVER (PARTITION BY review, path ORDER BY ordinal) AS nth FROM ({OUT_OF}) o),
+n AS (SELECT a.review, 0 AS rest, place, a.path, coalesce(reason, 'unsupported') AS reason, e.ordinal AS used FROM a LEFT JOIN e ON a.review = e.review AND a.path = e.path AND nth = 1),
+u AS (SELECT review, rest, place, path, reason FROM n UNION ALL SELECT review, 1, ordinal, path, reason FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.review = e.review AND n.used = e.ordinal)), r AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY rest, place, path) AS ordinal FROM u)
+SELECT review, CAST(ordinal AS INT) AS ordinal, path, reason FROM r WHERE ordinal <= 30 OR rest = 0""")
+def metadata_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.metadata_exclusions(relation(spark, sf_dir, SEEN), relation(spark, sf_dir, OUT_OF), "review", 30)
+
+
+TRIED = "SELECT o_custkey AS run, o_orderkey AS ordinal, o_orderkey % 3 AS consumed FROM {orders}"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ordinal) AS nth FROM ({TRIED}) t), w AS (SELECT DISTINCT run, CAST(NULL AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS nth, CAST(7 AS BIGINT) AS available, CAST(NULL AS INT) AS reserved FROM f
+UNION ALL SELECT f.run, f.ordinal, f.nth, CASE WHEN w.available < 1 THEN w.available ELSE w.available - least(2, w.available, consumed) END, CASE WHEN w.available >= 1 THEN CAST(least(2, w.available) AS INT) END FROM f JOIN w ON w.run = f.run AND f.nth = w.nth + 1) SELECT run, ordinal, reserved FROM w WHERE nth > 0""")
+def stage_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.attempts(relation(spark, sf_dir, TRIED), "run", 7)
+
+
+ORIGINS = "SELECT DISTINCT p_size AS profile, p_brand AS source, p_partkey % 4 AS precedence FROM {part}"
+
+
+@query(f"SELECT profile, source, precedence, CAST(row_number() OVER (PARTITION BY profile ORDER BY precedence, source) AS INT) AS ordinal FROM ({ORIGINS}) o")
+def policy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.ordered_sources(relation(spark, sf_dir, ORIGINS), "profile")
+
+
+HOOKS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'warn' ELSE 'block' END AS mode, CAST(o_custkey % 4 AS INT) AS exit_code, o_orderkey % 3 = 0 AS fail_open FROM {orders}"
+
+
+@query(f"SELECT id, CASE WHEN mode = 'warn' OR (exit_code = 3 AND fail_open) THEN 0 ELSE exit_code END AS hook_exit_code FROM ({HOOKS}) h")
+def hook_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.hook_exit_code(relation(spark, sf_dir, HOOKS)).select("id", "hook_exit_code")
+
+
+USED = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 1 THEN NULL WHEN o_orderkey % 8 = 2 THEN '[]' WHEN o_orderkey % 8 = 3 THEN '{{"in":1.5,"out":2}}' WHEN o_orderkey % 8 = 4 THEN '{{"in":-1,"out":2}}' WHEN o_orderkey % 8 = 5 THEN '{{"in":1,"out":2,"all":4}}' WHEN o_orderkey % 8 = 6 THEN '{{"in":1}}'
+ELSE concat('{{"in":', CAST(o_custkey AS STRING), ',"out":2', CASE WHEN o_orderkey % 16 = 7 THEN concat(',"all":', CAST(o_custkey + 2 AS STRING)) ELSE '' END, '}}') END AS usage FROM {{orders}}""".replace("{{", "{").replace("}}", "}")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 IN (0, 7) THEN o_custkey END AS input_tokens, CASE WHEN o_orderkey % 8 IN (0, 7) THEN o_custkey + 2 END AS total_tokens, o_orderkey % 8 BETWEEN 2 AND 6 AS invalid_usage FROM {orders}")
+def provider_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.usage(relation(spark, sf_dir, USED), "in", "out", "all").select("id", "input_tokens", "total_tokens", "invalid_usage")
+
+
+LIMITS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN -1.0 ELSE 10.0 END AS max_bytes, CASE WHEN o_orderkey % 3 = 0 THEN 1.5 ELSE 2.0 END AS max_nodes, CASE WHEN o_orderkey % 7 = 0 THEN -3.0 ELSE 0.0 END AS max_work FROM {orders}"
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'max_bytes' WHEN o_orderkey % 3 = 0 THEN 'max_nodes' WHEN o_orderkey % 7 = 0 THEN 'max_work' END AS invalid_limit FROM {orders}")
+def analysis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, LIMITS).select("id", *(F.col(c).cast("double").alias(c) for c in ("max_bytes", "max_nodes", "max_work")))
+    return policy.invalid_limit(rows).select("id", "invalid_limit")
+
+
 
 @query("SELECT doc_id, contains(left(text, 8192), chr(0)) AS is_binary FROM {documents} WHERE text IS NOT NULL")
 def binary_content(spark: SparkSession, sf_dir: str) -> DataFrame:

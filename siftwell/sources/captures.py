@@ -178,3 +178,25 @@ def parts_hash(*parts: Column) -> Column:
     """SHA-256 of byte strings, each behind its length and a colon; -1: stands for a missing one."""
     framed = [F.when(p.isNull(), F.lit("-1:").cast("binary")).otherwise(F.concat(F.concat(F.octet_length(p).cast("string"), F.lit(":")).cast("binary"), p.cast("binary"))) for p in parts]
     return F.sha2(F.concat(*framed), 256)
+
+
+def path_set(listings: DataFrame, key: str, most: int, set_label: str = "paths", whole_label: str = "path-sets") -> DataFrame:
+    """(key, tracked, untracked, ignored, n_entries, overflow, hash, issue) of listings whose three columns hold paths that each end with NUL.
+
+    At most ``most`` paths are kept in all, of the three sets in this order, each in its own order. The hash covers all
+    bytes; labels keep it apart from hashes of other things.
+    """
+    kinds = ("tracked", "untracked", "ignored")
+    raw = {k: F.coalesce(F.col(k).cast("binary"), F.lit("").cast("binary")) for k in kinds}
+    good = F.lit(True)
+    for k in kinds:
+        good &= F.is_valid_utf8(raw[k]) & ((F.octet_length(raw[k]) == 0) | (F.substring(raw[k], -1, 1) == F.lit("\0").cast("binary")))
+    entries = {k: F.when(F.octet_length(raw[k]) == 0, F.array().cast("array<string>")).otherwise(F.split(F.decode(F.substring(raw[k], F.lit(1), F.octet_length(raw[k]) - 1), "UTF-8"), "\0", -1)) for k in kinds}
+    rows = listings.select(key, good.alias("good"), *(F.when(good, entries[k]).alias(k) for k in kinds), *(F.sha2(F.concat(F.lit(f"{set_label}\0").cast("binary"), raw[k]), 256).alias(f"{k}_hash") for k in kinds))
+    before, kept = F.lit(0), []
+    for k in kinds:
+        kept.append(F.slice(k, F.lit(1), F.least(F.size(k), F.greatest(F.lit(most) - before, F.lit(0)))).alias(k))
+        before = before + F.size(k)
+    framed = [F.concat(F.size(k).cast("string"), F.lit(":"), F.col(f"{k}_hash"), F.lit("\0")) for k in kinds]
+    whole = F.sha2(F.concat(F.lit(f"{whole_label}\0"), *framed).cast("binary"), 256)
+    return rows.select(key, *kept, F.when(F.col("good"), before).alias("n_entries"), F.when(F.col("good"), F.greatest(before - most, F.lit(0))).alias("overflow"), F.when(F.col("good"), whole).alias("hash"), F.when(~F.col("good"), "malformed").alias("issue"))

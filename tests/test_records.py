@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import schema
-from siftwell.operators import inputs, instructions, reports, stage_output
+from siftwell.operators import evidence, inputs, instructions, policy, reports, stage_output
 from siftwell.plans.relations import MODEL
 from siftwell.sources import captures, forges
 
@@ -208,3 +209,42 @@ def test_odd_instruction_files(spark):
     d = spark.createDataFrame([("AGENTS.md", None, None), ("X.md", "", None), ("a/X.md", "x", None), ("b/AGENTS.md", "ok", None), ("b/L.md", None, "b/AGENTS.md"), ("b/Y.md", "*" * 60_000, None)], "path string, content string, target string")
     assert {(r.path, r.code) for r in instructions.diagnostics(d).collect()} == {("X.md", "MISSING_CANONICAL_REFERENCE"), ("a/X.md", "ORPHAN_PEER_SCOPE"), ("b/Y.md", "MARKDOWN_LIMIT_EXCEEDED")}
     assert instructions.diagnostics(d.where("false")).count() == 0
+
+
+def test_path_sets_under_one_cap(spark):
+    rows = [(1, "b\0a\0", "c\0", ""), (2, "x", "", ""), (3, None, "\0", "é\0"), (4, "", "", "")]
+    d = spark.createDataFrame(rows, "k int, tracked string, untracked string, ignored string")
+    got = {r.k: r for r in captures.path_set(d, "k", 2).collect()}
+    assert (got[1].tracked, got[1].untracked, got[1].n_entries, got[1].overflow) == (["b", "a"], [], 3, 1) and (got[2].issue, got[2].hash) == ("malformed", None)
+    assert (got[3].untracked, got[3].ignored) == ([""], ["é"]) and got[4].n_entries == 0
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    sets = [(b"b\0a\0", 2), (b"c\0", 1), (b"", 0)]
+    assert got[1].hash == h(b"path-sets\0" + b"".join(f"{n}:{h(b'paths' + bytes(1) + b)}\0".encode() for b, n in sets))
+
+
+def test_signatures(spark):
+    m, turned = model(), model()
+    turned["majors"].reverse()
+    for j in turned["majors"]:
+        j["minors"].reverse()
+    d = spark.createDataFrame([("a", json.dumps(m)), ("b", json.dumps(turned)), ("c", json.dumps(changed(0, 0, required=False))), ("d", "[]"), ("e", json.dumps(m | {"id": "other"}))], "path string, content string")
+    got = {r.path: r.signature for r in inputs.model_signatures(d).collect()}
+    assert got["a"] == got["b"] == got["e"] != got["c"] and got["d"] is None and len(got["a"]) == 64
+
+
+def test_facts_about_other_ranges(spark):
+    d = spark.createDataFrame([(1, "deterministic", "a fact that is long", "p", 3, "p", 3, 4), (2, "deterministic", "a fact that is long", "q", 3, "p", 3, 4), (3, "deterministic", "a fact that is long", "p", 3, "p", 3, None), (4, "rumour", "a fact that is long", "p", 3, "p", 3, 4)], "id int, fact_kind string, fact string, fact_path string, fact_start int, path string, start_line int, end_line int").withColumn("fact_end", F.lit(4))
+    assert {r.id for r in d.where(evidence.valid_fact(d.columns)).collect()} == {1} and {r.id for r in d.where(evidence.valid_fact([])).collect()} == {1, 2, 3}
+
+
+def test_users_settings():
+    one = {"name": "p", "kind": "service", "endpoint": "https://x", "credentialEnv": "KEY", "allowedModels": ["a"], "defaultModel": "a"}
+    issue = lambda *providers, **more: inputs.user_config(json.dumps({"schemaVersion": "1", "providers": [*providers]} | more), ("command",), ("service",))[0][0]
+    assert issue(one) is None and issue() == "config" and issue(one, schemaVersion=1) == "config" and issue(*[one | {"name": f"p{i}"} for i in range(33)]) == "config" and issue("x") == "provider"
+    assert issue(one | {"allowedModels": ["a", "a"]}) == "models" and issue(one | {"allowedModels": []}) == "models" and issue(one | {"kind": "command", "executable": "x"}) == "executable" and issue(one | {"endpoint": ""}) == "endpoint" and issue(one, defaultProvider=None) == "default_provider"
+
+
+def test_usage(spark):
+    d = spark.createDataFrame([(1, '{"in":1,"out":2}'), (2, '{"in":1,"out":2,"all":null}'), (3, '{"in":"1","out":2}'), (4, '{"in":9007199254740991,"out":1}'), (5, "nonsense"), (6, None)], "id int, usage string")
+    got = {r.id: (r.total_tokens, r.invalid_usage) for r in policy.usage(d, "in", "out", "all").collect()}
+    assert got == {1: (3, False), 2: (None, True), 3: (None, True), 4: (None, True), 5: (None, True), 6: (None, False)}
