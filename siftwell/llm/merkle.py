@@ -8,8 +8,9 @@ children are compared, down to the records. What differs is named: ``corrupt`` (
 ``missing`` (no record there in the second replica) or ``extra`` (none in the first).
 
 Defined results: records with a null file or offset are outside of every tree and are left out. A null content
-counts as empty. Several records at one offset are one entry, whose digests are joined in order; a replica that
-repeats one of them differs. Empty replicas have no nodes; against an empty one every record is missing or extra.
+counts as empty; contents of any length are hashed whole. Several records at one offset are one entry, whose digests
+are joined in order; a replica that repeats one of them differs. Empty replicas have no nodes; against an empty one
+every record is missing or extra, and two empty ones differ in nothing. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
