@@ -77,14 +77,14 @@ def decode_quoted_path(s: pd.Series) -> pd.Series:
 
 
 def truncate_utf8(limit: int):
-    """A UDF that cuts text to at most ``limit`` bytes of UTF-8 at a character border, the last of them an ellipsis."""
+    """A UDF that cuts text to at most ``limit`` bytes of UTF-8 at a character border; a cut text ends with three dots."""
 
     @F.pandas_udf(T.StringType())
     def cut(s: pd.Series) -> pd.Series:
         def one(x):
             if x is None or len(raw := x.encode()) <= limit:
                 return x
-            return raw[: max(0, limit - 3)].decode("utf-8", "ignore") + "…"
+            return raw[: max(0, limit - 3)].decode("utf-8", "ignore") + "..."
 
         return s.map(one)
 

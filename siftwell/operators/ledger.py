@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import framed_hash, redact, truncate_utf8
@@ -45,9 +45,14 @@ def cacheable(results: DataFrame) -> DataFrame:
     return results.where(~F.col("incomplete") & (F.col("gate") != "INCOMPLETE") & ~F.exists("codes", lambda c: c.startswith("PROVIDER_")))
 
 
-def projected_diagnostics(diagnostics: Column, limit: int = 32, max_bytes: int = 512) -> Column:
-    """The first diagnostics without credentials, joined and cut to a number of bytes."""
-    return truncate_utf8(max_bytes)(F.array_join(F.transform(F.slice(diagnostics, 1, limit), lambda x: redact(x)), "\n"))
+#: Bytes that the ledger keeps of a diagnostic's fields, and how many diagnostics of a run.
+KEPT_BYTES, MAX_DIAGNOSTICS = {"stage_id": 120, "path": 256, "message": 512}, 32
+
+
+def stored_diagnostics(rows: DataFrame, by: str) -> DataFrame:
+    """The first diagnostics (by, ordinal, code, stage_id, path, message) of each run, each field without credentials and cut."""
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("ordinal"))).where(F.col("nth") <= MAX_DIAGNOSTICS).drop("nth")
+    return first.withColumns({c: truncate_utf8(n)(redact(F.col(c))) for c, n in KEPT_BYTES.items()})
 
 
 def run_rows(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import content, inputs, instructions, ledger, policy, reports, scoring, selection, stage_output
 from ..sources import captures, files, forges
+from . import catalog
 from . import relations as R
 from .registry import query
 from .relations import relation
@@ -324,7 +325,7 @@ def binary_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN strlen(text) <= 90 THEN text ELSE NULL END AS short, strlen(text) > 90 AS was_cut FROM {documents}")
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = relation(spark, sf_dir, "SELECT doc_id, text FROM {documents}").withColumn("cut", text.truncate_utf8(90)("text"))
-    return cut.select("doc_id", F.when(F.octet_length("text") <= 90, F.col("cut")).alias("short"), (F.endswith("cut", F.lit("…")) & (F.octet_length("cut") <= 90) & F.startswith("text", F.left("cut", F.length("cut") - 1))).alias("was_cut"))
+    return cut.select("doc_id", F.when(F.octet_length("text") <= 90, F.col("cut")).alias("short"), (F.endswith("cut", F.lit("...")) & (F.octet_length("text") > 90) & (F.octet_length("cut") <= 90) & F.startswith("text", F.left("cut", F.length("cut") - 3))).alias("was_cut"))
 
 
 @query("SELECT p_partkey, 'a/' || p_name || ' é\"' AS path FROM {part}")
@@ -374,6 +375,61 @@ def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.redact(F.col("t"), ("hunter2hunter2",)).alias("shown"))
 
 
+NOTED = "SELECT c_custkey % 20 AS run, c_custkey AS ordinal, 'C' AS code, c_mktsegment AS stage_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('p/', c_name) END AS path, concat('Bearer key', CAST(c_custkey AS STRING), repeat(' x', CAST(c_custkey % 400 AS INT))) AS message FROM {customer}"
+
+
+@query(f"""SELECT run, ordinal, code, stage_id, path, CASE WHEN strlen(m) <= 512 THEN m ELSE left(m, 509) || '...' END AS message FROM (SELECT *, regexp_replace(message, 'key[0-9]+', '[REDACTED]') AS m, row_number() OVER (PARTITION BY run ORDER BY ordinal) AS nth FROM ({NOTED.replace('AS INT)', 'AS BIGINT)')}) n) x WHERE nth <= 32""")
+def stored_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.stored_diagnostics(relation(spark, sf_dir, NOTED), "run")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['c' || o_custkey] END || ['u'] || [] || CASE WHEN o_orderkey % 2 = 0 THEN ['w'] ELSE [] END AS findings FROM {orders}")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rows = relation(spark, sf_dir, "SELECT o_orderkey AS id, o_custkey FROM {orders}").withColumns({"confirmed": F.when(F.col("id") % 3 == 0, none).otherwise(F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))), "uncertain": F.array(F.lit("u")), "dismissed": none, "waived": F.when(F.col("id") % 2 == 0, F.array(F.lit("w"))).otherwise(none)})
+    return ledger.run_rows(rows).select("id", "findings")
+
+
+@query("SELECT doc_id, text IS NOT NULL AS valid FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, false FROM {documents} WHERE doc_id % 3 = 0 AND text IS NOT NULL")
+def valid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, "SELECT doc_id, CAST(text AS BINARY) AS content FROM {documents} WHERE text IS NOT NULL OR doc_id % 3 > 0")
+    broken = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit(bytearray(b"\xff")))).otherwise(F.col("content"))
+    return rows.select("doc_id", F.coalesce(content.valid_utf8(broken), F.lit(False)).alias("valid"))
+
+
+@query("SELECT doc_id, '~1' || source || '~0' || lang AS pointer FROM {documents}")
+def json_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, "SELECT doc_id, source, lang FROM {documents}").select("doc_id", text.json_pointer(F.concat(F.lit("/"), "source", F.lit("~"), "lang")).alias("pointer"))
+
+
+@query("""SELECT event_id, '{"a":[1,{"k":' || regexp_extract(props, '([0-9]+)', 1) || '}],"é":"' || event_type || '"}' AS canonical FROM {events}""")
+def canonical_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, "SELECT event_id, concat('{ \"é\": \"', event_type, '\", \"a\": [1, ', props, ']}') AS j FROM {events}")
+    return rows.select("event_id", text.canonical_json("j").alias("canonical"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[ ]+', ' ', 'g')) || ' fi' AS block FROM {part}")
+def normal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, "SELECT p_partkey, concat('  ', upper(p_name), chr(10), ' ﬁ ') AS t FROM {part}").select("p_partkey", text.nfkc_block("t").alias("block"))
+
+
+MODELS = f"SELECT m.model, v.* FROM (SELECT s_suppkey AS model FROM {{supplier}} WHERE s_suppkey < 20) m CROSS JOIN {R.MINORS} v"
+
+
+@query("SELECT model AS path, 'm' || model AS model_id, major_id, CAST(major_weight AS INT) AS major_weight, minor_id, CAST(weight AS INT) AS weight, minor_no % 2 = 0 AS required FROM (" + MODELS + ") m")
+def score_model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, MODELS)
+    minor = F.struct(F.col("minor_id").alias("id"), F.col("weight").alias("weightTenths"), (F.col("minor_no") % 2 == 0).alias("required"))
+    major = rows.groupBy("model", "major_id", "major_weight").agg(F.collect_list(minor).alias("minors")).select("model", F.struct(F.col("major_id").alias("id"), F.col("major_weight").alias("weightTenths"), "minors").alias("j"))
+    made = major.groupBy("model").agg(F.collect_list("j").alias("majors")).select(F.col("model").alias("path"), F.to_json(F.struct(F.concat(F.lit("m"), F.col("model").cast("string")).alias("id"), F.lit("1").alias("version"), "majors")).alias("content"))
+    return files.score_models(made).drop("version")
+
+
+@query(f"SELECT entity, CASE WHEN bool_or(status = 'not_assessed') THEN 'N/A' ELSE any_value(n) END AS normalized FROM (SELECT b.entity, status, t.normalized AS n FROM ({R.SUPPLIER_ASSESSMENTS}) b JOIN ({catalog.total_sql(R.SUPPLIER_ASSESSMENTS)}) t ON t.entity = b.entity) x GROUP BY entity")
+def published_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.published(scoring.total_scores(scoring.major_scores(catalog.minors(spark, sf_dir, R.SUPPLIER_ASSESSMENTS)))).select("entity", "normalized")
+
+
 # Instructions: peers in folders, each with one fault.
 
 LONG = "Every change has to keep the tests green and to state what it changes and why, in words that somebody who has not seen the code before can follow."

@@ -21,7 +21,7 @@ def test_text_functions(spark):
     assert apply(spark, text.repository_path, "./a\\b", "/a", "../a", "a/../b", "..") == ["a/b", None, None, None, None]
     assert apply(spark, text.canonical_json, '{"b": [1, {"z": 1, "a": null}], "a": "é"}', "{", None) == ['{"a":"é","b":[1,{"a":null,"z":1}]}', None, None]
     assert apply(spark, text.decode_quoted_path, '"a/\\303\\251\\t\\""', "plain", '"bad\\9"', '"open') == ['a/é\t"', "plain", None, None]
-    assert apply(spark, text.truncate_utf8(6), "éééé", "abcdef") == ["é…", "abcdef"]
+    assert apply(spark, text.truncate_utf8(6), "éééé", "abcdef") == ["é...", "abcdef"]
     assert apply(spark, text.redact, "Authorization: bearer  abc.d-e_f/g", "BEARER\tx y", "Bearer ", "key 12345678") == ["Authorization: bearer  [REDACTED]/g", "BEARER\t[REDACTED] y", "Bearer ", "key 12345678"]
     assert apply(spark, lambda c: text.redact(c, ("12345678", "short")), "a12345678b short 12345678") == ["a[REDACTED]b short [REDACTED]"]
     assert apply(spark, text.terminal_safe(), 'a"b\\c\td\n\x1b[31m\x7f\u202e\u2028é😀\u00ad', None, "plain") == ['a\\"b\\\\c\\td\\n\\u001b[31m\\u007f\\u202e\\u2028é😀\\u00ad', None, "plain"]
@@ -96,7 +96,9 @@ def test_cache_keeps_the_other_keys_of_a_shard(spark, tmp_path):
 def test_cacheable_and_projection(spark):
     d = spark.createDataFrame([(1, False, "PASS", ["X"]), (2, True, "PASS", []), (3, False, "INCOMPLETE", []), (4, False, "WARN", ["PROVIDER_TIMEOUT"])], "id int, incomplete boolean, gate string, codes array<string>")
     assert [r.id for r in ledger.cacheable(d).collect()] == [1]
-    assert d.where("id = 1").select(ledger.projected_diagnostics(F.col("codes")).alias("o")).first().o == "X"
+    rows = spark.createDataFrame([(1, i, "C", "s" * 130, None, "Bearer abc " + "é" * 300) for i in range(40)], "run int, ordinal int, code string, stage_id string, path string, message string")
+    kept = ledger.stored_diagnostics(rows, "run").collect()
+    assert len(kept) == 32 and all((r.stage_id, r.path) == ("s" * 117 + "...", None) and r.message.startswith("Bearer [REDACTED] é") and len(r.message.encode()) in (511, 512) for r in kept)
 
 
 def test_stream_of_runs(spark, tmp_path):
