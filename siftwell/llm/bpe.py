@@ -28,14 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, map_arrow
+from .common import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Characters of text whose pieces are encoded together.
 STRETCH = 4_000_000
-#: Answers about pairs of tokens that are kept; only speed depends on it.
-ALLOWED = 1_000_000
+#: Encodings of pieces, and answers about pairs of tokens, that are kept; only speed depends on them.
+PIECES, ALLOWED = 400_000, 1_000_000
 #: Bytes of a path up to which whole encodings are kept; beyond, last tokens alone, which lead back to there.
 DEEP = 256
 
@@ -157,7 +157,7 @@ class Encoder:
                 stretch.append(None if texts[k] is None else find(texts[k]))
                 size += len(texts[k] or "")
                 k += 1
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > PIECES:
                 cache.clear()
             new = {w.encode(): w for w in set().union(*filter(None, stretch)) if w not in cache}
             cache.update((new[b], code) for b, code in self.encode_words(new).items())
