@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import simhash as sh
@@ -76,6 +78,38 @@ def test_a_pair_of_several_blocks_is_told_once():
     assert len(found) == len(set(found)) == 60 * 59 // 2
 
 
+def test_memory_of_a_shard():
+    """A shard of few values, as of texts with much in common, is compared in small parts."""
+    g = np.random.default_rng(4)
+    n = 6000
+    hi = g.integers(0, 40, n, dtype=np.int64) << 48 | g.integers(0, 1 << 48, n, dtype=np.int64)
+    tracemalloc.start()
+    found = sum(len(f[0]) for f in sh.shard_pairs(0, np.arange(n), hi, ints(n, 5), np.arange(n) % 3 > 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found < 100 and peak < 30e6
+
+
+def test_search_holds_no_visitors():
+    """Visitors are read in batches after a shard's own fingerprints, from a stream of several shards."""
+    rows = planted(120)
+    rep, hi, lo = (np.array(c, np.int64) for c in zip(*rows))
+    value = sh.block_values(hi.view(np.uint64), lo.view(np.uint64), 0).astype(np.int64)
+    visits = (np.arange(len(rep)) % 4 > 0).astype(np.int64)
+    order = np.lexsort((value, visits))
+    zero = np.zeros(len(rep), np.int64)
+
+    def batches():
+        for shard in (0, 8):
+            place = (((shard * 2 + visits) << 16) + value)[order]
+            table = pa.table({"place": place, "rep": rep[order], "hi": hi[order], "lo": lo[order], "n": zero, "parity": zero})
+            yield from table.to_batches(max_chunksize=7)
+
+    want = [p for f in sh.shard_pairs(0, rep, hi, lo, visits > 0) for p in zip(*(c.tolist() for c in f))]
+    got = [p for f in sh.search(batches()) for p in zip(*(c.tolist() for c in f))]
+    assert len(want) > 10 and sorted(got) == sorted(want * 2)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(a, b) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(180)) if a != b] + [(1000 + i, 1001 + i) for i in range(40)]
