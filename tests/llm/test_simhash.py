@@ -170,6 +170,34 @@ def test_short_texts_that_share_a_line_stay(docs):
     assert {r.doc_id for r in sh.deduplicated(docs(rows)).collect()} == {0, 1, 10, 11, 20, 21}
 
 
+def test_pairs_that_share_too_few_words_go_before_confirmation(docs):
+    """Numbers of words and parities leave out no pair that shares enough."""
+    r = random.Random(5)
+    for _ in range(200):
+        x = {f"a{r.randrange(10**6)}" for _ in range(r.randrange(1, 60))}
+        y = {w for w in x if r.random() < 0.85} | {f"b{r.randrange(10**6)}" for _ in range(r.randrange(0, 8))}
+        (_, n, p), (_, m, q) = sh.marked([" ".join(x), " ".join(y)], sh.Words()) if y else [("", 0, b"")] * 2
+        apart = (int.from_bytes(p) ^ int.from_bytes(q)).bit_count()
+        assert max(abs(n - m), apart) <= len(x ^ y) or not y
+        assert len(x & y) < sh.SHARED * len(x | y) or max(abs(n - m), apart) <= sh.UNLIKE * (n + m)
+    pairs = short_texts()
+    rows = [(10 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)] + [(100, pairs[0][0].upper() + "!")]
+    marks = sh.fingerprints(docs(rows)).withColumnRenamed("doc_id", "rep")
+    assert sh.near_pairs(marks.select("rep", "hi", "lo")).count() >= 4
+    got = {(p.a, p.b) for p in sh.near_pairs(marks).collect()}
+    assert (0, 100) in got and len(got) < 4
+
+
+def test_a_cluster_is_linked_once(docs):
+    """A cluster of n unlike near copies needs no n * n confirmed pairs."""
+    text = prose(9, 200)
+    d = docs([(i, change(text, 0.01, i) if i else text) for i in range(40)])
+    pairs = sh.near_pairs(sh.fingerprints(d).withColumnRenamed("doc_id", "rep"))
+    links = sh.confirmed(d, pairs)
+    assert pairs.count() > 300 and links.count() < 40
+    assert {(x.node, x.root) for x in sh.components(links).collect()} == {(x.node, x.root) for x in sh.components(pairs).collect()}
+
+
 def test_confirmation_in_divisions(docs, monkeypatch):
     """Groups are the same however few documents are held at once."""
     base = {i: prose(i, 150) for i in range(6)}
