@@ -32,10 +32,10 @@ from .common import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters of text whose pieces are encoded together.
-STRETCH = 4_000_000
+#: Characters of text whose pieces are encoded together, and held at once: some 15 bytes for each character.
+STRETCH = 1_000_000
 #: Encodings of pieces, and answers about pairs of tokens, that are kept; only speed depends on them.
-PIECES, ALLOWED = 400_000, 1_000_000
+PIECES, ALLOWED = 400_000, 400_000
 #: Bytes of a path up to which whole encodings are kept; beyond, last tokens alone, which lead back to there.
 DEEP = 256
 

@@ -476,9 +476,10 @@ def forest(edges: DataFrame) -> DataFrame:
     return map_arrow(edges.select("a", "b"), run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for edges (a, b)."""
-    state, before = checkpointed(forest(edges.where("a != b")).distinct()), None
+def components(edges: DataFrame, thin: bool = True) -> DataFrame:
+    """(node, root): the smallest node of each node's component, for edges (a, b); thin: whether a forest thins them out first."""
+    edges = edges.where("a != b")
+    state, before = checkpointed((forest(edges) if thin else edges).distinct()), None
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: neighbours beyond a node go to the smallest of its neighbourhood.
@@ -498,7 +499,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, root) for every row that has a fingerprint; root is the smallest doc_id of its group."""
     marks = checkpointed(fingerprints(docs))
     entries = checkpointed(marks.groupBy("hi", "lo", "n", "parity").agg(F.min("doc_id").alias("rep")))
-    roots = components(confirmed(docs, near_pairs(entries)))
+    # Each cell's pairs are a forest already; another one in the same tasks would take a second Python worker for each.
+    roots = components(confirmed(docs, near_pairs(entries)), thin=False)
     return marks.join(entries, ["hi", "lo", "n", "parity"]).join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -73,3 +74,16 @@ def test_odd_documents(docs):
 def test_unknown_ids_raise(encoder):
     with pytest.raises(KeyError):
         encoder.decode([99_999_999])
+
+
+def test_pieces_held_at_once(encoder):
+    """Pieces of a batch's texts aren't all held together; the ids are those of each text alone."""
+    texts = [" ".join(f"w{(7 * i + k) % 90} of" for k in range(25_000)) for i in range(20)]
+    alone = encoder.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        codes = encoder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1] - sum(map(len, codes))
+    finally:
+        tracemalloc.stop()
+    assert codes[0] == alone[0] and peak < 40e6

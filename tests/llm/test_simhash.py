@@ -207,6 +207,15 @@ def test_confirmation_in_divisions(docs, monkeypatch):
     assert {tuple(r.doc_ids) for r in sh.groups(docs(rows)).collect()} == want and len(want) == 6
 
 
+def test_one_python_worker_for_each_task(docs, monkeypatch):
+    """No step runs two Python operators in one task, which would take two workers for each core, and keep both."""
+    plans, real = [], sh.checkpointed
+    monkeypatch.setattr(sh, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    sh.groups(docs([(i, change(prose(3, 100), 0.01, i)) for i in range(5)])).count()
+    steps = [part.count("MapInArrow") for plan in plans for part in plan.split("Exchange")]
+    assert max(steps) == 1
+
+
 def test_large_group(docs):
     text = prose(7, 120)
     rows = [(i, text) for i in range(500)] + [(1000 + i, change(text, 0.02, i)) for i in range(200)]
