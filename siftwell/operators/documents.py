@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graphs import components, shortcuts
 from ..functions.text import nfkc_block
 from ..plans.storage import checkpointed
 
@@ -76,14 +78,93 @@ def copied_blocks(peers: DataFrame, canonical: DataFrame) -> DataFrame:
     return shared.groupBy("path").agg(F.min_by("block", "ordinal").alias("block"), F.min("ordinal").alias("ordinal"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+#: Edges of a graph that one task takes; beyond it blocks of a quarter of that.
+EDGES_PER_TASK = 2_000_000
+
+
+def cycles(edges: DataFrame, most: int = EDGES_PER_TASK) -> DataFrame:
     """(node, component): nodes that can reach themselves over (src, dst), under the smallest node of their component.
 
+    Nodes are numbered in their order. Up to ``most`` edges are solved in one task, more by blocks of near nodes.
+    """
+    known = checkpointed(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    nodes = checkpointed(known.select(F.col("src").alias("node")).intersect(known.select(F.col("dst").alias("node"))).orderBy("node").withColumn("id", F.monotonically_increasing_id()))
+    numbered = known.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst")
+    found = strong(checkpointed(numbered.select(F.col("s").alias("src"), F.col("d").alias("dst"))), most)
+    least = found.groupBy("component").agg(F.min("node").alias("first"))
+    named = nodes.select(F.col("node").alias("name"), "id")
+    firsts = least.join(named, F.col("id") == F.col("first")).select("component", F.col("name").alias("least"))
+    return found.join(named, F.col("id") == F.col("node")).join(firsts, "component").select(F.col("name").alias("node"), F.col("least").alias("component"))
+
+
+FOUND = "node bigint, component bigint"
+
+
+def members(src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+    """FOUND of the edges of one task, under one node of each component; numbers under 0 stand for components, -1 - component."""
+    node, component, cyclic = components(src, dst)
+    # Nodes are in order: the first of a component is the component it stands for, or else its smallest node.
+    first = node[np.unique(component, return_index=True)[1]] if len(node) else node
+    first = np.where(first < 0, -1 - first, first)[component]
+    keep = cyclic & (node >= 0)
+    return pd.DataFrame({"node": node[keep], "component": first[keep]})
+
+
+def strong(live: DataFrame, most: int) -> DataFrame:
+    """FOUND of edges (src, dst) of numbers from 0, which are checkpointed.
+
+    Up to ``most`` edges are one task. More are cut into blocks by ranges of src: a block's own components become one
+    node each, and what is left of it, which has no cycle, shortcuts from the nodes that other blocks point to to those
+    that point to other blocks. The components of the smaller graph that makes then tell, in each block, which nodes
+    between these belong to them. Where blocks take away less than a tenth, colours are spread over the whole graph.
+    """
+    count = live.count()
+    if count <= most:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [f for f in frames]
+            if held:
+                yield members(*(np.concatenate([f[c].to_numpy() for f in held]) for c in ("src", "dst")))
+
+        return checkpointed(live.coalesce(1).mapInPandas(run, FOUND))
+    cut = checkpointed(live.repartitionByRange(-(-count * 4 // most), "src").withColumn("block", F.spark_partition_id()))
+    place = checkpointed(cut.select(F.col("src").alias("node"), "block").distinct())
+    # What points to nothing has no block, and goes.
+    cut = checkpointed(cut.join(place.select(F.col("node").alias("dst"), F.col("block").alias("to")), "dst"))
+    inner, outer = cut.where("block = to").select("block", "src", "dst"), cut.where("block != to")
+    ends = outer.selectExpr("block", "src", "-1L AS dst").union(outer.selectExpr("to AS block", "-1L AS src", "dst")).distinct()
+
+    def shrink(f: pd.DataFrame) -> pd.DataFrame:
+        src, dst = f["src"].to_numpy(), f["dst"].to_numpy()
+        own, out, into = (src >= 0) & (dst >= 0), src[dst < 0], dst[src < 0]
+        alone = np.concatenate([out, into])
+        # Loops, which change no component, bring in the nodes that have edges to other blocks only.
+        node, component, _ = components(np.concatenate([src[own], alone]), np.concatenate([dst[own], alone]))
+        at = lambda x: component[np.searchsorted(node, x)].tolist()
+        pairs = {(a, b) for a, b in zip(at(src[own]), at(dst[own])) if a != b}
+        least = node[np.unique(component, return_index=True)[1]]
+        kept = np.array(sorted(shortcuts(pairs, set(at(into)), set(at(out)))), dtype=np.int64).reshape(-1, 2)
+        edges = pd.DataFrame({"src": least[kept[:, 0]], "dst": least[kept[:, 1]], "edge": True})
+        return pd.concat([edges, pd.DataFrame({"src": node, "dst": least[component], "edge": False})])
+
+    small = checkpointed(inner.unionByName(ends).groupBy("block").applyInPandas(shrink, "src bigint, dst bigint, edge boolean"))
+    name = lambda c, to: small.where("not edge").select(F.col("src").alias(c), F.col("dst").alias(to))
+    moved = outer.join(name("src", "s"), "src").join(name("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    rest = trimmed_edges(checkpointed(small.where("edge").select("src", "dst").unionByName(moved).distinct()))
+    found = strong(rest, most) if rest.count() <= 0.9 * count else coloured(rest)
+    tied = found.join(place, "node").selectExpr("block", "node", "-1 - component AS whole")
+    ties = tied.selectExpr("block", "node AS src", "whole AS dst").union(tied.selectExpr("block", "whole AS src", "node AS dst"))
+    return checkpointed(inner.unionByName(ties).groupBy("block").applyInPandas(lambda f: members(f["src"].to_numpy(), f["dst"].to_numpy()), FOUND))
+
+
+def coloured(live: DataFrame) -> DataFrame:
+    """FOUND by rounds over the whole graph, as many as its paths are long.
+
     Nodes that nothing points to, or that point to nothing, are in no cycle and go first. Then the smallest node that
     reaches each node, its colour, spreads along the edges; the nodes of a colour that reach back to the node that
     gave it are a component. They go, and the rest begins anew. No relation is ever larger than the edges.
     """
-    live = trimmed_edges(checkpointed(edges.where("src is not null and dst is not null").select("src", "dst").distinct()))
+    live = trimmed_edges(live)
     found = [live.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
     while not live.isEmpty():
         colour = spread(live, live.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import content, documents, evaluation, evidence, ledger, policy, selection
@@ -173,6 +174,66 @@ def test_cycles_of_random_graphs(spark):
         assert {tuple(x) for x in documents.cycles(spark.createDataFrame([*edges], "src int, dst int")).collect()} == want
 
 
+def test_cycles_in_blocks(spark):
+    import random
+
+    r = random.Random(5)
+    for n, m, near in ((60, 90, 6), (80, 100, 80)):
+        edges = {(a, min(max(a + r.randrange(-near, near + 1), 0), n - 1)) for a in (r.randrange(n) for _ in range(m))}
+        reach = {x: {b for a, b in edges if a == x} for x in {y for e in edges for y in e}}
+        while any(not s >= {z for y in s for z in reach[y]} for s in reach.values()):
+            reach = {x: s | {z for y in s for z in reach[y]} for x, s in reach.items()}
+        want = {(f"{x:03}", f"{min(y for y in s if x in reach[y]):03}") for x, s in reach.items() if x in s}
+        d = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in edges], "src string, dst string")
+        for most in (1000, 40):
+            got = [tuple(x) for x in documents.cycles(d, most).collect()]
+            assert len(got) == len(want) and set(got) == want
+        live = spark.createDataFrame([*edges], "src long, dst long")
+        parts = {}
+        for x in documents.coloured(live.where("src != dst")).collect():
+            parts.setdefault(x.component, set()).add(x.node)
+        assert sorted(map(sorted, parts.values())) == sorted(p for p in (sorted(int(x) for x, c in want if c == k) for k in {c for _, c in want}) if len(p) > 1)
+
+
+@pytest.mark.parametrize("most", [documents.EDGES_PER_TASK, 30])
+def test_cycles_on_a_long_chain_take_few_jobs(spark, most):
+    """A chain of small cycles: rounds along it, or one for each of them, would be hundreds of jobs."""
+    edges = [(3 * i + a, 3 * i + b) for i in range(15) for a, b in ((0, 1), (1, 0), (1, 2), (2, 3))]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {tuple(x) for x in documents.cycles(spark.createDataFrame(edges, "src int, dst int"), most).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(3 * i + k, 3 * i) for i in range(15) for k in (0, 1)}
+    assert jobs < 150
+
+
+def test_components_and_shortcuts():
+    import random
+
+    import numpy as np
+
+    from siftwell.functions.graphs import components, shortcuts
+
+    r = random.Random(7)
+    for n, m in ((1, 1), (12, 20), (30, 60), (40, 45)):
+        for _ in range(5):
+            src, dst = (np.array([r.randrange(n) for _ in range(m)], dtype=np.int64) for _ in "ab")
+            reach = {x: {b for a, b in zip(src.tolist(), dst.tolist()) if a == x} for x in {*src.tolist(), *dst.tolist()}}
+            while any(not s >= {z for y in s for z in reach[y]} for s in reach.values()):
+                reach = {x: s | {z for y in s for z in reach[y]} for x, s in reach.items()}
+            node, component, cyclic = (x.tolist() for x in components(src, dst))
+            of = dict(zip(node, component))
+            assert node == sorted(reach) and [x for x, c in zip(node, cyclic) if c] == [x for x in node if x in reach[x]]
+            assert all((of[x] == of[y]) == (x == y or (y in reach[x] and x in reach[y])) for x in node for y in node)
+            assert all(of[a] >= of[b] for a, b in zip(src.tolist(), dst.tolist()))
+            edges = {(of[a], of[b]) for a, b in zip(src.tolist(), dst.tolist()) if of[a] != of[b]}
+            far = {(of[a], of[b]) for a, s in reach.items() for b in s if of[a] != of[b]}
+            entries, exits = ({of[r.choice(node)] for _ in range(k)} for k in r.choice([(1, 4), (4, 1), (2, 2)]))
+            got = shortcuts(edges, entries, exits)
+            assert got == edges if len(entries) * len(exits) > len(edges) else got == {(a, b) for a, b in far if a in entries and b in exits}
+    assert [len(x) for x in components(np.array([], dtype=np.int64), np.array([], dtype=np.int64))] == [0, 0, 0]
+
+
 def test_hashes_do_not_depend_on_order(spark):
     d = spark.createDataFrame([("w", "b", "2"), ("w", "a", "1")], "w string, path string, content string")
     assert ledger.snapshot_hash(d, "w").first() == ledger.snapshot_hash(d.orderBy("path"), "w").first()
