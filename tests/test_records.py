@@ -211,6 +211,19 @@ def test_odd_instruction_files(spark):
     assert instructions.diagnostics(d.where("false")).count() == 0
 
 
+def test_many_small_instruction_files_are_read_by_all_tasks(spark):
+    """Their bytes are few, and they come in one partition, beside one canonical document or many."""
+    text = F.when(F.col("id") % 2 == 0, "## GEMINI-specific\n\nRead and follow AGENTS.md.").otherwise("Nothing to see.")
+    peers = spark.range(0, 400, 1, 1).select(F.concat(F.lit("a/"), "id", F.lit("/GEMINI.md")).alias("path"), text.alias("content"), F.lit(None).cast("string").alias("target"))
+    one = spark.range(0, 200, 1, 1).select(F.concat(F.lit("b/CLAUDE"), "id", F.lit(".md")).alias("path"), F.lit("## GEMINI-specific\n\nRead and follow AGENTS.md.").alias("content"), F.lit(None).cast("string").alias("target"))
+    lead = spark.range(0, 401, 1, 1).select(F.when(F.col("id") == 400, "b/AGENTS.md").otherwise(F.concat(F.lit("a/"), "id", F.lit("/AGENTS.md"))).alias("path"), F.lit("# Rules").alias("content"), F.lit(None).cast("string").alias("target"))
+    found = instructions.diagnostics(peers.unionByName(one).unionByName(lead)).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path: (r.code, r.line) for r in found} == {f"a/{i}/GEMINI.md": ("MISSING_CANONICAL_REFERENCE", 1) for i in range(1, 400, 2)} | {f"b/CLAUDE{i}.md": ("UNSCOPED_PEER_CONTENT", 1) for i in range(200)}
+    assert len(found) == 400
+    for folder in "ab":
+        assert len({r.task for r in found if r.path.startswith(folder)}) >= 4
+
+
 def test_path_sets_under_one_cap(spark):
     rows = [(1, "b\0a\0", "c\0", ""), (2, "x", "", ""), (3, None, "\0", "é\0"), (4, "", "", "")]
     d = spark.createDataFrame(rows, "k int, tracked string, untracked string, ignored string")
