@@ -151,22 +151,26 @@ def strong(live: DataFrame, most: int) -> DataFrame:
     name = lambda c, to: small.where("not edge").select(F.col("src").alias(c), F.col("dst").alias(to))
     moved = outer.join(name("src", "s"), "src").join(name("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
     rest = trimmed_edges(checkpointed(small.where("edge").select("src", "dst").unionByName(moved).distinct()))
-    found = strong(rest, most) if rest.count() <= 0.9 * count else coloured(rest)
+    found = strong(rest, most) if rest.count() <= 0.9 * count else coloured(rest, most)
     tied = found.join(place, "node").selectExpr("block", "node", "-1 - component AS whole")
     ties = tied.selectExpr("block", "node AS src", "whole AS dst").union(tied.selectExpr("block", "whole AS src", "node AS dst"))
     return checkpointed(inner.unionByName(ties).groupBy("block").applyInPandas(lambda f: members(f["src"].to_numpy(), f["dst"].to_numpy()), FOUND))
 
 
-def coloured(live: DataFrame) -> DataFrame:
+def coloured(live: DataFrame, most: int = 0) -> DataFrame:
     """FOUND by rounds over the whole graph, as many as its paths are long.
 
     Nodes that nothing points to, or that point to nothing, are in no cycle and go first. Then the smallest node that
     reaches each node, its colour, spreads along the edges; the nodes of a colour that reach back to the node that
-    gave it are a component. They go, and the rest begins anew. No relation is ever larger than the edges.
+    gave it are a component. They go, and the rest begins anew, in one task once it has at most ``most`` edges. No relation
+    is ever larger than the edges.
     """
     live = trimmed_edges(live)
     found = [live.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
     while not live.isEmpty():
+        if live.count() <= most:
+            found.append(strong(live, most))
+            break
         colour = spread(live, live.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         ends = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst")
         same = checkpointed(ends.where("c = d").select("src", "dst"))
